@@ -162,17 +162,17 @@ def calibrate(sizes: DataFrame, conversions: dict[str, dict[str, str]], rounds:
 def convert_sizes(sizes: DataFrame, conversions: dict[str, dict[str, str]], spread: float = 0.12) -> DataFrame:
     """sizes(row_id, source, entity, part, fixed, bare) -> (part, row_id, amount bigint), rounded half up.
 
-    A bare number takes, of the conversions its source uses (all known ones if the source has no links), the one that puts
-    it nearest to the middle of the anchored sizes of its part; none if it lies more than `spread` outside their range.
+    A bare number takes, of the conversions its source uses, the one that puts it nearest to the middle of the anchored
+    sizes of its part; if none puts it into their range (widened by `spread`), any known conversion that does; else it has
+    no amount.
     """
     units = sizes.sparkSession.createDataFrame([(p, u, f) for p, us in conversions.items() for u, f in us.items()], "part string, unit string, f string").select("part", "unit", F.col("f").cast("decimal(18,8)").alias("factor"))
     used = calibrate(sizes, conversions).select("source", "part", "unit", F.lit(True).alias("used"))
-    linked = used.select("source", "part").distinct().withColumn("linked", F.lit(True))
     span = sizes.where("fixed > 0").groupBy("part").agg(*[F.expr(f"percentile_approx(cast(fixed as double), {q}, 1000)").alias(n) for n, q in (("low", 0.001), ("mid", 0.5), ("high", 0.999))])
-    bare = sizes.where("bare > 0").join(F.broadcast(units), "part").join(linked, ["source", "part"], "left").join(used, ["source", "part", "unit"], "left").where("linked is null or used")
+    bare = sizes.where("bare > 0").join(F.broadcast(units), "part").join(used, ["source", "part", "unit"], "left")
     amount = F.col("bare") * F.col("factor")
     ranged = bare.join(F.broadcast(span), "part").where((amount >= F.col("low") * (1 - spread)) & (amount <= F.col("high") * (1 + spread)))
-    best = ranged.groupBy("part", "row_id").agg(F.min(F.struct(F.abs(F.ln(amount.cast("double") / F.col("mid"))).alias("off"), amount.alias("amount"))).alias("best"))
+    best = ranged.groupBy("part", "row_id").agg(F.min(F.struct(F.col("used").isNull().alias("foreign"), F.abs(F.ln(amount.cast("double") / F.col("mid"))).alias("off"), amount.alias("amount"))).alias("best"))
     fixed = sizes.where("fixed > 0").select("part", "row_id", F.col("fixed").cast("decimal(38,14)").alias("amount"))
     both = fixed.unionByName(best.select("part", "row_id", F.col("best.amount").cast("decimal(38,14)").alias("amount")))
     return both.select("part", "row_id", _half_up(F.col("amount")).alias("amount"))
