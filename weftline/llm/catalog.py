@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import matches, variants
+from weftline.llm import leaks, matches, variants
 
-QUERIES = {**matches.QUERIES, **variants.QUERIES}
-ORACLES = {**matches.ORACLES, **variants.ORACLES}
+QUERIES = {**matches.QUERIES, **variants.QUERIES, **leaks.QUERIES}
+ORACLES = {**matches.ORACLES, **variants.ORACLES, **leaks.ORACLES}
