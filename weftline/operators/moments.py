@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.clean import let
+
 # Month names, full and short, in eight languages, without accents.
 MONTHS = {
     1: "january jan januar janvier janv enero ene gennaio gen januari janeiro",
@@ -47,11 +49,6 @@ def _cleaned(c: Column) -> Column:
     return F.btrim(F.translate(s, "áàâãäåéèêëíîïóôõöúûüç", "aaaaaaeeeeiiioooouuuc"))
 
 
-def _let(value: Column, body) -> Column:  # noqa: ANN001
-    """`body` with `value` computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _int(c: Column) -> Column:
     return F.when(c != "", c).try_cast("int")
 
@@ -111,7 +108,7 @@ def _moment(date: Column, rest: Column, text: Column, zone: Column) -> Column:
         hour = F.when(half == "", hour).when((hour < 1) | (hour > 12), None).when(half == "p", hour % 12 + 12).otherwise(hour % 12)
         minute, second = _int(_extract(rest, r, 2)), F.coalesce(_int(_extract(rest, r, 3)), F.lit(0))
         local = F.try_make_timestamp_ntz(F.year(date), F.month(date), F.dayofmonth(date), hour, minute, second)
-        return _let(F.struct(local.alias("local"), F.btrim(F.regexp_replace(rest, r, ""), F.lit(" []()")).alias("zone")), zoned)
+        return let(F.struct(local.alias("local"), F.btrim(F.regexp_replace(rest, r, ""), F.lit(" []()")).alias("zone")), zoned)
 
     def zoned(t: Column) -> Column:
         offset = r"^(?:utc|gmt)?([+\-]\d{2}):?(\d{2})?$"
@@ -123,9 +120,9 @@ def _moment(date: Column, rest: Column, text: Column, zone: Column) -> Column:
             .when(t["zone"] != "", F.try_element_at(_map(ABBREVIATIONS), t["zone"]))
             .otherwise(F.coalesce(zone, F.lit("UTC")))
         )
-        return _let(stated, lambda z: _iso(F.when(z.isNotNull(), F.convert_timezone(z, F.lit("UTC"), t["local"]))))
+        return let(stated, lambda z: _iso(F.when(z.isNotNull(), F.convert_timezone(z, F.lit("UTC"), t["local"]))))
 
-    return F.when(form.isNotNull(), _let(form, timed))
+    return F.when(form.isNotNull(), let(form, timed))
 
 
 def _epoch(s: Column) -> Column:
@@ -133,7 +130,7 @@ def _epoch(s: Column) -> Column:
     size = F.length(F.regexp_extract(s, r"^-?(\d+)", 1))
     per = F.when(size <= 10, 1).when(size <= 13, 1_000).when(size <= 16, 1_000_000).otherwise(1_000_000_000).cast("decimal(20,0)")
     seconds = F.floor(F.regexp_extract(s, r"^(-?\d+)", 1).try_cast("decimal(20,0)") / per).cast("bigint")
-    return _let(seconds, lambda x: _iso(F.lit("1970-01-01 00:00:00").cast(NTZ) + F.make_dt_interval(F.floor(x / 86400).cast("int"), F.lit(0), F.lit(0), F.pmod(x, F.lit(86400).cast("bigint")).cast("decimal(18,6)"))))
+    return let(seconds, lambda x: _iso(F.lit("1970-01-01 00:00:00").cast(NTZ) + F.make_dt_interval(F.floor(x / 86400).cast("int"), F.lit(0), F.lit(0), F.pmod(x, F.lit(86400).cast("bigint")).cast("decimal(18,6)"))))
 
 
 def _partial(s: Column, month: Column) -> Column:
@@ -163,15 +160,15 @@ def parse_moment(text: Column, date_order: Column, zone: Column) -> Column:
         shape = rx = F.lit(None).cast("string")
         for name, pattern in reversed(SHAPES):
             shape, rx = F.when(s.rlike(pattern), name).otherwise(shape), F.when(s.rlike(pattern), pattern).otherwise(rx)
-        return F.when(s.rlike(r"^-?\d{9,19}(?:\.\d+)?$"), _epoch(s)).otherwise(_let(F.struct(shape.alias("shape"), rx.alias("rx")), lambda k: F.when(k["shape"].isNull(), _partial(s, month)).otherwise(shaped(s, k))))
+        return F.when(s.rlike(r"^-?\d{9,19}(?:\.\d+)?$"), _epoch(s)).otherwise(let(F.struct(shape.alias("shape"), rx.alias("rx")), lambda k: F.when(k["shape"].isNull(), _partial(s, month)).otherwise(shaped(s, k))))
 
     def shaped(s: Column, k: Column) -> Column:
         groups = [_extract(s, k["rx"], i) for i in range(1, 5)]
-        date = _let(F.struct(*[g.alias(f"g{i}") for i, g in enumerate(groups)]), lambda g: _date(k["shape"], [g[f"g{i}"] for i in range(4)], order, month))
+        date = let(F.struct(*[g.alias(f"g{i}") for i, g in enumerate(groups)]), lambda g: _date(k["shape"], [g[f"g{i}"] for i in range(4)], order, month))
         rest = F.rtrim(F.ltrim(F.regexp_replace(s, k["rx"], F.lit("")), F.lit(" t,:")), F.lit(" ,"))
-        return _let(F.struct(date.alias("date"), rest.alias("rest")), lambda p: F.when(p["date"].isNull(), _partial(s, month)).when(p["rest"].rlike(r"^\d"), _moment(p["date"], p["rest"], text, zone)).otherwise(p["date"].cast("string")))
+        return let(F.struct(date.alias("date"), rest.alias("rest")), lambda p: F.when(p["date"].isNull(), _partial(s, month)).when(p["rest"].rlike(r"^\d"), _moment(p["date"], p["rest"], text, zone)).otherwise(p["date"].cast("string")))
 
-    return _let(_cleaned(text), dated)
+    return let(_cleaned(text), dated)
 
 
 def estimate_zones(df: DataFrame, source: str, local: str, arrived: str, candidates: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.moments import _let
+from weftline.functions.clean import let
 from weftline.session import Written
 
 # Units, in millimetres and grams.
@@ -69,7 +69,7 @@ def height_mm(text: Column) -> tuple[Column, Column]:
             mm = mm.when(s.rlike(_lead(s, unit)), _dec(s, _lead(s, unit), 1) * F.lit(MM[unit]).cast(DEC))
         return F.struct(mm.cast(DEC).alias("fixed"), F.when(s.rlike(rf"^{NUM}$"), s.try_cast(DEC)).alias("bare"))
 
-    p = _let(_tidy(text), parsed)
+    p = let(_tidy(text), parsed)
     return p["fixed"], p["bare"]
 
 
@@ -83,7 +83,7 @@ def weight_g(text: Column) -> tuple[Column, Column]:
             g = g.when(s.rlike(_lead(s, unit)), _dec(s, _lead(s, unit), 1) * F.lit(GRAMS[unit]).cast("decimal(18,8)"))
         return F.struct(g.cast(DEC).alias("fixed"), F.when(s.rlike(rf"^{NUM}$"), s.try_cast(DEC)).alias("bare"))
 
-    p = _let(_tidy(text), parsed)
+    p = let(_tidy(text), parsed)
     return p["fixed"], p["bare"]
 
 
@@ -120,7 +120,7 @@ def body_sizes(raw: Column) -> Column:
 
     # a unit behind the last number holds for all that have none
     split = lambda s: F.struct(F.regexp_replace(s, behind, "").alias("set"), F.regexp_extract(s, behind, 1).alias("whole"))
-    return _let(_let(_tidy(raw), split), parsed)
+    return let(let(_tidy(raw), split), parsed)
 
 
 def calibrate(sizes: DataFrame, conversions: dict[str, dict[str, str]], rounds: int = 4, tolerance: float = 0.06, support: float = 0.02) -> DataFrame:
