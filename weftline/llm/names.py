@@ -110,57 +110,61 @@ class Vectors:
 
 
 # Evidence two records share, from strong to weak, and the least cosine of their names that it takes.
-SAME_DAY, SAME_PLACE, WEAK = 0.3, 0.7, 0.85
+SAME_DAY, SAME_PLACE, SAME_SEX = 0.3, 0.75, 0.9
+#: The score of a link by the whole name alone, to the only record it can mean.
+SAME_NAME = 0.75
 
 
 def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
     """profiles(unit, name, born date, gender, country) -> (a, b, score), a < b: units of similar name whose evidence agrees.
 
     Joined on a prefix gram and the birthday both have; or, where one has none, the country both have; or, where one has
-    neither, the gram alone at a higher threshold. Evidence that both have and that differs rules a pair out.
+    neither, the gender both have, at a higher threshold each time. Evidence that both have and that differs rules a pair
+    out. What the name alone links is in `only_bearers`.
     """
     spark = profiles.sparkSession
     shared = spark.sparkContext.broadcast(idf)
+    kinds = (("day", "born", SAME_DAY), ("place", "country", SAME_PLACE), ("sex", "gender", SAME_SEX))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vectors(shared.value)
         for b in batches:
-            names, born, country = b.column("name").to_pylist(), b.column("born").is_valid().to_pylist(), b.column("country").is_valid().to_pylist()
-            row, kind, gram = [], [], []
+            names = b.column("name").to_pylist()
+            there = {c: b.column(c).is_valid().to_pylist() for _, c, _ in kinds}
+            row, kind, gram, prefix = [], [], [], []
             for i, name in enumerate(names):
-                for k, t, on in (("day", SAME_DAY, born[i]), ("place", SAME_PLACE, country[i]), ("weak", WEAK, True)):
-                    if on:
+                for k, c, t in kinds:
+                    if there[c][i]:
                         p = v.prefix(name, t)
                         row += [i] * len(p)
                         kind += [k] * len(p)
                         gram += p
+                        # by the rest of the prefix a pair is met once; posting lists of a day are short, so there it isn't needed
+                        prefix += [p] * len(p) if k != "day" else [None] * len(p)
             taken = pa.RecordBatch.from_arrays(b.columns, schema=b.schema).take(pa.array(row, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(kind, pa.string()), pa.array(gram, pa.int32())], names=[*b.schema.names, "kind", "gram"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(kind, pa.string()), pa.array(gram, pa.int32()), pa.array(prefix, pa.list_(pa.int32()))], names=[*b.schema.names, "kind", "gram", "prefix"])
 
-    postings = Written(profiles.select("unit", "name", "born", "gender", "country").mapInArrow(post, "unit bigint, name string, born date, gender string, country string, kind string, gram int")).df
-    left, right = postings.alias("l"), postings.alias("r")
+    postings = profiles.select("unit", "name", "born", "gender", "country").mapInArrow(post, "unit bigint, name string, born date, gender string, country string, kind string, gram int, prefix array<int>")
+    postings = Written(postings).df
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     agree = lambda c: F.coalesce(l(c) == r(c), F.lit(True))
     both = lambda c: l(c).isNotNull() & r(c).isNotNull()
     fits = (l("unit") < r("unit")) & agree("born") & agree("gender") & agree("country")
-    keys = {
-        "day": (l("born") == r("born")),
-        "place": (l("country") == r("country")) & ~both("born"),
-        "weak": ~both("born") & ~both("country"),
-    }
+    once = F.array_min(F.array_intersect(l("prefix"), r("prefix"))) == l("gram")
+    weaker = {"day": F.lit(True), "place": ~both("born") & once, "sex": ~both("born") & ~both("country") & once}
     out = None
-    for kind, on in keys.items():
-        pairs = left.where(l("kind") == kind).join(right.where(r("kind") == kind), (l("gram") == r("gram")) & on & fits)
+    for kind, key, _ in kinds:
+        own = postings.where(F.col("kind") == kind).drop("kind")
+        pairs = own.alias("l").join(own.alias("r"), (l("gram") == r("gram")) & (l(key) == r(key)) & fits & weaker[kind])
         pairs = pairs.select(l("unit").alias("a"), r("unit").alias("b"), l("name").alias("x"), r("name").alias("y"), both("born").alias("day"), both("country").alias("place"), both("gender").alias("sex"))
         out = pairs if out is None else out.unionByName(pairs)
-    out = out.distinct()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vectors(shared.value)
         for b in batches:
             cos = v.cosines(b.column("x").to_pylist(), b.column("y").to_pylist())
             day, place, sex = (b.column(c).to_numpy(zero_copy_only=False) for c in ("day", "place", "sex"))
-            least = np.where(day, SAME_DAY, np.where(place, np.where(sex, SAME_PLACE, SAME_PLACE + 0.05), np.where(sex, WEAK, WEAK + 0.05)))
+            least = np.where(day, SAME_DAY, np.where(place, np.where(sex, SAME_PLACE, SAME_PLACE + 0.05), SAME_SEX))
             ok = np.flatnonzero(cos >= least - 1e-5)
             # scores of all kinds of evidence lie between 0.5 and 1
             s = 0.5 + 0.5 * (cos[ok] - least[ok]) / (1 - least[ok])
@@ -169,6 +173,19 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
     return out.mapInArrow(score, "a bigint, b bigint, score double").groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
+def only_bearers(profiles: DataFrame) -> DataFrame:
+    """profiles as above -> (a, b, score): units that have neither birthday nor country, linked to the only bearer of their name.
+
+    That is the one unit of that name with a birthday; where none has one, the smallest unit of that name. If several have,
+    the name alone says nothing. A name of n units gives at most n links.
+    """
+    per = profiles.groupBy("name").agg(F.count(F.col("born")).alias("dated"), F.coalesce(F.min(F.when(F.col("born").isNotNull(), F.col("unit"))), F.min("unit")).alias("to"))
+    bearer = per.where("dated <= 1").join(profiles.select("name", F.col("unit").alias("to"), F.col("gender").alias("other")), ["name", "to"])
+    open_units = profiles.where("born is null and country is null").select("unit", "name", "gender")
+    linked = open_units.join(bearer, "name").where((F.col("unit") != F.col("to")) & F.coalesce(F.col("gender") == F.col("other"), F.lit(True)))
+    return linked.select(F.least("unit", "to").alias("a"), F.greatest("unit", "to").alias("b"), F.lit(SAME_NAME).alias("score")).distinct()
+
+
 def average_linkage(links: DataFrame, units: DataFrame, threshold: float = 0.5) -> DataFrame:
     """links(a, b, score), units(unit, born, gender, country) -> (unit, cluster) of all units that have a link.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.clean import int_id, nullish, uuid_id
 from weftline.llm.groups import hash_to_min, star_links
 from weftline.llm.matches import source_keys
-from weftline.llm.names import average_linkage, fold_name, gram_weights, similar_pairs
+from weftline.llm.names import average_linkage, fold_name, gram_weights, only_bearers, similar_pairs
 from weftline.operators.moments import parse_moment
 from weftline.operators.multivalue import split_packed
 from weftline.session import Written, table
@@ -52,7 +52,8 @@ def same_performer(spark: SparkSession, sf: str) -> DataFrame:
     spelled = placed.where("folded is not null").select("unit", F.col("folded").alias("name")).distinct()
     profiles = Written(spelled.join(units, "unit")).df
     idf = gram_weights(profiles.select("name").distinct())
-    links = Written(similar_pairs(profiles, idf)).df
+    links = similar_pairs(profiles, idf).unionByName(only_bearers(profiles)).groupBy("a", "b").agg(F.max("score").alias("score"))
+    links = Written(links).df
     clusters = average_linkage(links, units)
     return placed.join(clusters, "unit", "left").select("id", "name", F.coalesce("cluster", "unit").alias("cluster"))
 
