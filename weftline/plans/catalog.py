@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import problems
+from weftline.plans import problems, scalars, store
 
-QUERIES = {**problems.QUERIES}
-ORACLES: dict[str, str] = {}
+QUERIES = {**problems.QUERIES, **store.QUERIES, **scalars.QUERIES}
+ORACLES = {**store.ORACLES, **scalars.ORACLES}
