@@ -77,7 +77,7 @@ def weight_g(text: Column) -> tuple[Column, Column]:
     """(grams, bare number): one of both is set; of a weight given twice the first counts."""
 
     def parsed(s: Column) -> Column:
-        stone = rf"^{NUM} ?(?:st|stones?)\.? ?(?:{NUM} ?(?:lbs?|pounds?)?)?"
+        stone = rf"^{NUM} ?(?:stones?|st)\.? ?(?:{NUM} ?(?:lbs?|pounds?)?)?"
         g = F.when(s.rlike(stone), (_dec(s, stone, 1) * 14 + F.coalesce(_dec(s, stone, 2), F.lit(0))) * F.lit(GRAMS["lb"]).cast("decimal(18,8)"))
         for unit in ("kg", "lb", "g"):
             g = g.when(s.rlike(_lead(s, unit)), _dec(s, _lead(s, unit), 1) * F.lit(GRAMS[unit]).cast("decimal(18,8)"))

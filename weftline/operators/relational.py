@@ -73,10 +73,10 @@ def merge_values(cells: DataFrame, group: list[str], key: str, order: list[str],
     -> (group..., key, value, sources): sources are distinct, in order of their first appearance. Cells with a null key
     are no option.
     """
-    place = F.struct(*order)
-    firsts = cells.where(F.col(key).isNotNull()).groupBy(*group, key, source).agg(F.min(place).alias("o"), F.min(F.struct(place.alias("o"), F.col(value).alias("v"))).alias("v"))
-    merged = firsts.groupBy(*group, key).agg(F.min("v").alias("v"), F.array_sort(F.collect_list(F.struct("o", F.col(source).alias("s")))).alias("l"))
-    return merged.select(*group, key, F.col("v.v").alias(value), F.transform("l", lambda x: x["s"]).alias("sources"))
+    own = cells.where(F.col(key).isNotNull()).select(*group, F.col(key).alias("_k"), F.struct(*order).alias("_o"), F.col(value).alias("_v"), F.col(source).alias("_s"))
+    firsts = own.groupBy(*group, "_k", "_s").agg(F.min("_o").alias("_first"), F.min(F.struct("_o", "_v")).alias("_spelled"))
+    merged = firsts.groupBy(*group, "_k").agg(F.min("_spelled").alias("_spelled"), F.array_sort(F.collect_list(F.struct("_first", "_s"))).alias("_l"))
+    return merged.select(*group, F.col("_k").alias(key), F.col("_spelled._v").alias(value), F.transform("_l", lambda x: x["_s"]).alias("sources"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
