@@ -42,13 +42,14 @@ def _fold_pairs() -> tuple[str, str]:
 def fold_name(c: Column) -> Column:
     """A name as tokens of letters: no accents, case, notes in brackets or behind a dash, quoted nicknames; "B, A" is "A B"."""
     src, dst = _fold_pairs()
+    plain = c.rlike(r"^[A-Za-z]+(?: [A-Za-z]+)*$")
     s = F.translate(c, src, dst)
     s = F.regexp_replace(F.regexp_replace(F.lower(s), "ß", "ss"), "[æœ]", "ae")
     s = F.regexp_replace(s, r"\([^)]*\)|\[[^\]]*\]|\"[^\"]*\"|“[^”]*”", " ")
     s = F.regexp_replace(s, r" [-–—] .*$", "")
     s = F.regexp_replace(s, r"^\s*([^,]+),\s*(?!jr\b|sr\b)([^,]+)\s*$", "$2 $1")
     s = F.btrim(F.regexp_replace(s, r"[^\p{L}]+", " "))
-    return F.when(s != "", s)
+    return F.when(plain, F.lower(c)).otherwise(F.nullif(s, F.lit("")))
 
 
 def name_grams(folded: Column) -> Column:
@@ -68,44 +69,49 @@ def gram_weights(names: DataFrame) -> dict[str, float]:
 
 
 class Vectors:
-    """Rows of sorted gram ids and weights for batches of names; padded, ids of padding differ on both sides."""
+    """Vectors of names: gram ids in the one global order, from rare to frequent, weights, and the norms of what follows."""
 
     def __init__(self, idf: dict[str, float]):
-        # ids from rare to frequent: the one global order
         self.ids = {g: i for i, g in enumerate(sorted(idf, key=lambda g: (-idf[g], g)))}
-        self.idf = np.array([idf[g] for g in self.ids] or [0.0])
-        self.seen: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-    def one(self, name: str) -> tuple[np.ndarray, np.ndarray]:
-        hit = self.seen.get(name)
-        if hit is None:
-            found = [self.ids[p[i : i + 3]] for t in name.split(" ") for p in ("^" + t + "$",) for i in range(len(t)) if p[i : i + 3] in self.ids]
-            ids, tf = np.unique(np.array(found, dtype=np.int32), return_counts=True)
-            ids, tf = ids[:WIDTH], tf[:WIDTH]
-            w = (1 + np.log(tf)) * self.idf[ids] if len(ids) else np.zeros(0)
-            norm = math.sqrt(float((w * w).sum())) or 1.0
-            hit = (ids, (w / norm).astype(np.float32))
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[name] = hit
-        return hit
-
-    def prefix(self, name: str, t: float) -> list[int]:
+        self.idf = [idf[g] for g in self.ids]
+
+    def one(self, name: str) -> tuple[list[int], list[float]]:
+        ids, tf = self.ids, {}
+        for t in name.split(" "):
+            p = "^" + t + "$"
+            for i in range(len(t)):
+                g = ids.get(p[i : i + 3])
+                if g is not None:
+                    tf[g] = tf.get(g, 0) + 1
+        order = sorted(tf)[:WIDTH]
+        w = [(1 + math.log(tf[g])) * self.idf[g] for g in order]
+        norm = math.sqrt(sum(x * x for x in w)) or 1.0
+        return order, [x / norm for x in w]
+
+    def postings(self, name: str, least: tuple[float | None, ...]) -> list[list[tuple[int, float, float]]]:
+        """For each threshold the prefix: grams with their weight and the norm of all grams behind them."""
         ids, w = self.one(name)
-        rest = np.cumsum((w * w)[::-1])[::-1]
-        return ids[rest >= t * t - 1e-6].tolist()
-
-    def cosines(self, left: list[str], right: list[str]) -> np.ndarray:
-        out = np.empty(len(left), dtype=np.float32)
-        for lo in range(0, len(left), 4096):
-            a, b = [self.one(x) for x in left[lo : lo + 4096]], [self.one(x) for x in right[lo : lo + 4096]]
-            width = max([len(x[0]) for x in a] + [len(x[0]) for x in b] + [1])
-            ia, ib = np.full((len(a), width), -1, np.int32), np.full((len(b), width), -2, np.int32)
-            wa, wb = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                ia[i, : len(x[0])], wa[i, : len(x[0])] = x
-                ib[i, : len(y[0])], wb[i, : len(y[0])] = y
-            out[lo : lo + len(a)] = np.einsum("ni,nij,nj->n", wa, ia[:, :, None] == ib[:, None, :], wb, optimize=True)
+        rest = [0.0] * (len(w) + 1)
+        for i in range(len(w) - 1, -1, -1):
+            rest[i] = rest[i + 1] + w[i] * w[i]
+        return [[(ids[i], w[i], math.sqrt(rest[i + 1])) for i in range(len(ids)) if rest[i] >= t * t - 1e-6] if t is not None else [] for t in least]
+
+    def cosines(self, left: pa.Array, right: pa.Array) -> np.ndarray:
+        """The cosine of each pair of two columns of names; each name of a batch is made a vector once."""
+        n = len(left)
+        both = pa.chunked_array([left, right]).combine_chunks().dictionary_encode()
+        codes = both.indices.to_numpy()
+        made = [self.one(x) for x in both.dictionary.to_pylist()]
+        width = max([len(x) for x, _ in made] + [1])
+        ids, w = np.full((len(made), width), -1, np.int32), np.zeros((len(made), width), np.float32)
+        for i, (x, y) in enumerate(made):
+            ids[i, : len(x)], w[i, : len(y)] = x, y
+        out = np.empty(n, dtype=np.float32)
+        for lo in range(0, n, 2048):
+            a, b = codes[lo : min(n, lo + 2048)], codes[n + lo : n + min(n, lo + 2048)]
+            same = ids[a][:, :, None] == ids[b][:, None, :]
+            # padding meets padding with weight 0
+            out[lo : lo + len(a)] = ((same * w[b][:, None, :]).sum(axis=2) * w[a]).sum(axis=1)
         return out
 
 
@@ -130,39 +136,44 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
         v = Vectors(shared.value)
         for b in batches:
             names = b.column("name").to_pylist()
-            there = {c: b.column(c).is_valid().to_pylist() for _, c, _ in kinds}
-            row, kind, gram, prefix = [], [], [], []
+            there = [b.column(c).is_valid().to_pylist() for _, c, _ in kinds]
+            row, kind, gram, weight, after, prefix = [], [], [], [], [], []
             for i, name in enumerate(names):
-                for k, c, t in kinds:
-                    if there[c][i]:
-                        p = v.prefix(name, t)
-                        row += [i] * len(p)
-                        kind += [k] * len(p)
-                        gram += p
+                for (k, _, _), found in zip(kinds, v.postings(name, tuple(t if has[i] else None for (_, _, t), has in zip(kinds, there, strict=True))), strict=True):
+                    if found:
+                        g, w, a = zip(*found, strict=True)
+                        row += [i] * len(g)
+                        kind += [k] * len(g)
+                        gram += g
+                        weight += w
+                        after += a
                         # by the rest of the prefix a pair is met once; posting lists of a day are short, so there it isn't needed
-                        prefix += [p] * len(p) if k != "day" else [None] * len(p)
+                        prefix += [list(g)] * len(g) if k != "day" else [None] * len(g)
             taken = pa.RecordBatch.from_arrays(b.columns, schema=b.schema).take(pa.array(row, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(kind, pa.string()), pa.array(gram, pa.int32()), pa.array(prefix, pa.list_(pa.int32()))], names=[*b.schema.names, "kind", "gram", "prefix"])
+            more = [pa.array(kind, pa.string()), pa.array(gram, pa.int32()), pa.array(weight, pa.float32()), pa.array(after, pa.float32()), pa.array(prefix, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*taken.columns, *more], names=[*b.schema.names, "kind", "gram", "weight", "after", "prefix"])
 
-    postings = profiles.select("unit", "name", "born", "gender", "country").mapInArrow(post, "unit bigint, name string, born date, gender string, country string, kind string, gram int, prefix array<int>")
+    postings = profiles.select("unit", "name", "born", "gender", "country").mapInArrow(post, "unit bigint, name string, born date, gender string, country string, kind string, gram int, weight float, after float, prefix array<int>")
     postings = Written(postings).df
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     agree = lambda c: F.coalesce(l(c) == r(c), F.lit(True))
     both = lambda c: l(c).isNotNull() & r(c).isNotNull()
     fits = (l("unit") < r("unit")) & agree("born") & agree("gender") & agree("country")
     once = F.array_min(F.array_intersect(l("prefix"), r("prefix"))) == l("gram")
+    # all grams that both have lie behind their first one: it and Cauchy's bound on the rest say how similar they can be
+    bound = lambda t: l("weight") * r("weight") + l("after") * r("after") >= F.lit(t - 1e-4)
     weaker = {"day": F.lit(True), "place": ~both("born") & once, "sex": ~both("born") & ~both("country") & once}
     out = None
-    for kind, key, _ in kinds:
+    for kind, key, t in kinds:
         own = postings.where(F.col("kind") == kind).drop("kind")
-        pairs = own.alias("l").join(own.alias("r"), (l("gram") == r("gram")) & (l(key) == r(key)) & fits & weaker[kind])
+        pairs = own.alias("l").join(own.alias("r"), (l("gram") == r("gram")) & (l(key) == r(key)) & fits & bound(t) & weaker[kind])
         pairs = pairs.select(l("unit").alias("a"), r("unit").alias("b"), l("name").alias("x"), r("name").alias("y"), both("born").alias("day"), both("country").alias("place"), both("gender").alias("sex"))
         out = pairs if out is None else out.unionByName(pairs)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vectors(shared.value)
         for b in batches:
-            cos = v.cosines(b.column("x").to_pylist(), b.column("y").to_pylist())
+            cos = v.cosines(b.column("x"), b.column("y"))
             day, place, sex = (b.column(c).to_numpy(zero_copy_only=False) for c in ("day", "place", "sex"))
             least = np.where(day, SAME_DAY, np.where(place, np.where(sex, SAME_PLACE, SAME_PLACE + 0.05), SAME_SEX))
             ok = np.flatnonzero(cos >= least - 1e-5)

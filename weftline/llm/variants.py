@@ -40,8 +40,10 @@ def same_performer(spark: SparkSession, sf: str) -> DataFrame:
     people = Written(mentions(spark, sf)).df
     sure = people.select("id", F.explode("keys").alias("key"))
     # one birthday and one full name, be it a name or an alias; initials are no full names
-    also = split_packed(table(spark, sf, "performers"), "id", "aliases").select(F.col("row_id").alias("id"), fold_name(F.col("value")).alias("folded"))
-    also = people.where("born is not null").select("id", "born").join(also.where(F.col("folded").rlike(r"^\p{L}{3,} .*\p{L}{3,}$")), "id")
+    aliases = table(spark, sf, "performers").where(F.length(F.trim("aliases")) > 2)
+    full = F.col("value").rlike(r"\p{L}{3,}[^\p{L}/]+(?:.*[^\p{L}/])?\p{L}{3,}") & ~F.contains(F.col("value"), F.lit("/"))
+    also = split_packed(aliases, "id", "aliases").where(full).select(F.col("row_id").alias("id"), fold_name(F.col("value")).alias("folded"))
+    also = people.where("born is not null").select("id", "born").join(also, "id")
     dated = people.where("born is not null and folded is not null").select("id", "born", "folded").unionByName(also)
     dated = dated.select("id", F.concat_ws(" ", F.lit("day"), "born", "folded").alias("key"))
     # mentions that nothing else tells apart are one unit from the start, so that a frequent name is not compared with itself
