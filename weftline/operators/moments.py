@@ -157,10 +157,12 @@ def parse_moment(text: Column, date_order: Column, zone: Column) -> Column:
     order = F.coalesce(F.upper(date_order), F.lit("YMD"))
 
     def dated(s: Column) -> Column:
-        shape = rx = F.lit(None).cast("string")
-        for name, pattern in reversed(SHAPES):
-            shape, rx = F.when(s.rlike(pattern), name).otherwise(shape), F.when(s.rlike(pattern), pattern).otherwise(rx)
-        return F.when(s.rlike(r"^-?\d{9,19}(?:\.\d+)?$"), _epoch(s)).otherwise(let(F.struct(shape.alias("shape"), rx.alias("rx")), lambda k: F.when(k["shape"].isNull(), _partial(s, month)).otherwise(shaped(s, k))))
+        known = F.array(*[F.struct(F.lit(name).alias("shape"), F.lit(pattern).alias("rx")) for name, pattern in SHAPES])
+        at = F.lit(None).cast("int")
+        for i, (_, pattern) in reversed(list(enumerate(SHAPES))):
+            at = F.when(s.rlike(pattern), i).otherwise(at)
+        of_shape = let(F.get(known, at), lambda k: F.when(k.isNull(), _partial(s, month)).otherwise(shaped(s, k)))
+        return F.when(s.rlike(r"^-?\d{9,19}(?:\.\d+)?$"), _epoch(s)).otherwise(of_shape)
 
     def shaped(s: Column, k: Column) -> Column:
         groups = [_extract(s, k["rx"], i) for i in range(1, 5)]
@@ -168,7 +170,9 @@ def parse_moment(text: Column, date_order: Column, zone: Column) -> Column:
         rest = F.rtrim(F.ltrim(F.regexp_replace(s, k["rx"], F.lit("")), F.lit(" t,:")), F.lit(" ,"))
         return let(F.struct(date.alias("date"), rest.alias("rest")), lambda p: F.when(p["date"].isNull(), _partial(s, month)).when(p["rest"].rlike(r"^\d"), _moment(p["date"], p["rest"], text, zone)).otherwise(p["date"].cast("string")))
 
-    return let(_cleaned(text), dated)
+    # most texts are plain ISO dates
+    plain = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date").cast("string"))
+    return F.when(plain.isNotNull() & (text > "0001"), plain).when(text.isNotNull(), let(_cleaned(text), dated))
 
 
 def estimate_zones(df: DataFrame, source: str, local: str, arrived: str, candidates: list[str]) -> DataFrame:
