@@ -10,18 +10,20 @@ from weftline.llm.groups import hash_to_min, star_links
 from weftline.session import table
 
 
-def source_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """(source_id, endpoint, page): each source once, its endpoint and page in one notation."""
+def with_source(spark: SparkSession, sf: str, mentions: DataFrame) -> DataFrame:
+    """mentions(source_id, ...) with host, endpoint and page of their source, the latter two in one notation.
+
+    A source that arrived twice gives its mentions twice, with the same content: whoever needs each once says so later.
+    """
     sources = table(spark, sf, "sources").where("id is not null").select(F.col("id").alias("source_id"), "endpoint", "url_key", "host")
-    return sources.groupBy("source_id").agg(F.max("endpoint").alias("endpoint"), F.max("url_key").alias("url_key"), F.max("host").alias("host")).select(
-        "source_id", endpoint_id(F.col("endpoint")).alias("endpoint"), url_key(F.col("url_key")).alias("page"), "host"
-    )
+    known = mentions.join(sources, "source_id", "left")
+    return known.withColumns({"endpoint": endpoint_id(F.col("endpoint")), "page": url_key(F.col("url_key"))}).drop("url_key")
 
 
 def mention_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, key): every key by which a mention of a performer can match another."""
+    """(id, key): every key by which a mention of a performer can match another; repeated for repeated deliveries."""
     mentions = table(spark, sf, "performers").select("id", "source_id", int_id(F.col("stored_id")).alias("stored"), uuid_id(F.col("remote_site_id")).alias("remote"))
-    known = mentions.join(source_keys(spark, sf), "source_id", "left")
+    known = with_source(spark, sf, mentions)
     # concat gives null where a part is null: a remote id without endpoint links nothing
     keys = F.array(F.concat(F.lit("stored "), F.col("stored")), F.concat(F.lit("remote "), F.col("endpoint"), F.lit(" "), F.col("remote")), F.concat(F.lit("page "), F.col("page")))
     return known.select("id", F.explode(F.array_compact(keys)).alias("key"))

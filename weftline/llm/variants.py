@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.clean import int_id, nullish, uuid_id
 from weftline.llm.groups import hash_to_min, star_links
-from weftline.llm.matches import source_keys
+from weftline.llm.matches import with_source
 from weftline.llm.names import average_linkage, fold_name, gram_weights, only_bearers, similar_pairs
 from weftline.operators.moments import parse_moment
 from weftline.operators.multivalue import split_packed
@@ -17,8 +17,8 @@ from weftline.session import Written, table
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Each mention once: id, name, folded name, evidence (born, gender, country) and strong keys."""
     sites = table(spark, sf, "sites").select("host", "date_order")
-    once = table(spark, sf, "performers").where("id is not null").select("id", "source_id", "stored_id", "remote_site_id", "name", "gender", "birthdate", "country").dropDuplicates(["id"])
-    known = once.join(source_keys(spark, sf), "source_id", "left").join(sites, "host", "left")
+    once = table(spark, sf, "performers").where("id is not null").select("id", "source_id", "stored_id", "remote_site_id", "name", "gender", "birthdate", "country")
+    known = with_source(spark, sf, once).dropDuplicates(["id"]).join(sites, "host", "left")
     # the day as it is written: a birthday has no time zone
     written_day = F.regexp_extract("birthdate", r"^\s*['\"]?(\d{4}-\d{2}-\d{2})[T ]\d", 1).try_cast("date")
     form = parse_moment(F.col("birthdate"), F.col("date_order"), F.lit("UTC"))
