@@ -117,6 +117,8 @@ class Vectors:
 
 # Evidence two records share, from strong to weak, and the least cosine of their names that it takes.
 SAME_DAY, SAME_PLACE, SAME_SEX = 0.3, 0.75, 0.9
+#: Records of one birthday up to which all are compared with each other; beyond it only those that share a prefix gram.
+TOGETHER = 64
 #: The score of a link by the whole name alone, to the only record it can mean.
 SAME_NAME = 0.75
 
@@ -137,6 +139,8 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
         for b in batches:
             names = b.column("name").to_pylist()
             there = [b.column(c).is_valid().to_pylist() for _, c, _ in kinds]
+            there[0] = [bool(x) for x in b.column("crowded").to_pylist()]
+            b = b.select(["unit", "name", "born", "gender", "country"])
             row, kind, gram, weight, after, prefix = [], [], [], [], [], []
             for i, name in enumerate(names):
                 for (k, _, _), found in zip(kinds, v.postings(name, tuple(t if has[i] else None for (_, _, t), has in zip(kinds, there, strict=True))), strict=True):
@@ -153,7 +157,12 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
             more = [pa.array(kind, pa.string()), pa.array(gram, pa.int32()), pa.array(weight, pa.float32()), pa.array(after, pa.float32()), pa.array(prefix, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*taken.columns, *more], names=[*b.schema.names, "kind", "gram", "weight", "after", "prefix"])
 
-    postings = profiles.select("unit", "name", "born", "gender", "country").mapInArrow(post, "unit bigint, name string, born date, gender string, country string, kind string, gram int, weight float, after float, prefix array<int>")
+    # the few records of a birthday are compared without grams; a birthday that many share is no evidence by itself
+    often = profiles.where("born is not null").groupBy("born").agg(F.count("*").alias("bearers"))
+    counted = profiles.select("unit", "name", "born", "gender", "country").join(often, "born", "left")
+    own = counted.select("unit", "name", "born", "gender", "country", (F.col("bearers") > TOGETHER).alias("crowded"))
+    own = Written(own).df
+    postings = own.mapInArrow(post, "unit bigint, name string, born date, gender string, country string, kind string, gram int, weight float, after float, prefix array<int>")
     postings = Written(postings).df
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     agree = lambda c: F.coalesce(l(c) == r(c), F.lit(True))
@@ -163,11 +172,17 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
     # all grams that both have lie behind their first one: it and Cauchy's bound on the rest say how similar they can be
     bound = lambda t: l("weight") * r("weight") + l("after") * r("after") >= F.lit(t - 1e-4)
     weaker = {"day": F.lit(True), "place": ~both("born") & once, "sex": ~both("born") & ~both("country") & once}
+    shown = [l("unit").alias("a"), r("unit").alias("b"), l("name").alias("x"), r("name").alias("y"), both("born").alias("day"), both("country").alias("place"), both("gender").alias("sex")]
+    lonely = own.where("not crowded")
     out = None
     for kind, key, t in kinds:
         own = postings.where(F.col("kind") == kind).drop("kind")
         pairs = own.alias("l").join(own.alias("r"), (l("gram") == r("gram")) & (l(key) == r(key)) & fits & bound(t) & weaker[kind])
-        pairs = pairs.select(l("unit").alias("a"), r("unit").alias("b"), l("name").alias("x"), r("name").alias("y"), both("born").alias("day"), both("country").alias("place"), both("gender").alias("sex"))
+        if kind == "day":
+            near = lonely.alias("l").join(lonely.alias("r"), (l("born") == r("born")) & fits)
+            pairs = pairs.select(*shown).unionByName(near.select(*shown))
+        else:
+            pairs = pairs.select(*shown)
         out = pairs if out is None else out.unionByName(pairs)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,10 +228,10 @@ def average_linkage(links: DataFrame, units: DataFrame, threshold: float = 0.5)
         agree = F.lit(True)
         for x in ("born", "gender", "country"):
             agree = agree & F.coalesce(F.col(f"a_{x}") == F.col(f"b_{x}"), F.lit(True))
-        open_edges = Written(edges.df.join(known("a"), "a").join(known("b"), "b").where(agree & (F.col("total") / F.col("n") >= threshold)).select("a", "b", "total", "n"))
+        open_edges = Written(edges.df.join(known("a"), "a").join(known("b"), "b").where(agree).select("a", "b", "total", "n"))
         edges.drop()
         edges = open_edges
-        ways = edges.df.select(F.explode(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("to"), (F.col("total") / F.col("n")).alias("avg")), F.struct(F.col("b").alias("at"), F.col("a").alias("to"), (F.col("total") / F.col("n")).alias("avg")))).alias("x")).select("x.*")
+        ways = edges.df.where(F.col("total") / F.col("n") >= threshold).select(F.explode(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("to"), (F.col("total") / F.col("n")).alias("avg")), F.struct(F.col("b").alias("at"), F.col("a").alias("to"), (F.col("total") / F.col("n")).alias("avg")))).alias("x")).select("x.*")
         best = ways.groupBy("at").agg(F.max(F.struct(F.round("avg", 9).alias("avg"), (-F.col("to")).alias("minus"))).alias("best")).select("at", (-F.col("best.minus")).alias("to"))
         merged = Written(best.alias("p").join(best.alias("q"), (F.col("p.at") == F.col("q.to")) & (F.col("p.to") == F.col("q.at")) & (F.col("p.at") < F.col("p.to"))).select(F.col("p.to").alias("old"), F.col("p.at").alias("new")))
         if merged.df.isEmpty():
