@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,7 +30,6 @@ MAX_CAPACITY = 1 << 20
 RANK_TOGETHER = 200_000
 
 
-@lru_cache(maxsize=4)
 def tokenizer(path: str):  # noqa: ANN201
     import tiktoken
 
