@@ -130,3 +130,25 @@ def fold_chain(links: DataFrame, seeds: DataFrame, rounds: int = 1_000) -> DataF
             break
         seen, wave = Written(seen.df.unionByName(fresh.df)), fresh
     return seen.df
+
+
+def spread_labels(keyed: DataFrame, ids: DataFrame) -> DataFrame:
+    """keyed(id, key), ids(id) -> (id, group_id): the smallest id each record is connected to through keys.
+
+    Every round each key takes the least label of its records, each record the least of its keys, and labels jump to the
+    label of the record they name, so that long chains take few rounds. Records without keys are their own group.
+    """
+    from weftline.session import Written
+
+    links = Written(keyed.where("id is not null and key is not null").distinct()).df
+    held = Written(ids.where("id is not null").distinct().select("id", F.col("id").alias("label")))
+    while True:
+        by_key = links.join(held.df, "id").groupBy("key").agg(F.min("label").alias("low"))
+        low = links.join(by_key, "key").groupBy("id").agg(F.min("low").alias("low"))
+        near = held.df.join(low, "id", "left").select("id", "label", F.least("label", F.coalesce("low", "label")).alias("low"))
+        jump = held.df.select(F.col("id").alias("low"), F.col("label").alias("far"))
+        step = Written(near.join(jump, "low", "left").select("id", F.col("label").alias("was"), F.least("low", F.coalesce("far", "low")).alias("label")))
+        done = step.df.where("label < was").isEmpty()
+        held = Written(step.df.select("id", "label")) if not done else held
+        if done:
+            return held.df.select("id", F.col("label").alias("group_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import problems, scalars, store
+from weftline.plans import problems, reviews, scalars, store
 
-QUERIES = {**problems.QUERIES, **store.QUERIES, **scalars.QUERIES}
-ORACLES = {**store.ORACLES, **scalars.ORACLES}
+QUERIES = {**problems.QUERIES, **store.QUERIES, **scalars.QUERIES, **reviews.QUERIES}
+ORACLES = {**store.ORACLES, **scalars.ORACLES, **reviews.ORACLES}

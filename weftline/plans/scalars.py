@@ -188,7 +188,7 @@ def x3_site_rules(spark: SparkSession, sf: str) -> DataFrame:
     return u.select("id", "r.url", "r.domain")
 
 
-@query("x4_urls_in_text", "select doc_id, array_to_string(list_distinct(list_transform(regexp_extract_all(text, '(?i)https?://[^\\s\"''<>)\\]}]+'), lambda u: regexp_replace(u, '[.,;:!?)]+$', ''))), ' ') as urls from documents where contains(lower(text), 'http')")
+@query("x4_urls_in_text", "select doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') as urls from (select doc_id, list_transform(regexp_extract_all(text, '(?i)https?://[^\\s\"''<>)\\]}]+'), lambda u: regexp_replace(u, '[.,;:!?)]+$', '')) as l from documents where contains(lower(text), 'http'))")
 def x4_urls_in_text(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "text").where(F.contains(F.lower("text"), F.lit("http")))
     return d.select("doc_id", F.array_join(urls.in_text(F.col("text")), " ").alias("urls"))
