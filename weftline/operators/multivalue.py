@@ -97,18 +97,24 @@ def split_strings(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return parents, (np.arange(len(parents)) - first + 1).astype(np.int32), values.take(pa.array(keep))
 
 
-def split_packed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df -> (row_id, pos int, value string): one row per value packed in `text_col`, in its order, pos from 1.
+def split_packed(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None, once: bool = True) -> DataFrame:
+    """df -> (row_id, pos int, value string, kept columns): one row per value packed in `text_col`, in its order, pos from 1.
 
     Delimiters may be mixed: comma, semicolon, bar, tab, line break, bullets, spaced slash, words such as "aka".
     Quoted text is never split and loses the quotes around it; JSON lists are read as such. Empty places, stand-ins and
-    null fields give no row. Rows that arrive twice count once (`id_col` names the record). Extra columns are not read.
+    null fields give no row. Rows that arrive twice count once (`id_col` names the record), unless `once` is False. Extra
+    columns that are not to be kept are not read.
     """
-    once = df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text")).where("row_id is not null and text is not null").dropDuplicates(["row_id"])
+    keep = keep or []
+    rows = df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text"), *keep).where("row_id is not null and text is not null")
+    if once:
+        rows = rows.dropDuplicates(["row_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parents, pos, values = split_strings(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(parents)), pa.array(pos), values.cast(pa.string())], names=["row_id", "pos", "value"])
+            at = pa.array(parents)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(pos), values.cast(pa.string()), *[b.column(2 + i).take(at) for i in range(len(keep))]], names=["row_id", "pos", "value", *keep])
 
-    return once.mapInArrow(run, "row_id bigint, pos int, value string")
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, "row_id bigint, pos int, value string" + kinds)
