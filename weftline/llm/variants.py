@@ -15,10 +15,13 @@ from weftline.session import Written, table
 
 
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """Each mention once: id, name, folded name, evidence (born, gender, country) and strong keys."""
+    """Mentions: id, name, folded name, aliases, evidence (born, gender, country) and strong keys.
+
+    A mention or source that arrived again has equal rows; all that follows counts ids, not rows.
+    """
     sites = table(spark, sf, "sites").select("host", "date_order")
-    once = table(spark, sf, "performers").where("id is not null").select("id", "source_id", "stored_id", "remote_site_id", "name", "gender", "birthdate", "country")
-    known = with_source(spark, sf, once).dropDuplicates(["id"]).join(sites, "host", "left")
+    once = table(spark, sf, "performers").where("id is not null").select("id", "source_id", "stored_id", "remote_site_id", "name", "gender", "birthdate", "country", "aliases")
+    known = with_source(spark, sf, once).join(sites, "host", "left")
     # the day as it is written: a birthday has no time zone
     written_day = F.regexp_extract("birthdate", r"^\s*['\"]?(\d{4}-\d{2}-\d{2})[T ]\d", 1).try_cast("date")
     form = parse_moment(F.col("birthdate"), F.col("date_order"), F.lit("UTC"))
@@ -32,24 +35,23 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("page "), F.col("page")),
         F.concat(F.lit("slug "), F.when(slug != "", slug)),
     ))
-    return known.select("id", "name", fold_name(F.col("name")).alias("folded"), born.alias("born"), sex.alias("gender"), F.upper(nullish(F.col("country"))).alias("country"), keys.alias("keys"))
+    return known.select("id", "name", "aliases", fold_name(F.col("name")).alias("folded"), born.alias("born"), sex.alias("gender"), F.upper(nullish(F.col("country"))).alias("country"), keys.alias("keys"))
 
 
 def same_performer(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, name, cluster) of every mention: the operator behind p5."""
+    """(id, name, cluster) of every mention, once: the operator behind p5."""
     people = Written(mentions(spark, sf)).df
     sure = people.select("id", F.explode("keys").alias("key"))
     # one birthday and one full name, be it a name or an alias; initials are no full names
-    aliases = table(spark, sf, "performers").where(F.length(F.trim("aliases")) > 2)
     full = F.col("value").rlike(r"\p{L}{3,}[^\p{L}/]+(?:.*[^\p{L}/])?\p{L}{3,}") & ~F.contains(F.col("value"), F.lit("/"))
-    also = split_packed(aliases, "id", "aliases").where(full).select(F.col("row_id").alias("id"), fold_name(F.col("value")).alias("folded"))
-    also = people.where("born is not null").select("id", "born").join(also, "id")
+    listed = people.where("born is not null and length(trim(aliases)) > 2")
+    also = split_packed(listed, "id", "aliases", ["born"], once=False).where(full).select(F.col("row_id").alias("id"), "born", fold_name(F.col("value")).alias("folded"))
     dated = people.where("born is not null and folded is not null").select("id", "born", "folded").unionByName(also)
     dated = dated.select("id", F.concat_ws(" ", F.lit("day"), "born", "folded").alias("key"))
     # mentions that nothing else tells apart are one unit from the start, so that a frequent name is not compared with itself
     bare = people.where("born is null and size(keys) = 0 and folded is not null").select("id", F.concat_ws("|", F.lit("bare"), "folded", F.coalesce("gender", F.lit("")), F.coalesce("country", F.lit(""))).alias("key"))
     groups = hash_to_min(star_links(sure.unionByName(dated).unionByName(bare)))
-    placed = Written(people.drop("keys").join(groups, "id", "left").withColumn("unit", F.coalesce("group_id", "id")).drop("group_id")).df
+    placed = Written(people.drop("keys", "aliases").join(groups, "id", "left").withColumn("unit", F.coalesce("group_id", "id")).drop("group_id")).df
     units = Written(placed.groupBy("unit").agg(F.max("born").alias("born"), F.max("gender").alias("gender"), F.max("country").alias("country"))).df
     spelled = placed.where("folded is not null").select("unit", F.col("folded").alias("name")).distinct()
     profiles = Written(spelled.join(units, "unit")).df
@@ -57,7 +59,7 @@ def same_performer(spark: SparkSession, sf: str) -> DataFrame:
     links = similar_pairs(profiles, idf).unionByName(only_bearers(profiles)).groupBy("a", "b").agg(F.max("score").alias("score"))
     links = Written(links).df
     clusters = average_linkage(links, units)
-    return placed.join(clusters, "unit", "left").select("id", "name", F.coalesce("cluster", "unit").alias("cluster"))
+    return placed.join(clusters, "unit", "left").select("id", "name", F.coalesce("cluster", "unit").alias("cluster")).distinct()
 
 
 def variant_pairs(clustered: DataFrame) -> DataFrame:
