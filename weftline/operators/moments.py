@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.clean import let
+from weftline.session import fixed_values
 
 # Month names, full and short, in eight languages, without accents.
 MONTHS = {
@@ -195,7 +196,7 @@ def zones_for(sites: DataFrame, observed: DataFrame | None = None) -> DataFrame:
     declared = sites.where("host is not null").groupBy("host").agg(F.min("zone").alias("zone"), F.min("date_order").alias("date_order"))
     if observed is None:
         return declared
-    candidates = sorted(r.zone for r in sites.select("zone").where("zone is not null").distinct().limit(500).collect())
+    candidates = fixed_values(sites, "zone")
     open_hosts = declared.where("zone is null").select("host")
     if not candidates or open_hosts.isEmpty():
         return declared

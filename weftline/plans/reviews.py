@@ -9,8 +9,8 @@ from weftline.functions import text
 from weftline.functions.clean import endpoint_id, uuid_id
 from weftline.operators import relational as R
 from weftline.plans.store import ONE, PERFORMERS, RESULTS, RUNS, SCENES, SOURCES, TAGS, URLS, once
+from weftline.session import fixed_values, table
 from weftline.sources import sinks
-from weftline.session import table
 
 QUERIES, ORACLES = {}, {}
 
@@ -55,7 +55,7 @@ def j18_plan_decisions(spark: SparkSession, sf: str) -> DataFrame:
 @query("j26_plan_sources", f"select r.id as run_id, count(*) as planned from {RUNS} r join (select host from sites where kind = 'BOX') b on true where r.status <> 'FAILED' group by r.id")
 def j26_plan_sources(spark: SparkSession, sf: str) -> DataFrame:
     """The calls a run plans: one a box, generated per run from the fixed list of boxes."""
-    boxes = [r.host for r in table(spark, sf, "sites").where("kind = 'BOX'").select("host").limit(1000).collect()]
+    boxes = fixed_values(table(spark, sf, "sites").where("kind = 'BOX'"), "host")
     runs = once(spark, sf, "runs", "status").where("status <> 'FAILED'").select(F.col("id").alias("run_id"), F.explode(F.array(*[F.lit(b) for b in boxes])).alias("host"))
     return runs.groupBy("run_id").agg(F.count("*").alias("planned"))
 

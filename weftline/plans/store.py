@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import relational as R
-from weftline.session import table
+from weftline.session import fixed_values, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,7 +148,7 @@ def j6_parent_column(spark: SparkSession, sf: str) -> DataFrame:
 @query("j7_url_patterns", f"select u.id, s.host as handler from {URLS} u join sites s on contains(lower(u.url), lower(s.host))")
 def j7_url_patterns(spark: SparkSession, sf: str) -> DataFrame:
     """URLs with every handler whose pattern they contain. The patterns are a fixed table of 28 rows, tried per URL inside one expression."""
-    patterns = [r.host for r in table(spark, sf, "sites").select("host").where("host is not null").distinct().orderBy("host").limit(1000).collect()]
+    patterns = fixed_values(table(spark, sf, "sites"), "host")
     u = once(spark, sf, "urls", "url")
     hits = F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: F.contains(F.lower("url"), F.lower(p)))
     return u.select("id", F.explode(hits).alias("handler"))
@@ -211,8 +211,8 @@ def j14_insert_or_ignore(spark: SparkSession, sf: str) -> DataFrame:
 @query("j15_not_attempted", f"select h.host, r.id as run_id from (select id from {RUNS} where mode = 'FAST') r join lateral (select host from sites where kind = 'BOX') h on true where not exists (select 1 from {SOURCES} s where s.run_id = r.id and s.host = h.host)")
 def j15_not_attempted(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes that a fast run has not asked. The boxes are listed per run inside one expression, not joined."""
-    boxes = [r.host for r in table(spark, sf, "sites").where("kind = 'BOX'").select("host").limit(1000).collect()]
-    runs = once(spark, sf, "runs", "mode").where("mode = 'FAST'").select(F.col("id").alias("run_id"), F.explode(F.array(*[F.lit(b) for b in sorted(boxes)])).alias("host"))
+    boxes = fixed_values(table(spark, sf, "sites").where("kind = 'BOX'"), "host")
+    runs = once(spark, sf, "runs", "mode").where("mode = 'FAST'").select(F.col("id").alias("run_id"), F.explode(F.array(*[F.lit(b) for b in boxes])).alias("host"))
     asked = table(spark, sf, "sources").select("run_id", "host").distinct()
     return runs.join(asked, ["run_id", "host"], "left_anti").select("host", "run_id")
 

@@ -26,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fixed_values(df: DataFrame, column: str, most: int = 1_000) -> list:
+    """The distinct values of a small fixed table's column, in order; an error if there are more than `most`."""
+    rows = df.select(column).where(f"`{column}` is not null").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column}: more than {most} values are no fixed table")
+    return sorted(r[0] for r in rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
     global _own_dir
