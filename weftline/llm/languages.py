@@ -21,8 +21,9 @@ from weftline.llm.leaks import spread
 from weftline.session import table
 
 LANGS = ["de", "en", "es", "fr", "it", "nl", "pt", "sv"]
-#: Labelled documents of each language that the field is fitted on at most, and characters of each that are read for it.
-FIT_DOCS, FIT_CHARS = 150, 2_000
+#: Labelled documents of each language that the field is fitted on at most, characters that such a document may have, and
+#: sentences of each, from all over it, so that no document with a wrong label outweighs many with the right one.
+FIT_DOCS, FIT_CHARS, FIT_SENTENCES = 250, 20_000, 12
 FEATURES = 1 << 17
 #: Words of the sample that must have a feature for it to count.
 LEAST_COUNT = 5
@@ -164,7 +165,10 @@ def fit(samples: list[tuple[str, str]], steps: int = 40, rate: float = 0.5, seed
     sentences of several languages.
     """
     rng = np.random.default_rng(seed)
-    held = [(LANGS.index(lang), s, k % 2) for k, (lang, text) in enumerate(samples) for s in sentences(text) if len(s) >= 3]
+    held = []
+    for k, (lang, text) in enumerate(samples):
+        own = [s for s in sentences(text) if len(s) >= 3]
+        held += [(LANGS.index(lang), own[i], k % 2) for i in sorted(rng.permutation(len(own))[:FIT_SENTENCES])]
     blank = Field(np.zeros((FEATURES, len(LANGS)), np.float32), np.eye(len(LANGS)) * 2.0, np.eye(len(LANGS)) * 1.0)
     agreed = []
     for half in (0, 1):
@@ -282,8 +286,8 @@ def label_texts(field: Field, texts: list[str | None]) -> tuple[np.ndarray, np.n
 
 
 def fit_sample(docs: DataFrame, per_lang: int = FIT_DOCS, chars: int = FIT_CHARS) -> list[tuple[str, str]]:
-    """At most `per_lang` documents for each label, by hash of their id; the start of each is enough to fit on."""
-    known = docs.select("doc_id", label_of(F.col("lang")).alias("code"), F.substring("text", 1, chars).alias("text")).where("code is not null and length(text) > 40")
+    """At most `per_lang` whole documents for each label, by hash of their id, none of more than `chars` characters."""
+    known = docs.select("doc_id", label_of(F.col("lang")).alias("code"), "text").where(f"code is not null and length(text) between 40 and {chars}")
     # a bound on the hash that keeps about twice as many as are wanted, then exactly the least of those: no text is sorted but these
     share = known.groupBy("code").agg(F.count("*").alias("n"))
     bound = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(2.0 * per_lang + 50) / F.col("n"))
