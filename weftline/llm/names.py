@@ -167,19 +167,22 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     agree = lambda c: F.coalesce(l(c) == r(c), F.lit(True))
     both = lambda c: l(c).isNotNull() & r(c).isNotNull()
-    fits = (l("unit") < r("unit")) & agree("born") & agree("gender") & agree("country")
+    fits = agree("born") & agree("gender") & agree("country")
+    # without a common birthday one of both has none: that one is on the left, so those that have one never meet each other
+    ordered = {"day": l("unit") < r("unit"), "place": r("born").isNotNull() | (l("unit") < r("unit")), "sex": r("born").isNotNull() | (l("unit") < r("unit"))}
     once = F.array_min(F.array_intersect(l("prefix"), r("prefix"))) == l("gram")
     # all grams that both have lie behind their first one: it and Cauchy's bound on the rest say how similar they can be
     bound = lambda t: l("weight") * r("weight") + l("after") * r("after") >= F.lit(t - 1e-4)
-    weaker = {"day": F.lit(True), "place": ~both("born") & once, "sex": ~both("born") & ~both("country") & once}
-    shown = [l("unit").alias("a"), r("unit").alias("b"), l("name").alias("x"), r("name").alias("y"), both("born").alias("day"), both("country").alias("place"), both("gender").alias("sex")]
+    weaker = {"day": F.lit(True), "place": once, "sex": ~both("country") & once}
+    shown = [F.least(l("unit"), r("unit")).alias("a"), F.greatest(l("unit"), r("unit")).alias("b"), l("name").alias("x"), r("name").alias("y"), both("born").alias("day"), both("country").alias("place"), both("gender").alias("sex")]
     lonely = own.where("not crowded")
     out = None
     for kind, key, t in kinds:
         own = postings.where(F.col("kind") == kind).drop("kind")
-        pairs = own.alias("l").join(own.alias("r"), (l("gram") == r("gram")) & (l(key) == r(key)) & fits & bound(t) & weaker[kind])
+        left = own if kind == "day" else own.where("born is null")
+        pairs = left.alias("l").join(own.alias("r"), (l("gram") == r("gram")) & (l(key) == r(key)) & ordered[kind] & fits & bound(t) & weaker[kind])
         if kind == "day":
-            near = lonely.alias("l").join(lonely.alias("r"), (l("born") == r("born")) & fits)
+            near = lonely.alias("l").join(lonely.alias("r"), (l("born") == r("born")) & ordered["day"] & fits)
             pairs = pairs.select(*shown).unionByName(near.select(*shown))
         else:
             pairs = pairs.select(*shown)
