@@ -19,9 +19,12 @@ def star_links(keyed: DataFrame) -> DataFrame:
 
     A key of n records gives n - 1 links, not n * n. Null keys and ids link nothing; repeated rows count once.
     """
-    keyed = Written(keyed.where("id is not null and key is not null").select("id", "key")).df
+    held = Written(keyed.where("id is not null and key is not null").select("id", "key"))
+    keyed = held.df
     least = keyed.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last")
-    return keyed.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    links = Written(keyed.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    held.drop()
+    return links.df
 
 
 def _round(c: DataFrame) -> DataFrame:

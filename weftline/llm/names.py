@@ -161,9 +161,11 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
     often = profiles.where("born is not null").groupBy("born").agg(F.count("*").alias("bearers"))
     counted = profiles.select("unit", "name", "born", "gender", "country").join(often, "born", "left")
     own = counted.select("unit", "name", "born", "gender", "country", (F.col("bearers") > TOGETHER).alias("crowded"))
-    own = Written(own).df
+    held = Written(own)
+    own = held.df
     postings = own.mapInArrow(post, "unit bigint, name string, born date, gender string, country string, kind string, gram int, weight float, after float, prefix array<int>")
-    postings = Written(postings).df
+    posted = Written(postings)
+    postings = posted.df
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     agree = lambda c: F.coalesce(l(c) == r(c), F.lit(True))
     both = lambda c: l(c).isNotNull() & r(c).isNotNull()
@@ -178,9 +180,9 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
     lonely = own.where("not crowded")
     out = None
     for kind, key, t in kinds:
-        own = postings.where(F.col("kind") == kind).drop("kind")
-        left = own if kind == "day" else own.where("born is null")
-        pairs = left.alias("l").join(own.alias("r"), (l("gram") == r("gram")) & (l(key) == r(key)) & ordered[kind] & fits & bound(t) & weaker[kind])
+        posts = postings.where(F.col("kind") == kind).drop("kind")
+        left = posts if kind == "day" else posts.where("born is null")
+        pairs = left.alias("l").join(posts.alias("r"), (l("gram") == r("gram")) & (l(key) == r(key)) & ordered[kind] & fits & bound(t) & weaker[kind])
         if kind == "day":
             near = lonely.alias("l").join(lonely.alias("r"), (l("born") == r("born")) & ordered["day"] & fits)
             pairs = pairs.select(*shown).unionByName(near.select(*shown))
@@ -199,7 +201,10 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
             s = 0.5 + 0.5 * (cos[ok] - least[ok]) / (1 - least[ok])
             yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(ok)), b.column("b").take(pa.array(ok)), pa.array(s.astype(np.float64))], names=["a", "b", "score"])
 
-    return out.mapInArrow(score, "a bigint, b bigint, score double").groupBy("a", "b").agg(F.max("score").alias("score"))
+    links = Written(out.mapInArrow(score, "a bigint, b bigint, score double").groupBy("a", "b").agg(F.max("score").alias("score")))
+    for used in (held, posted):
+        used.drop()
+    return links.df
 
 
 def only_bearers(profiles: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 def same_performer(spark: SparkSession, sf: str) -> DataFrame:
     """(id, name, cluster) of every mention, once: the operator behind p5."""
-    people = Written(mentions(spark, sf)).df
+    held = Written(mentions(spark, sf))
+    people = held.df
     sure = people.select("id", F.explode("keys").alias("key"))
     # one birthday and one full name, be it a name or an alias; initials are no full names
     full = F.col("value").rlike(r"\p{L}{3,}[^\p{L}/]+(?:.*[^\p{L}/])?\p{L}{3,}") & ~F.contains(F.col("value"), F.lit("/"))
@@ -52,6 +53,7 @@ def same_performer(spark: SparkSession, sf: str) -> DataFrame:
     bare = people.where("born is null and size(keys) = 0 and folded is not null").select("id", F.concat_ws("|", F.lit("bare"), "folded", F.coalesce("gender", F.lit("")), F.coalesce("country", F.lit(""))).alias("key"))
     groups = hash_to_min(star_links(sure.unionByName(dated).unionByName(bare)))
     placed = Written(people.drop("keys", "aliases").join(groups, "id", "left").withColumn("unit", F.coalesce("group_id", "id")).drop("group_id")).df
+    held.drop()
     units = Written(placed.groupBy("unit").agg(F.max("born").alias("born"), F.max("gender").alias("gender"), F.max("country").alias("country"))).df
     spelled = placed.where("folded is not null").select("unit", F.col("folded").alias("name")).distinct()
     profiles = Written(spelled.join(units, "unit")).df
