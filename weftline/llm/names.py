@@ -40,15 +40,15 @@ def _fold_pairs() -> tuple[str, str]:
 
 
 def fold_name(c: Column) -> Column:
-    """A name as tokens of letters: no accents, case, notes in brackets or behind a dash, quoted nicknames; "B, A" is "A B"."""
+    """A name as tokens of letters: no accents, case, notes in brackets or behind a dash, quoted nicknames; "B, A" and "AB" with two capitals are "A B"; words such as "Jr." behind a name are left out."""
     src, dst = _fold_pairs()
-    plain = c.rlike(r"^[A-Za-z]+(?: [A-Za-z]+)*$")
-    s = F.translate(c, src, dst)
+    plain = c.rlike(r"^(?:[A-Z]?[a-z]+|[A-Z]+)(?: (?:[A-Z]?[a-z]+|[A-Z]+))*$")
+    s = F.regexp_replace(F.translate(c, src, dst), r"(\p{Ll})(\p{Lu})", "$1 $2")
     s = F.regexp_replace(F.regexp_replace(F.lower(s), "ß", "ss"), "[æœ]", "ae")
     s = F.regexp_replace(s, r"\([^)]*\)|\[[^\]]*\]|\"[^\"]*\"|“[^”]*”", " ")
     s = F.regexp_replace(s, r" [-–—] .*$", "")
-    s = F.regexp_replace(s, r"^\s*([^,]+),\s*(?!jr\b|sr\b)([^,]+)\s*$", "$2 $1")
-    s = F.btrim(F.regexp_replace(s, r"[^\p{L}]+", " "))
+    s = F.regexp_replace(s, r"^\s*([^,]+),\s*+(?!jr\b|sr\b)([^,]+)\s*$", "$2 $1")
+    s = F.regexp_replace(F.btrim(F.regexp_replace(s, r"[^\p{L}]+", " ")), r"(?<=\S \S{2,40}) (?:jr|sr|ii|iii)$", "")
     return F.when(plain, F.lower(c)).otherwise(F.nullif(s, F.lit("")))
 
 
@@ -123,12 +123,18 @@ TOGETHER = 64
 SAME_NAME = 0.75
 
 
+def with_bearers(profiles: DataFrame) -> DataFrame:
+    """profiles(name, born, ...) with `bearers`: how many birthdays the records of each name have. A name of several says nothing by itself."""
+    per = profiles.groupBy("name").agg(F.count_distinct("born").cast("int").alias("bearers"))
+    return profiles.join(per, "name")
+
+
 def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
-    """profiles(unit, name, born date, gender, country) -> (a, b, score), a < b: units of similar name whose evidence agrees.
+    """profiles(unit, name, born date, gender, country, bearers) -> (a, b, score), a < b: units of similar name whose evidence agrees.
 
     Joined on a prefix gram and the birthday both have; or, where one has none, the country both have; or, where one has
     neither, the gender both have, at a higher threshold each time. Evidence that both have and that differs rules a pair
-    out. What the name alone links is in `only_bearers`.
+    out. A name with several bearers is compared on a birthday only. What the name alone links is in `only_bearers`.
     """
     spark = profiles.sparkSession
     shared = spark.sparkContext.broadcast(idf)
@@ -140,6 +146,8 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
             names = b.column("name").to_pylist()
             there = [b.column(c).is_valid().to_pylist() for _, c, _ in kinds]
             there[0] = [bool(x) for x in b.column("crowded").to_pylist()]
+            telling = b.column("telling").to_pylist()
+            there[1:] = [[x and y for x, y in zip(has, telling, strict=True)] for has in there[1:]]
             b = b.select(["unit", "name", "born", "gender", "country"])
             row, kind, gram, weight, after, prefix = [], [], [], [], [], []
             for i, name in enumerate(names):
@@ -158,9 +166,9 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*taken.columns, *more], names=[*b.schema.names, "kind", "gram", "weight", "after", "prefix"])
 
     # the few records of a birthday are compared without grams; a birthday that many share is no evidence by itself
-    often = profiles.where("born is not null").groupBy("born").agg(F.count("*").alias("bearers"))
-    counted = profiles.select("unit", "name", "born", "gender", "country").join(often, "born", "left")
-    own = counted.select("unit", "name", "born", "gender", "country", (F.col("bearers") > TOGETHER).alias("crowded"))
+    often = profiles.where("born is not null").groupBy("born").agg(F.count("*").alias("there"))
+    counted = profiles.select("unit", "name", "born", "gender", "country", "bearers").join(often, "born", "left")
+    own = counted.select("unit", "name", "born", "gender", "country", (F.col("there") > TOGETHER).alias("crowded"), (F.col("bearers") < 2).alias("telling"))
     held = Written(own)
     own = held.df
     postings = own.mapInArrow(post, "unit bigint, name string, born date, gender string, country string, kind string, gram int, weight float, after float, prefix array<int>")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.clean import int_id, nullish, uuid_id
 from weftline.llm.groups import hash_to_min, star_links
 from weftline.llm.matches import with_source
-from weftline.llm.names import average_linkage, fold_name, gram_weights, only_bearers, similar_pairs
+from weftline.llm.names import average_linkage, fold_name, gram_weights, only_bearers, similar_pairs, with_bearers
 from weftline.operators.moments import parse_moment
 from weftline.operators.multivalue import split_packed
 from weftline.session import Written, table
@@ -45,9 +45,11 @@ def same_performer(spark: SparkSession, sf: str) -> DataFrame:
     sure = people.select("id", F.explode("keys").alias("key"))
     # one birthday and one full name, be it a name or an alias; initials are no full names
     full = F.col("value").rlike(r"\p{L}{3,}[^\p{L}/]+(?:.*[^\p{L}/])?\p{L}{3,}") & ~F.contains(F.col("value"), F.lit("/"))
-    listed = people.where("born is not null and length(trim(aliases)) > 2")
-    also = split_packed(listed, "id", "aliases", ["born"], once=False).where(full).select(F.col("row_id").alias("id"), "born", fold_name(F.col("value")).alias("folded"))
-    dated = people.where("born is not null and folded is not null").select("id", "born", "folded").unionByName(also)
+    listed = split_packed(people.where("length(trim(aliases)) > 2"), "id", "aliases", ["born"], once=False).where(full)
+    # middle names are left out: they differ from alias to alias
+    ends = F.regexp_replace(fold_name(F.col("value")), r"^(\S+) .*?(\S+)$", "$1 $2")
+    also = Written(listed.select(F.col("row_id").alias("id"), "born", ends.alias("folded")).distinct()).df
+    dated = people.where("folded is not null").select("id", "born", "folded").unionByName(also).where("born is not null")
     dated = dated.select("id", F.concat_ws(" ", F.lit("day"), "born", "folded").alias("key"))
     # mentions that nothing else tells apart are one unit from the start, so that a frequent name is not compared with itself
     bare = people.where("born is null and size(keys) = 0 and folded is not null").select("id", F.concat_ws("|", F.lit("bare"), "folded", F.coalesce("gender", F.lit("")), F.coalesce("country", F.lit(""))).alias("key"))
@@ -55,8 +57,9 @@ def same_performer(spark: SparkSession, sf: str) -> DataFrame:
     placed = Written(people.drop("keys", "aliases").join(groups, "id", "left").withColumn("unit", F.coalesce("group_id", "id")).drop("group_id")).df
     held.drop()
     units = Written(placed.groupBy("unit").agg(F.max("born").alias("born"), F.max("gender").alias("gender"), F.max("country").alias("country"))).df
-    spelled = placed.where("folded is not null").select("unit", F.col("folded").alias("name")).distinct()
-    profiles = Written(spelled.join(units, "unit")).df
+    known_as = also.select("id", "folded").join(placed.select("id", "unit"), "id").select("unit", F.col("folded").alias("name"))
+    spelled = placed.where("folded is not null").select("unit", F.col("folded").alias("name")).unionByName(known_as).distinct()
+    profiles = Written(with_bearers(spelled.join(units, "unit"))).df
     idf = gram_weights(profiles.select("name").distinct())
     links = similar_pairs(profiles, idf).unionByName(only_bearers(profiles)).groupBy("a", "b").agg(F.max("score").alias("score"))
     links = Written(links).df
