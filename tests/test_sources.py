@@ -53,7 +53,7 @@ def test_sinks(spark):
     assert sinks.add_blobs(blobs, spark.createDataFrame([("h1", 2), ("h2", 3), ("h2", 3)], "sha256 string, n int")).count() == 2
     m = spark.createDataFrame([({"a": 1, "b": 2},)], "m map<string,int>").select(sinks.set_key(F.col("m"), "a", F.lit(9)).alias("s"), sinks.drop_key(F.col("m"), "b").alias("d")).first()
     assert m.s == {"a": 9, "b": 2} and m.d == {"a": 1}
-    ids = spark.createDataFrame([([("e", "1")], "1"), ([("e", "1")], "2"), (None, "3"), ([("e", "1")], None)], "ids array<struct<endpoint:string,stash_id:string>>, new string")
+    ids = spark.createDataFrame([([("e", "1")], "1"), ([("e", "1")], "2"), (None, "3"), ([("e", "1")], None)], "ids array<struct<endpoint:string,foreign_id:string>>, new string")
     assert [len(r.x) for r in ids.select(sinks.add_foreign_id(F.col("ids"), "e", F.col("new")).alias("x")).collect()] == [1, 2, 1, 1]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.clean import let
 
 _N, _C, _S = r"(\d+(?:\.\d+)?)", r"\(?([A-Za-z]+)\)?", "[-/]"
-# Name, pattern, and the groups of first number, cup, waist and hips (0: none); the first that fits counts.
+# The shapes of measurement strings. Name, pattern, and the groups of first number, cup, waist and hips (0: none); the first that fits counts.
 SHAPES = [
     ("waist_hips", rf"(?i)^NoneNone{_S}{_N}{_S}{_N}$", (0, 0, 1, 2)),
     ("first_cup_waist_hips", rf"^{_N}{_C}{_S}{_N}{_S}{_N}$", (1, 2, 3, 4)),
@@ -18,7 +18,13 @@ SHAPES = [
     ("cup_first", rf"^{_C}{_N}", (2, 1, 0, 0)),
 ]
 # Cups, and inches between bust and band.
-CUPS = {"AA": 0, "A": 1, "B": 2, "C": 3, "D": 4, "DD": 5, "E": 5, "F": 6, "DDD": 6, "G": 7, "H": 8}
+CUPS = {
+    "AA": 0, "A": 1, "B": 2, "C": 3, "D": 4, "DD": 5, "E": 5, "DDD": 6, "EE": 6, "F": 6, "DDDD": 7, "G": 7, "FF": 8, "H": 8, "I": 9, "GG": 10, "J": 10, "K": 11, "HH": 12, "L": 12, "M": 13, "JJ": 14, "N": 14, "O": 15, "KK": 16,
+    "P": 16, "Q": 17, "LL": 18, "R": 18,
+}
+# Upper bounds of body mass index and their classes, in general and by the Asian standard.
+BMI_STEPS = [(16.5, "SEVERELY_UNDERWEIGHT"), (18.5, "UNDERWEIGHT"), (25, "HEALTHY"), (30, "OVERWEIGHT"), (35, "OBESE_CLASS_1"), (40, "OBESE_CLASS_2")]
+BMI_STEPS_ASIAN = [(16.5, "SEVERELY_UNDERWEIGHT"), (18.5, "UNDERWEIGHT"), (23, "HEALTHY"), (25, "OVERWEIGHT"), (30, "OBESE_CLASS_1"), (35, "OBESE_CLASS_2")]
 
 
 def parse_measurements(raw: Column) -> Column:
@@ -29,11 +35,10 @@ def parse_measurements(raw: Column) -> Column:
 
     def fields(s: Column) -> Column:
         pick = lambda g, rx: F.regexp_extract(s, rx, g) if g else F.lit("")
-        hit, out = F.lit(None).cast("string"), None
+        out = None
         for name, rx, groups in reversed(SHAPES):
             one = F.struct(F.lit(name).alias("shape"), *[pick(g, rx).alias(n) for n, g in zip(("first", "cup", "waist", "hips"), groups, strict=True)])
             out = F.when(s.rlike(rx), one) if out is None else F.when(s.rlike(rx), one).otherwise(out)
-        del hit
         return let(out, typed)
 
     def typed(p: Column) -> Column:
@@ -77,3 +82,42 @@ def bmi(kilograms: Column, metres: Column) -> Column:
 def labels(rules: list[tuple[str, Column]]) -> Column:
     """All names whose rule holds, in the order of the rules."""
     return F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules]))
+
+
+def bmi_class(value: Column, asian: Column) -> Column:
+    """The class of a body mass index; null under 1 and for null."""
+    known = F.when(value >= 1, value)
+    return F.when(asian, ladder(known, BMI_STEPS_ASIAN, "SEVERELY_OBESE")).otherwise(ladder(known, BMI_STEPS, "SEVERELY_OBESE"))
+
+
+def breast_kilograms(difference: Column) -> Column:
+    """The weight that a cup stands for, 0 where there is none: a cubic in the difference of bust and band less one inch."""
+    d = difference - 1
+    # The coefficients, in pounds, and kilograms a pound as the chart has them
+    pounds = F.lit(0.765) + F.lit(0.415) * d - F.lit(0.0168) * d * d + F.lit(0.00247) * d * d * d
+    return F.when(F.coalesce(difference, F.lit(0)) == 0, F.lit(0.0)).otherwise(pounds * 0.453)
+
+
+def figure_rules(bust: Column, waist: Column, hips: Column) -> list[tuple[str, Column]]:
+    """The figure types of apparel measurements (FFIT) as rules over sizes in inches; a body may have several or none."""
+    over, bw, hw = bust - hips, bust - waist, hips - waist
+    under, ratio = -over, hips / waist
+    # The bounds
+    return [
+        ("HOURGLASS", (over <= 1) & (under < 3.6) & ((bw >= 9) | (hw >= 10))),
+        ("BOTTOM_HOURGLASS", (under >= 3.6) & (under < 10) & (hw >= 9) & (ratio < 1.193)),
+        ("TOP_HOURGLASS", (over > 1) & (over < 10) & (bw >= 9)),
+        ("SPOON", (under > 2) & (hw >= 7) & (ratio >= 1.193)),
+        ("TRIANGLE", ((under >= 3.6) & (hw >= 0) & (hw < 9)) | ((bw < 0) & (hw >= 0))),
+        ("INVERTED_TRIANGLE", (over >= 3.6) & (bw < 9)),
+        ("RECTANGLE", (under < 3.6) & (over < 3.6) & (bw >= 0) & (bw < 9) & (hw >= 0) & (hw < 10)),
+        ("DIAMOND", (hw < 0) & (bw < 0)),
+        ("OVAL", (hw < 0) & (bw >= 0)),
+    ]
+
+
+def uncovered(bust: Column, waist: Column, hips: Column) -> Column:
+    """Which of the two gaps between the figure types a body falls into, else null."""
+    top = (bust - hips >= 10) & (bust - waist >= 9)
+    bottom = (hips - bust >= 10) & (hips - waist >= 9) & (hips / waist <= 1.193)
+    return F.when(top, "bust far over hips").when(bottom, "hips far over bust")

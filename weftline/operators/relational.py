@@ -102,17 +102,13 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str, b
     slots = ends.select(by, "_slot", "_e").unionByName(l.where(F.col(by).isNotNull() & F.col("_slot").isNotNull()).select(by, "_slot").distinct().withColumn("_e", F.lit(None).cast(ends.schema["_e"].dataType)))
     slots = slots.groupBy(by, "_slot").agg(F.max("_e").alias("_e"))
     carried = slots.withColumn("_c", F.last("_e", ignorenulls=True).over(Window.partitionBy(by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))).select(by, "_slot", F.col("_c._v").alias("_c"))
-    events = r.select(by, "_slot", F.col(at).alias("_t"), F.lit(0).alias("_side"), "_v", F.lit(None).cast(F_struct(left)).alias("_row"))
+    events = r.select(by, "_slot", F.col(at).alias("_t"), F.lit(0).alias("_side"), "_v", F.lit(None).cast(left.schema.simpleString()).alias("_row"))
     asks = l.select(by, "_slot", F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), F.struct(*rest).alias("_row"))
     order = Window.partitionBy(by, "_slot").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     seen = events.unionByName(asks).withColumn("_last", F.last("_v", ignorenulls=True).over(order)).where("_side = 1")
     return seen.join(carried, [by, "_slot"], "left").select("_row.*", F.coalesce("_last", "_c").alias(value))
 
 
-def F_struct(df: DataFrame) -> str:  # noqa: N802
-    return df.schema.simpleString()
-
-
 def fold_chain(links: DataFrame, seeds: DataFrame, rounds: int = 1_000) -> DataFrame:
     """Breadth-first waves: links(parent, child), seeds(id) -> (id, depth) of all that can be reached, least depth.
 

@@ -150,23 +150,44 @@ def f32_derived_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", *[F.round(F.col(f"d.{c}"), 4).alias(c) for c in ("bust", "band", "waist", "hips")])
 
 
-@query("f35_bmi_class", f"select id, round(w / ((h / 100.0) * (h / 100.0)), 3) as bmi, case when w / ((h / 100.0) * (h / 100.0)) < 18.5 then 'slim' when w / ((h / 100.0) * (h / 100.0)) < 25 then 'average' when w / ((h / 100.0) * (h / 100.0)) < 30 then 'curvy' else 'large' end as class from (select id, try_cast(regexp_extract(height, '^\\s*(\\d+) ?cm', 1, 'i') as double) as h, try_cast(regexp_extract(weight, '^\\s*(\\d+) ?kg', 1, 'i') as double) as w from {PEOPLE}) where h > 0 and w > 0")
+_BMI = "w / ((h / 100.0) * (h / 100.0))"
+
+
+def _steps(steps: list[tuple[float, str]]) -> str:
+    return "case when " + _BMI + " < 1 then null " + " ".join(f"when {_BMI} < {bound} then '{name}'" for bound, name in steps) + " else 'SEVERELY_OBESE' end"
+
+
+@query("f35_bmi_class", f"select id, round({_BMI}, 3) as bmi, {_steps(body.BMI_STEPS)} as class, {_steps(body.BMI_STEPS_ASIAN)} as asian from (select id, try_cast(regexp_extract(height, '^\\s*(\\d+) ?cm', 1, 'i') as double) as h, try_cast(regexp_extract(weight, '^\\s*(\\d+) ?kg', 1, 'i') as double) as w from {PEOPLE}) where h > 0 and w > 0")
 def f35_bmi_class(spark: SparkSession, sf: str) -> DataFrame:
-    """Body mass index and its class, where both sizes are metric in text."""
+    """Body mass index and its class by both standards, where both sizes are metric in text."""
     pick = lambda c, u: F.regexp_extract(c, rf"(?i)^\s*(\d+) ?{u}", 1).try_cast("double")
     p = once(spark, sf, "scraped_performers", "height", "weight").select("id", pick("height", "cm").alias("h"), pick("weight", "kg").alias("w")).where("h > 0 and w > 0")
     b = body.bmi(F.col("w"), F.col("h") / 100)
-    return p.select("id", F.round(b, 3).alias("bmi"), body.ladder(b, [(18.5, "slim"), (25, "average"), (30, "curvy")], "large").alias("class"))
+    return p.select("id", F.round(b, 3).alias("bmi"), body.bmi_class(b, F.lit(False)).alias("class"), body.bmi_class(b, F.lit(True)).alias("asian"))
+
+
+_FIGURES = {
+    "HOURGLASS": "b - h <= 1 and h - b < 3.6 and (b - w >= 9 or h - w >= 10)", "BOTTOM_HOURGLASS": "h - b >= 3.6 and h - b < 10 and h - w >= 9 and h / w < 1.193", "TOP_HOURGLASS": "b - h > 1 and b - h < 10 and b - w >= 9",
+    "SPOON": "h - b > 2 and h - w >= 7 and h / w >= 1.193", "TRIANGLE": "(h - b >= 3.6 and h - w >= 0 and h - w < 9) or (b - w < 0 and h - w >= 0)", "INVERTED_TRIANGLE": "b - h >= 3.6 and b - w < 9",
+    "RECTANGLE": "h - b < 3.6 and b - h < 3.6 and b - w >= 0 and b - w < 9 and h - w >= 0 and h - w < 10", "DIAMOND": "h - w < 0 and b - w < 0", "OVAL": "h - w < 0 and b - w >= 0",
+}
+_SIZED = f"(select id, first / per as b, waist / per as w, hips / per as h, {_CUP} as diff from (select *, case when {_UNITS} = 'metric' then 2.54 else 1 end as per from {_PARSED}) where first is not null and waist is not null and hips is not null)"
+
+
+@query("f36_figures", f"select id, array_to_string(list_filter([{', '.join(f'case when {rule} then {name!r} end' for name, rule in _FIGURES.items())}], lambda x: x is not null), ',') as labels, case when b - h >= 10 and b - w >= 9 then 'bust far over hips' when h - b >= 10 and h - w >= 9 and h / w <= 1.193 then 'hips far over bust' end as gap from {_SIZED}")
+def f36_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """All figure types whose rule holds, and the gap a body without any falls into."""
+    m = once(spark, sf, "measurements", "raw").where("raw is not null").select("id", body.parse_measurements(F.col("raw")).alias("p")).where("p.first is not null and p.waist is not null and p.hips is not null")
+    d = m.select("id", body.derived_sizes(F.col("p")).alias("d")).select("id", "d.*")
+    sizes = F.col("bust"), F.col("waist"), F.col("hips")
+    return d.select("id", F.array_join(body.labels(body.figure_rules(*sizes)), ",").alias("labels"), body.uncovered(*sizes).alias("gap"))
 
 
-@query("f36_shape_labels", f"select id, array_to_string(list_filter([case when first - hips >= 1 then 'INVERTED' end, case when hips - first >= 2 then 'PEAR' end, case when first - waist >= 9 and hips - waist >= 9 then 'HOURGLASS' end, case when abs(first - hips) <= 1 and first - waist < 9 then 'STRAIGHT' end], lambda x: x is not null), ',') as labels from {_PARSED} where first is not null and waist is not null and hips is not null and first <= 50 and hips <= 50")
-def f36_shape_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """All labels whose rule holds over the differences of three sizes in inches."""
-    m = once(spark, sf, "measurements", "raw").where("raw is not null").select("id", body.parse_measurements(F.col("raw")).alias("p")).select("id", "p.*")
-    m = m.where("first is not null and waist is not null and hips is not null and first <= 50 and hips <= 50")
-    b, w, h = F.col("first"), F.col("waist"), F.col("hips")
-    rules = [("INVERTED", b - h >= 1), ("PEAR", h - b >= 2), ("HOURGLASS", (b - w >= 9) & (h - w >= 9)), ("STRAIGHT", (F.abs(b - h) <= 1) & (b - w < 9))]
-    return m.select("id", F.array_join(body.labels(rules), ",").alias("labels"))
+@query("f34_breast_weight", f"select id, round(case when coalesce(diff, 0) = 0 then 0 else (0.765 + 0.415 * (diff - 1) - 0.0168 * (diff - 1) ** 2 + 0.00247 * (diff - 1) ** 3) * 0.453 end, 4) as kilograms from {_SIZED}")
+def f34_breast_weight(spark: SparkSession, sf: str) -> DataFrame:
+    """The weight a cup stands for."""
+    m = once(spark, sf, "measurements", "raw").where("raw is not null").select("id", body.parse_measurements(F.col("raw")).alias("p")).where("p.first is not null and p.waist is not null and p.hips is not null")
+    return m.select("id", F.round(body.breast_kilograms(body.derived_sizes(F.col("p"))["difference"]), 4).alias("kilograms"))
 
 
 # --- lists, addresses, payloads ----------------------------------------------------------------------------------------

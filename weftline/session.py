@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_written: list[Written] = []
 
 
 def build_session(app: str = "weftline", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -54,14 +55,18 @@ class Written:
         self.path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        _written.append(self)
 
     def drop(self) -> None:
         spark = self.df.sparkSession
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if self in _written:
+            _written.remove(self)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df`, computed once and read back from the shared folder."""
-    return Written(df).df
+def drop_written() -> None:
+    """Delete every table of this process that is still in the shared folder; for when the results made of them are stored."""
+    for one in list(_written):
+        one.drop()

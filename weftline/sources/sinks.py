@@ -33,10 +33,10 @@ def drop_key(m: Column, key: str) -> Column:
 
 
 def add_foreign_id(ids: Column, endpoint: str, new_id: Column) -> Column:
-    """An array of (endpoint, stash_id) with one more, unless it is there or null."""
-    there = F.exists(ids, lambda x: (x["endpoint"] == endpoint) & (x["stash_id"] == new_id))
-    one = F.struct(F.lit(endpoint).alias("endpoint"), new_id.alias("stash_id"))
-    return F.when(new_id.isNull() | F.coalesce(there, F.lit(False)), ids).otherwise(F.concat(F.coalesce(ids, F.array().cast("array<struct<endpoint:string,stash_id:string>>")), F.array(one)))
+    """An array of (endpoint, foreign_id) with one more, unless it is there or null."""
+    there = F.exists(ids, lambda x: (x["endpoint"] == endpoint) & (x["foreign_id"] == new_id))
+    one = F.struct(F.lit(endpoint).alias("endpoint"), new_id.alias("foreign_id"))
+    return F.when(new_id.isNull() | F.coalesce(there, F.lit(False)), ids).otherwise(F.concat(F.coalesce(ids, F.array().cast("array<struct<endpoint:string,foreign_id:string>>")), F.array(one)))
 
 
 def report_by(changes: DataFrame, group: str, line: Column) -> DataFrame:
