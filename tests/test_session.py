@@ -12,13 +12,11 @@ def test_written_tables_come_and_go(spark):
     assert not os.path.exists(one.path.removeprefix("file://")) and not os.path.exists(two.path.removeprefix("file://"))
 
 
-def test_the_clusters_folder_is_used(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert Written(spark.range(3)).path.startswith(f"file://{tmp_path}/")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-        drop_written()
+def test_the_clusters_folder_is_used():
+    from types import SimpleNamespace
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: "hdfs://shared/x" if key == "spark.checkpoint.dir" else default))
+    assert shared_dir(cluster) == "hdfs://shared/x"
 
 
 def test_fixed_tables_are_whole_or_refused(spark):
