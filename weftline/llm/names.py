@@ -107,8 +107,8 @@ class Vectors:
         for i, (x, y) in enumerate(made):
             ids[i, : len(x)], w[i, : len(y)] = x, y
         out = np.empty(n, dtype=np.float32)
-        for lo in range(0, n, 2048):
-            a, b = codes[lo : min(n, lo + 2048)], codes[n + lo : n + min(n, lo + 2048)]
+        for lo in range(0, n, 1024):
+            a, b = codes[lo : min(n, lo + 1024)], codes[n + lo : n + min(n, lo + 1024)]
             same = ids[a][:, :, None] == ids[b][:, None, :]
             # padding meets padding with weight 0
             out[lo : lo + len(a)] = ((same * w[b][:, None, :]).sum(axis=2) * w[a]).sum(axis=1)
@@ -142,7 +142,7 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vectors(shared.value)
-        for b in batches:
+        for b in (big.slice(lo, 1000) for big in batches for lo in range(0, big.num_rows, 1000)):
             names = b.column("name").to_pylist()
             there = [b.column(c).is_valid().to_pylist() for _, c, _ in kinds]
             there[0] = [bool(x) for x in b.column("crowded").to_pylist()]
@@ -200,7 +200,7 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vectors(shared.value)
-        for b in batches:
+        for b in (big.slice(lo, 2048) for big in batches for lo in range(0, big.num_rows, 2048)):
             cos = v.cosines(b.column("x"), b.column("y"))
             day, place, sex = (b.column(c).to_numpy(zero_copy_only=False) for c in ("day", "place", "sex"))
             least = np.where(day, SAME_DAY, np.where(place, np.where(sex, SAME_PLACE, SAME_PLACE + 0.05), SAME_SEX))
