@@ -297,9 +297,10 @@ def fit_sample(docs: DataFrame, per_lang: int = FIT_DOCS, chars: int = FIT_CHARS
 
 
 def language_segments(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """docs(doc_id, text, lang) -> (doc_id, code, seg, lang, confidence): every stretch of whole sentences in one language.
+    """docs(doc_id, text, lang) -> (doc_id, code, seg, of, lang, confidence): every stretch of whole sentences in one language.
 
-    code is what the document's label names, null if it names nothing. Null, empty and wordless texts have no row.
+    code is what the document's label names, null if it names nothing; `of` is the number of the document's stretches.
+    Null, empty and wordless texts have no row.
     """
     field = field or fit(fit_sample(docs))
     shared = docs.sparkSession.sparkContext.broadcast((field.weights, field.inside, field.between))
@@ -311,17 +312,16 @@ def language_segments(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 part = b.slice(lo, 1000)
                 doc, seg, lang, conf = label_texts(own, part.column(2).to_pylist())
                 at = pa.array(doc, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(seg), pa.array(lang, pa.string()), pa.array(conf, pa.float64())], names=["doc_id", "code", "seg", "lang", "confidence"])
+                of = np.bincount(doc)[doc].astype(np.int32) if len(doc) else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(seg), pa.array(of), pa.array(lang, pa.string()), pa.array(conf, pa.float64())], names=["doc_id", "code", "seg", "of", "lang", "confidence"])
 
     read = spread(docs.where("text is not null").select("doc_id", label_of(F.col("lang")).alias("code"), "text"))
-    return read.mapInArrow(label, "doc_id bigint, code string, seg int, lang string, confidence double")
+    return read.mapInArrow(label, "doc_id bigint, code string, seg int, of int, lang string, confidence double")
 
 
 def doubtful(segments: DataFrame) -> DataFrame:
     """Of `language_segments`, the documents whose label is missing, names nothing or is wrong, and those in several languages."""
-    per = segments.groupBy("doc_id").agg(F.max("seg").alias("n"), F.max("code").alias("code"), F.max(F.when(F.col("seg") == 1, F.col("lang"))).alias("first"))
-    keep = per.where((F.col("n") > 1) | F.col("code").isNull() | (F.col("code") != F.col("first"))).select("doc_id")
-    return segments.join(keep, "doc_id", "left_semi")
+    return segments.where((F.col("of") > 1) | F.col("code").isNull() | (F.col("code") != F.col("lang")))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
