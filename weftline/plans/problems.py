@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.clean import hash_id, stripped
 from weftline.operators import hierarchy, moments, multivalue, quantities, references
-from weftline.session import table
+from weftline.session import Written, table
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,7 +70,8 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     bare, part = F.col("bare"), F.col("part")
     ruled = F.when(part.isin(*BODY), F.when(bare > quantities.OVER_CM, bare * 10).otherwise(bare * F.lit("25.4").cast("decimal(18,6)")))
     ruled = ruled.when((part == "weight") & (bare <= quantities.UP_TO_KG), bare * 1000).when((part == "weight") & (bare < 1000), bare * F.lit(quantities.GRAMS["lb"]).cast("decimal(18,8)"))
-    sizes = sizes.withColumn("ruled", ruled)
+    # read once, used by every round of the estimate
+    sizes = Written(sizes.withColumn("ruled", ruled)).df
     found = quantities.convert_sizes(sizes.drop("ruled"), CONVERSIONS)
     checked = sizes.where("ruled is not null").select("part", "row_id", quantities._half_up(F.col("ruled")).alias("exact"))
     return found.join(checked, ["part", "row_id"], "full_outer").select("part", "row_id", F.coalesce("exact", "amount").alias("amount"))
