@@ -71,6 +71,25 @@ def test_average_needs_both_sides(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2}
 
 
+def test_one_link_joins_no_clusters_of_unlike_names(spark):
+    # 1 and 2 are alike, 3 and 4 are alike, 2 and 3 just so: all links are of 0.5 and more, as similar_pairs makes them
+    names = {1: "anna stone", 2: "anna stonewall", 3: "berta wallman", 4: "berta wallmann"}
+    units = spark.createDataFrame([(i, None, "F", None) for i in names], "unit bigint, born date, gender string, country string")
+    profiles = spark.createDataFrame(list(names.items()), "unit bigint, name string")
+    links = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.55), (3, 4, 0.9)], "a bigint, b bigint, score double")
+    got = {r.unit: r.cluster for r in N.average_linkage(links, units, profiles=profiles, idf=N.gram_weights(profiles.select("name"))).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_pairs_without_link_count_by_their_names(spark):
+    # two of one name that nothing links directly stay with the record both are linked to
+    units = spark.createDataFrame([(1, None, "F", None), (2, None, None, None), (3, None, None, None)], "unit bigint, born date, gender string, country string")
+    profiles = spark.createDataFrame([(1, "anna stone"), (2, "anna stone"), (3, "anna stone"), (3, "other hill")], "unit bigint, name string")
+    links = spark.createDataFrame([(1, 2, 0.75), (1, 3, 0.75)], "a bigint, b bigint, score double")
+    got = {r.unit: r.cluster for r in N.average_linkage(links, units, profiles=profiles, idf=N.gram_weights(profiles.select("name").distinct())).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
+
+
 def test_only_bearers(spark):
     rows = [(1, "a b", "1980-01-01", "F", None), (2, "a b", None, "F", None), (3, "a b", None, "M", None), (4, "c d", None, None, None), (5, "c d", None, None, None), (6, "e f", "1980-01-01", None, None), (7, "e f", "1981-01-01", None, None), (8, "e f", None, None, None)]
     df = spark.createDataFrame(rows, "unit bigint, name string, born string, gender string, country string").withColumn("born", F.to_date("born"))

@@ -123,6 +123,11 @@ TOGETHER = 64
 SAME_NAME = 0.75
 
 
+def least_cosine(day: np.ndarray, place: np.ndarray, sex: np.ndarray) -> np.ndarray:
+    """The least cosine for each pair, by what both have: birthday, country, gender."""
+    return np.where(day, SAME_DAY, np.where(place, np.where(sex, SAME_PLACE, SAME_PLACE + 0.05), SAME_SEX))
+
+
 def with_bearers(profiles: DataFrame) -> DataFrame:
     """profiles(name, born, ...) with `bearers`: how many birthdays the records of each name have. A name of several says nothing by itself."""
     per = profiles.groupBy("name").agg(F.count_distinct("born").cast("int").alias("bearers"))
@@ -203,7 +208,7 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
         for b in (big.slice(lo, 2048) for big in batches for lo in range(0, big.num_rows, 2048)):
             cos = v.cosines(b.column("x"), b.column("y"))
             day, place, sex = (b.column(c).to_numpy(zero_copy_only=False) for c in ("day", "place", "sex"))
-            least = np.where(day, SAME_DAY, np.where(place, np.where(sex, SAME_PLACE, SAME_PLACE + 0.05), SAME_SEX))
+            least = least_cosine(day, place, sex)
             ok = np.flatnonzero(cos >= least - 1e-5)
             # scores of all kinds of evidence lie between 0.5 and 1
             s = 0.5 + 0.5 * (cos[ok] - least[ok]) / (1 - least[ok])
@@ -228,26 +233,56 @@ def only_bearers(profiles: DataFrame) -> DataFrame:
     return linked.select(F.least("unit", "to").alias("a"), F.greatest("unit", "to").alias("b"), F.lit(SAME_NAME).alias("score")).distinct()
 
 
-def average_linkage(links: DataFrame, units: DataFrame, threshold: float = 0.5) -> DataFrame:
+def _pair_scorer(idf: dict[str, float], spark):  # noqa: ANN001, ANN202
+    """A function over batches of (x, y names; day, place, sex: what both have) that adds the score of pairs without a link."""
+    shared = spark.sparkContext.broadcast(idf)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vectors(shared.value)
+        for b in (big.slice(lo, 2048) for big in batches for lo in range(0, big.num_rows, 2048)):
+            cos = v.cosines(b.column("x"), b.column("y"))
+            day, place, sex = (b.column(c).to_numpy(zero_copy_only=False) for c in ("day", "place", "sex"))
+            least = least_cosine(day, place, sex)
+            # the scale of links, carried on below their bound; what is no link can't speak for a merge, so it has 0.5 at most
+            s = np.clip(0.5 + 0.5 * (cos - least) / (1 - least), 0, 0.5)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "ua", "ub")), pa.array(s.astype(np.float64))], names=["a", "b", "ua", "ub", "score"])
+
+    return score
+
+
+def average_linkage(links: DataFrame, units: DataFrame, threshold: float = 0.5, profiles: DataFrame | None = None, idf: dict[str, float] | None = None) -> DataFrame:
     """links(a, b, score), units(unit, born, gender, country) -> (unit, cluster) of all units that have a link.
 
-    In each round every cluster picks the neighbour of the highest average score over their links; mutual choices merge,
-    and a merged cluster has the evidence of its parts. Links between clusters whose evidence differs are dropped. Ties go
-    to the smaller id. Ends when no choice is mutual.
+    In each round every cluster picks the neighbour of the highest average score over all pairs of their units; mutual
+    choices merge, and a merged cluster has the evidence of its parts. A pair without a link counts with the similarity of
+    its names, from profiles(unit, name) and idf, at most 0.5; without profiles it counts 0. Each such pair is scored once,
+    when the clusters it lies in come to touch. Links between clusters whose evidence differs are dropped. Ties go to the
+    smaller id. Ends when no choice is mutual.
     """
     ends = links.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
     state = Written(units.join(ends, "unit").select("unit", F.col("unit").alias("cluster"), "born", "gender", "country"))
     edges = Written(links.select("a", "b", F.col("score").alias("total"), F.lit(1).cast("bigint").alias("n")))
+    scorer = _pair_scorer(idf, links.sparkSession) if profiles is not None else None
+    # what the last round merged, and the state and edges before it
+    last = ()
     while True:
-        c = state.df.select("cluster", "born", "gender", "country").groupBy("cluster").agg(F.max("born").alias("born"), F.max("gender").alias("gender"), F.max("country").alias("country"))
-        known = lambda side: c.select(F.col("cluster").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in ("born", "gender", "country")])  # noqa: B023, E731
+        c = state.df.select("cluster", "born", "gender", "country").groupBy("cluster").agg(F.max("born").alias("born"), F.max("gender").alias("gender"), F.max("country").alias("country"), F.count("*").alias("size"))
+        known = lambda side: c.select(F.col("cluster").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in ("born", "gender", "country", "size")])  # noqa: B023, E731
         agree = F.lit(True)
         for x in ("born", "gender", "country"):
             agree = agree & F.coalesce(F.col(f"a_{x}") == F.col(f"b_{x}"), F.lit(True))
-        open_edges = Written(edges.df.join(known("a"), "a").join(known("b"), "b").where(agree).select("a", "b", "total", "n"))
+        open_edges = Written(edges.df.join(known("a"), "a").join(known("b"), "b").where(agree).select("a", "b", "total", "n", (F.col("a_size") * F.col("b_size")).alias("pairs")))
         edges.drop()
         edges = open_edges
-        ways = edges.df.where(F.col("total") / F.col("n") >= threshold).select(F.explode(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("to"), (F.col("total") / F.col("n")).alias("avg")), F.struct(F.col("b").alias("at"), F.col("a").alias("to"), (F.col("total") / F.col("n")).alias("avg")))).alias("x")).select("x.*")
+        if last and scorer:
+            more = _scores_between(edges.df.where("n < pairs"), *[x.df for x in last], profiles, scorer)
+            full = Written(edges.df.unionByName(more).groupBy("a", "b").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("pairs").alias("pairs")))
+            edges.drop()
+            edges = full
+        for used in last:
+            used.drop()
+        average = F.col("total") / F.col("pairs")
+        ways = edges.df.where(average >= threshold).select(F.explode(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("to"), average.alias("avg")), F.struct(F.col("b").alias("at"), F.col("a").alias("to"), average.alias("avg")))).alias("x")).select("x.*")
         best = ways.groupBy("at").agg(F.max(F.struct(F.round("avg", 9).alias("avg"), (-F.col("to")).alias("minus"))).alias("best")).select("at", (-F.col("best.minus")).alias("to"))
         merged = Written(best.alias("p").join(best.alias("q"), (F.col("p.at") == F.col("q.to")) & (F.col("p.to") == F.col("q.at")) & (F.col("p.at") < F.col("p.to"))).select(F.col("p.to").alias("old"), F.col("p.at").alias("new")))
         if merged.df.isEmpty():
@@ -257,6 +292,25 @@ def average_linkage(links: DataFrame, units: DataFrame, threshold: float = 0.5)
         side = lambda col: merged.df.select(F.col("old").alias(col), F.col("new").alias(f"{col}_new"))  # noqa: B023, E731
         renamed = edges.df.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_new", "a").alias("a"), F.coalesce("b_new", "b").alias("b"), "total", "n").where("a <> b")
         next_edges = Written(renamed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total", "n").groupBy("a", "b").agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
-        for used in (state, edges, merged):
-            used.drop()
+        last = (merged, state, edges)
         state, edges = next_state, next_edges
+
+
+def _scores_between(lacking: DataFrame, merged: DataFrame, state: DataFrame, edges: DataFrame, profiles: DataFrame, scorer) -> DataFrame:  # noqa: ANN001
+    """lacking(a, b, pairs) -> (a, b, total, n, pairs): the pairs of units between a and b that their edges don't count yet.
+
+    merged(old, new), state and edges are those of the last round: its edges count all pairs of their two clusters, so what
+    lacks lies between parts of a and b that had no edge then.
+    """
+    parts = merged.select("new", "old").unionByName(merged.select("new", F.col("new").alias("old")))
+    of = lambda side: parts.select(F.col("new").alias(side), F.col("old").alias(f"{side}_old"))
+    split = lacking.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("a_old", "a").alias("pa"), F.coalesce("b_old", "b").alias("pb"))
+    had = edges.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+    split = split.withColumns({"lo": F.least("pa", "pb"), "hi": F.greatest("pa", "pb")}).join(had, ["lo", "hi"], "left_anti")
+    member = lambda u, p: state.select(F.col("unit").alias(f"u{u}"), F.col("cluster").alias(p), *[F.col(x).alias(f"{u}_{x}") for x in ("born", "gender", "country")])
+    both = lambda x: F.col(f"a_{x}").isNotNull() & F.col(f"b_{x}").isNotNull()
+    pairs = split.join(member("a", "pa"), "pa").join(member("b", "pb"), "pb").select("a", "b", "ua", "ub", both("born").alias("day"), both("country").alias("place"), both("gender").alias("sex"))
+    named = lambda u, to: profiles.select(F.col("unit").alias(u), F.col("name").alias(to))
+    spelled = pairs.join(named("ua", "x"), "ua").join(named("ub", "y"), "ub").select("a", "b", "ua", "ub", "x", "y", "day", "place", "sex")
+    scored = spelled.mapInArrow(scorer, "a bigint, b bigint, ua bigint, ub bigint, score double").groupBy("a", "b", "ua", "ub").agg(F.max("score").alias("score"))
+    return scored.groupBy("a", "b").agg(F.sum("score").alias("total"), F.count("*").alias("n")).withColumn("pairs", F.lit(None).cast("bigint"))

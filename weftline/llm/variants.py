@@ -63,7 +63,7 @@ def same_performer(spark: SparkSession, sf: str) -> DataFrame:
     idf = gram_weights(profiles.select("name").distinct())
     links = similar_pairs(profiles, idf).unionByName(only_bearers(profiles)).groupBy("a", "b").agg(F.max("score").alias("score"))
     links = Written(links).df
-    clusters = average_linkage(links, units)
+    clusters = average_linkage(links, units, profiles=profiles, idf=idf)
     return placed.join(clusters, "unit", "left").select("id", "name", F.coalesce("cluster", "unit").alias("cluster")).distinct()
 
 
