@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from weftline.llm import names as N
-from weftline.llm.variants import variant_pairs
+from weftline.llm.variants import read_mark, variant_pairs
 
 
 def test_fold(spark):
@@ -96,6 +96,23 @@ def test_only_bearers(spark):
     assert {(r.a, r.b) for r in N.only_bearers(df).collect()} == {(1, 2), (4, 5)}
 
 
+def test_marks(spark):
+    cases = {"I": ("i", None, None), "2": ("ii", None, None), "the younger": ("the younger", None, None), "1975": ("1975", 1975, None), "FR": ("fr", None, "FR"), "n/a": (None, None, None), None: (None, None, None)}
+    mark, year, land = read_mark(F.col("d"))
+    got = spark.createDataFrame([(d,) for d in cases], "d string").select("d", mark.alias("m"), year.alias("y"), land.alias("c")).collect()
+    assert {r.d: (r.m, r.y, r.c) for r in got} == cases
+
+
+def test_marks_link_and_keep_apart(spark):
+    # one name of two bearers: the undated records are placed by their mark and their year
+    rows = [(1, "ann oak", "1980-01-01", None, None, "i", 1980), (2, "ann oak", "1990-01-01", None, None, "ii", 1990), (3, "ann oak", None, None, None, "ii", None), (4, "ann oak", None, None, None, "1980", 1980), (5, "ann oak", None, None, None, None, 1990), (6, "eve elm", None, None, None, "i", None), (7, "eve elm", None, None, None, "ii", None)]
+    df = N.with_bearers(spark.createDataFrame(rows, "unit bigint, name string, born string, gender string, country string, mark string, year int").withColumn("born", F.to_date("born")))
+    idf = N.gram_weights(df.select("name").distinct())
+    assert {(r.a, r.b) for r in N.similar_pairs(df, idf).collect()} == {(2, 3)}
+    assert N.only_bearers(df).collect() == []
+    assert {(r.a, r.b) for r in N.year_bearers(df).collect()} == {(2, 5)}
+
+
 def test_variant_pairs(spark):
     df = spark.createDataFrame([(1, "A", 1), (2, "A", 1), (3, "B", 1), (4, None, 1), (5, "C", 5)], "id bigint, name string, cluster bigint")
     assert sorted(tuple(r) for r in variant_pairs(df).collect()) == [(1, 3), (2, 3)]

@@ -123,9 +123,20 @@ TOGETHER = 64
 SAME_NAME = 0.75
 
 
-def least_cosine(day: np.ndarray, place: np.ndarray, sex: np.ndarray) -> np.ndarray:
-    """The least cosine for each pair, by what both have: birthday, country, gender."""
-    return np.where(day, SAME_DAY, np.where(place, np.where(sex, SAME_PLACE, SAME_PLACE + 0.05), SAME_SEX))
+#: What two records, units or clusters must not differ in where both have it. `mark` tells performers of one name apart
+#: (an ordinal, a role, a year, a country), `year` is that of the birthday or else of the mark.
+EVIDENCE = ("born", "gender", "country", "mark", "year")
+
+
+def with_marks(df: DataFrame) -> DataFrame:
+    """df with null for what it lacks of `mark` and `year`."""
+    kinds = {"mark": "string", "year": "int"}
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns})
+
+
+def least_cosine(day: np.ndarray, mark: np.ndarray, place: np.ndarray, sex: np.ndarray) -> np.ndarray:
+    """The least cosine for each pair, by what both have: birthday, mark, country, gender."""
+    return np.where(day, SAME_DAY, np.where(mark, SAME_PLACE, np.where(place, np.where(sex, SAME_PLACE, SAME_PLACE + 0.05), SAME_SEX)))
 
 
 def with_bearers(profiles: DataFrame) -> DataFrame:
@@ -139,11 +150,13 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
 
     Joined on a prefix gram and the birthday both have; or, where one has none, the country both have; or, where one has
     neither, the gender both have, at a higher threshold each time. Evidence that both have and that differs rules a pair
-    out. A name with several bearers is compared on a birthday only. What the name alone links is in `only_bearers`.
+    out. A mark both have counts as a country both have. A name with several bearers is compared on a birthday or a mark
+    only. What the name alone links is in `only_bearers`, the name and the year in `year_bearers`.
     """
+    profiles = with_marks(profiles)
     spark = profiles.sparkSession
     shared = spark.sparkContext.broadcast(idf)
-    kinds = (("day", "born", SAME_DAY), ("place", "country", SAME_PLACE), ("sex", "gender", SAME_SEX))
+    kinds = (("day", "born", SAME_DAY), ("marked", "mark", SAME_PLACE), ("place", "country", SAME_PLACE), ("sex", "gender", SAME_SEX))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vectors(shared.value)
@@ -152,8 +165,8 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
             there = [b.column(c).is_valid().to_pylist() for _, c, _ in kinds]
             there[0] = [bool(x) for x in b.column("crowded").to_pylist()]
             telling = b.column("telling").to_pylist()
-            there[1:] = [[x and y for x, y in zip(has, telling, strict=True)] for has in there[1:]]
-            b = b.select(["unit", "name", "born", "gender", "country"])
+            there[2:] = [[x and y for x, y in zip(has, telling, strict=True)] for has in there[2:]]
+            b = b.select(["unit", "name", *EVIDENCE])
             row, kind, gram, weight, after, prefix = [], [], [], [], [], []
             for i, name in enumerate(names):
                 for (k, _, _), found in zip(kinds, v.postings(name, tuple(t if has[i] else None for (_, _, t), has in zip(kinds, there, strict=True))), strict=True):
@@ -172,24 +185,26 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
 
     # the few records of a birthday are compared without grams; a birthday that many share is no evidence by itself
     often = profiles.where("born is not null").groupBy("born").agg(F.count("*").alias("there"))
-    counted = profiles.select("unit", "name", "born", "gender", "country", "bearers").join(often, "born", "left")
-    own = counted.select("unit", "name", "born", "gender", "country", (F.col("there") > TOGETHER).alias("crowded"), (F.col("bearers") < 2).alias("telling"))
+    counted = profiles.select("unit", "name", *EVIDENCE, "bearers").join(often, "born", "left")
+    own = counted.select("unit", "name", *EVIDENCE, (F.col("there") > TOGETHER).alias("crowded"), (F.col("bearers") < 2).alias("telling"))
     held = Written(own)
     own = held.df
-    postings = own.mapInArrow(post, "unit bigint, name string, born date, gender string, country string, kind string, gram int, weight float, after float, prefix array<int>")
+    postings = own.mapInArrow(post, "unit bigint, name string, born date, gender string, country string, mark string, year int, kind string, gram int, weight float, after float, prefix array<int>")
     posted = Written(postings)
     postings = posted.df
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     agree = lambda c: F.coalesce(l(c) == r(c), F.lit(True))
     both = lambda c: l(c).isNotNull() & r(c).isNotNull()
-    fits = agree("born") & agree("gender") & agree("country")
+    fits = F.lit(True)
+    for x in EVIDENCE:
+        fits = fits & agree(x)
     # without a common birthday one of both has none: that one is on the left, so those that have one never meet each other
-    ordered = {"day": l("unit") < r("unit"), "place": r("born").isNotNull() | (l("unit") < r("unit")), "sex": r("born").isNotNull() | (l("unit") < r("unit"))}
+    ordered = {"day": l("unit") < r("unit"), "marked": r("born").isNotNull() | (l("unit") < r("unit")), "place": r("born").isNotNull() | (l("unit") < r("unit")), "sex": r("born").isNotNull() | (l("unit") < r("unit"))}
     once = F.array_min(F.array_intersect(l("prefix"), r("prefix"))) == l("gram")
     # all grams that both have lie behind their first one: it and Cauchy's bound on the rest say how similar they can be
     bound = lambda t: l("weight") * r("weight") + l("after") * r("after") >= F.lit(t - 1e-4)
-    weaker = {"day": F.lit(True), "place": once, "sex": ~both("country") & once}
-    shown = [F.least(l("unit"), r("unit")).alias("a"), F.greatest(l("unit"), r("unit")).alias("b"), l("name").alias("x"), r("name").alias("y"), both("born").alias("day"), both("country").alias("place"), both("gender").alias("sex")]
+    weaker = {"day": F.lit(True), "marked": once, "place": once, "sex": ~both("country") & once}
+    shown = [F.least(l("unit"), r("unit")).alias("a"), F.greatest(l("unit"), r("unit")).alias("b"), l("name").alias("x"), r("name").alias("y"), both("born").alias("day"), both("mark").alias("marked"), both("country").alias("place"), both("gender").alias("sex")]
     lonely = own.where("not crowded")
     out = None
     for kind, key, t in kinds:
@@ -207,8 +222,8 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
         v = Vectors(shared.value)
         for b in (big.slice(lo, 2048) for big in batches for lo in range(0, big.num_rows, 2048)):
             cos = v.cosines(b.column("x"), b.column("y"))
-            day, place, sex = (b.column(c).to_numpy(zero_copy_only=False) for c in ("day", "place", "sex"))
-            least = least_cosine(day, place, sex)
+            day, marked, place, sex = (b.column(c).to_numpy(zero_copy_only=False) for c in ("day", "marked", "place", "sex"))
+            least = least_cosine(day, marked, place, sex)
             ok = np.flatnonzero(cos >= least - 1e-5)
             # scores of all kinds of evidence lie between 0.5 and 1
             s = 0.5 + 0.5 * (cos[ok] - least[ok]) / (1 - least[ok])
@@ -226,23 +241,37 @@ def only_bearers(profiles: DataFrame) -> DataFrame:
     That is the one unit of that name with a birthday; where none has one, the smallest unit of that name. If several have,
     the name alone says nothing. A name of n units gives at most n links.
     """
+    profiles = with_marks(profiles)
     per = profiles.groupBy("name").agg(F.count(F.col("born")).alias("dated"), F.coalesce(F.min(F.when(F.col("born").isNotNull(), F.col("unit"))), F.min("unit")).alias("to"))
-    bearer = per.where("dated <= 1").join(profiles.select("name", F.col("unit").alias("to"), F.col("gender").alias("other")), ["name", "to"])
-    open_units = profiles.where("born is null and country is null").select("unit", "name", "gender")
-    linked = open_units.join(bearer, "name").where((F.col("unit") != F.col("to")) & F.coalesce(F.col("gender") == F.col("other"), F.lit(True)))
+    bearer = per.where("dated <= 1").join(profiles.select("name", F.col("unit").alias("to"), *[F.col(x).alias(f"to_{x}") for x in ("gender", "mark", "year")]), ["name", "to"])
+    open_units = profiles.where("born is null and country is null").select("unit", "name", "gender", "mark", "year")
+    linked = open_units.join(bearer, "name").where((F.col("unit") != F.col("to")))
+    for x in ("gender", "mark", "year"):
+        linked = linked.where(F.coalesce(F.col(x) == F.col(f"to_{x}"), F.lit(True)))
+    return linked.select(F.least("unit", "to").alias("a"), F.greatest("unit", "to").alias("b"), F.lit(SAME_NAME).alias("score")).distinct()
+
+
+def year_bearers(profiles: DataFrame) -> DataFrame:
+    """profiles as above -> (a, b, score): units that have a year but no birthday, linked to the one unit of their name born in that year."""
+    profiles = with_marks(profiles)
+    born = profiles.where("born is not null").groupBy("name", "year").agg(F.min("unit").alias("to"), F.max("unit").alias("last")).where("to = last").drop("last")
+    others = profiles.select("name", F.col("unit").alias("to"), *[F.col(x).alias(f"to_{x}") for x in ("gender", "country", "mark")])
+    linked = profiles.where("born is null and year is not null").join(born, ["name", "year"]).join(others, ["name", "to"])
+    for x in ("gender", "country", "mark"):
+        linked = linked.where(F.coalesce(F.col(x) == F.col(f"to_{x}"), F.lit(True)))
     return linked.select(F.least("unit", "to").alias("a"), F.greatest("unit", "to").alias("b"), F.lit(SAME_NAME).alias("score")).distinct()
 
 
 def _pair_scorer(idf: dict[str, float], spark):  # noqa: ANN001, ANN202
-    """A function over batches of (x, y names; day, place, sex: what both have) that adds the score of pairs without a link."""
+    """A function over batches of (x, y names; day, marked, place, sex: what both have) that adds the score of pairs without a link."""
     shared = spark.sparkContext.broadcast(idf)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vectors(shared.value)
         for b in (big.slice(lo, 2048) for big in batches for lo in range(0, big.num_rows, 2048)):
             cos = v.cosines(b.column("x"), b.column("y"))
-            day, place, sex = (b.column(c).to_numpy(zero_copy_only=False) for c in ("day", "place", "sex"))
-            least = least_cosine(day, place, sex)
+            day, marked, place, sex = (b.column(c).to_numpy(zero_copy_only=False) for c in ("day", "marked", "place", "sex"))
+            least = least_cosine(day, marked, place, sex)
             # the scale of links, carried on below their bound; what is no link can't speak for a merge, so it has 0.5 at most
             s = np.clip(0.5 + 0.5 * (cos - least) / (1 - least), 0, 0.5)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "ua", "ub")), pa.array(s.astype(np.float64))], names=["a", "b", "ua", "ub", "score"])
@@ -251,7 +280,7 @@ def _pair_scorer(idf: dict[str, float], spark):  # noqa: ANN001, ANN202
 
 
 def average_linkage(links: DataFrame, units: DataFrame, threshold: float = 0.5, profiles: DataFrame | None = None, idf: dict[str, float] | None = None) -> DataFrame:
-    """links(a, b, score), units(unit, born, gender, country) -> (unit, cluster) of all units that have a link.
+    """links(a, b, score), units(unit, born, gender, country; mark and year where known) -> (unit, cluster) of all units that have a link.
 
     In each round every cluster picks the neighbour of the highest average score over all pairs of their units; mutual
     choices merge, and a merged cluster has the evidence of its parts. A pair without a link counts with the similarity of
@@ -260,16 +289,16 @@ def average_linkage(links: DataFrame, units: DataFrame, threshold: float = 0.5,
     smaller id. Ends when no choice is mutual.
     """
     ends = links.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
-    state = Written(units.join(ends, "unit").select("unit", F.col("unit").alias("cluster"), "born", "gender", "country"))
+    state = Written(with_marks(units).join(ends, "unit").select("unit", F.col("unit").alias("cluster"), *EVIDENCE))
     edges = Written(links.select("a", "b", F.col("score").alias("total"), F.lit(1).cast("bigint").alias("n")))
     scorer = _pair_scorer(idf, links.sparkSession) if profiles is not None else None
     # what the last round merged, and the state and edges before it
     last = ()
     while True:
-        c = state.df.select("cluster", "born", "gender", "country").groupBy("cluster").agg(F.max("born").alias("born"), F.max("gender").alias("gender"), F.max("country").alias("country"), F.count("*").alias("size"))
-        known = lambda side: c.select(F.col("cluster").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in ("born", "gender", "country", "size")])  # noqa: B023, E731
+        c = state.df.groupBy("cluster").agg(*[F.max(x).alias(x) for x in EVIDENCE], F.count("*").alias("size"))
+        known = lambda side: c.select(F.col("cluster").alias(side), *[F.col(x).alias(f"{side}_{x}") for x in (*EVIDENCE, "size")])  # noqa: B023, E731
         agree = F.lit(True)
-        for x in ("born", "gender", "country"):
+        for x in EVIDENCE:
             agree = agree & F.coalesce(F.col(f"a_{x}") == F.col(f"b_{x}"), F.lit(True))
         open_edges = Written(edges.df.join(known("a"), "a").join(known("b"), "b").where(agree).select("a", "b", "total", "n", (F.col("a_size") * F.col("b_size")).alias("pairs")))
         edges.drop()
@@ -287,7 +316,7 @@ def average_linkage(links: DataFrame, units: DataFrame, threshold: float = 0.5,
         merged = Written(best.alias("p").join(best.alias("q"), (F.col("p.at") == F.col("q.to")) & (F.col("p.to") == F.col("q.at")) & (F.col("p.at") < F.col("p.to"))).select(F.col("p.to").alias("old"), F.col("p.at").alias("new")))
         if merged.df.isEmpty():
             return state.df.select("unit", "cluster")
-        moved = state.df.join(merged.df.withColumnRenamed("old", "cluster"), "cluster", "left").select("unit", F.coalesce("new", "cluster").alias("cluster"), "born", "gender", "country")
+        moved = state.df.join(merged.df.withColumnRenamed("old", "cluster"), "cluster", "left").select("unit", F.coalesce("new", "cluster").alias("cluster"), *EVIDENCE)
         next_state = Written(moved)
         side = lambda col: merged.df.select(F.col("old").alias(col), F.col("new").alias(f"{col}_new"))  # noqa: B023, E731
         renamed = edges.df.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_new", "a").alias("a"), F.coalesce("b_new", "b").alias("b"), "total", "n").where("a <> b")
@@ -307,10 +336,10 @@ def _scores_between(lacking: DataFrame, merged: DataFrame, state: DataFrame, edg
     split = lacking.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("a_old", "a").alias("pa"), F.coalesce("b_old", "b").alias("pb"))
     had = edges.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
     split = split.withColumns({"lo": F.least("pa", "pb"), "hi": F.greatest("pa", "pb")}).join(had, ["lo", "hi"], "left_anti")
-    member = lambda u, p: state.select(F.col("unit").alias(f"u{u}"), F.col("cluster").alias(p), *[F.col(x).alias(f"{u}_{x}") for x in ("born", "gender", "country")])
+    member = lambda u, p: state.select(F.col("unit").alias(f"u{u}"), F.col("cluster").alias(p), *[F.col(x).alias(f"{u}_{x}") for x in EVIDENCE])
     both = lambda x: F.col(f"a_{x}").isNotNull() & F.col(f"b_{x}").isNotNull()
-    pairs = split.join(member("a", "pa"), "pa").join(member("b", "pb"), "pb").select("a", "b", "ua", "ub", both("born").alias("day"), both("country").alias("place"), both("gender").alias("sex"))
+    pairs = split.join(member("a", "pa"), "pa").join(member("b", "pb"), "pb").select("a", "b", "ua", "ub", both("born").alias("day"), both("mark").alias("marked"), both("country").alias("place"), both("gender").alias("sex"))
     named = lambda u, to: profiles.select(F.col("unit").alias(u), F.col("name").alias(to))
-    spelled = pairs.join(named("ua", "x"), "ua").join(named("ub", "y"), "ub").select("a", "b", "ua", "ub", "x", "y", "day", "place", "sex")
+    spelled = pairs.join(named("ua", "x"), "ua").join(named("ub", "y"), "ub").select("a", "b", "ua", "ub", "x", "y", "day", "marked", "place", "sex")
     scored = spelled.mapInArrow(scorer, "a bigint, b bigint, ua bigint, ub bigint, score double").groupBy("a", "b", "ua", "ub").agg(F.max("score").alias("score"))
     return scored.groupBy("a", "b").agg(F.sum("score").alias("total"), F.count("*").alias("n")).withColumn("pairs", F.lit(None).cast("bigint"))
