@@ -69,3 +69,34 @@ def test_first_latest_and_new(spark):
     assert R.first_per(df.limit(0), ["k"], [F.col("o")]).collect() == []
     merged = R.merge_values(df.withColumn("e", F.lit(1)), ["e"], "k", ["o"], "v", "v").collect()
     assert [(r.k, list(r.sources)) for r in merged] == [("a", ["y", "x"])]
+
+
+def test_fold_chain_does_not_end_silently(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(4)], "parent bigint, child bigint")
+    seeds = spark.createDataFrame([(0,)], "id bigint")
+    assert {r.id: r.depth for r in R.fold_chain(links, seeds).collect()} == {i: i for i in range(5)}
+    try:
+        R.fold_chain(links, seeds, rounds=2)
+    except ValueError:
+        return
+    raise AssertionError("lost waves")
+
+
+def test_fall_unless_vouched_against_brute_force(spark):
+    rng = random.Random(5)
+    nodes = [(i, i % 2, rng.choice([None, *range(40)]), rng.choice([None, "p", "q", "r", "s", "t", "u"]), rng.random() < 0.15) for i in range(40)]
+    mentioned = [(run, page, rng.choice([*range(40), 99] if page == "u" else range(40))) for run in (0, 1) for page in "pqstu" for _ in range(2)]
+    run = {n[0]: n[1] for n in nodes}
+    fallen = {n[0] for n in nodes if n[4]}
+    seeds = set(fallen)
+    while True:
+        more = {i for i, k, up, page, _ in nodes if i not in fallen and up in fallen and run[up] == k and not any(a == k and b == page and v not in fallen for a, b, v in mentioned)}
+        if not more:
+            break
+        fallen |= more
+    everything = set(seeds)
+    while more := {i for i, k, up, _, _ in nodes if i not in everything and up in everything and run[up] == k}:
+        everything |= more
+    assert seeds < fallen < everything
+    n, m = spark.createDataFrame(nodes, "id bigint, run_id bigint, parent bigint, page string, failed boolean"), spark.createDataFrame(mentioned, "run_id bigint, page string, voucher bigint")
+    assert sorted(r.id for r in R.fall_unless_vouched(n, m).collect()) == sorted(fallen)

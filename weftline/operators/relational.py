@@ -6,6 +6,8 @@ keys follow SQL: they join nothing, and form one group where stated.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,9 +111,11 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str, b
     return seen.join(carried, [by, "_slot"], "left").select("_row.*", F.coalesce("_last", "_c").alias(value))
 
 
-def fold_chain(links: DataFrame, seeds: DataFrame, rounds: int = 1_000) -> DataFrame:
+def fold_chain(links: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """Breadth-first waves: links(parent, child), seeds(id) -> (id, depth) of all that can be reached, least depth.
 
+    Ends with an empty wave; an error if more than `rounds` waves have rows.
+
     One anti join a wave keeps what was seen before; each wave is written to the shared folder, so lineage stays short.
     """
     from weftline.session import Written
@@ -119,15 +123,47 @@ def fold_chain(links: DataFrame, seeds: DataFrame, rounds: int = 1_000) -> DataF
     seen = Written(seeds.select("id").where("id is not null").distinct().withColumn("depth", F.lit(0)))
     wave = seen
     edges = Written(links.where("parent is not null and child is not null").select("parent", "child").distinct()).df
-    for depth in range(1, rounds + 1):
+    for depth in count(1):
         step = edges.join(wave.df.select(F.col("id").alias("parent")), "parent").select(F.col("child").alias("id")).distinct()
         fresh = Written(step.join(seen.df.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.df.isEmpty():
             break
+        if rounds is not None and depth > rounds:
+            raise ValueError(f"more than {rounds} waves")
         seen, wave = Written(seen.df.unionByName(fresh.df)), fresh
     return seen.df
 
 
+def fall_unless_vouched(nodes: DataFrame, mentioned: DataFrame) -> DataFrame:
+    """nodes(id, run_id, parent, page, failed), one row an id, mentioned(run_id, page, voucher) -> (id) of all nodes that fall.
+
+    A failed node falls. A child of a fallen one of its run falls too, unless a node that does not fall mentions its page;
+    one without page falls. This is the least such set, so no order matters. Nodes that nothing vouches for fall with the
+    node above them: they are one segment, found by pointer doubling, and only what is vouched for takes rounds.
+    """
+    from weftline.operators.hierarchy import resolve_tree
+    from weftline.session import Written
+
+    nodes = Written(nodes.where("id is not null")).df
+    up = nodes.select(F.col("id").alias("parent"), "run_id")
+    below = nodes.where("not failed").join(up, ["parent", "run_id"]).select("id", "run_id", "parent", "page")
+    vouched = Written(below.join(mentioned, ["run_id", "page"]).select("id", "parent", "voucher").distinct()).df
+    free = below.join(vouched.select("id"), "id", "left_anti").select("id", "parent")
+    tree = Written(resolve_tree(nodes.select("id").join(free, "id", "left")).select("id", "root")).df
+    of = lambda c: tree.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+    # a voucher that is no node of these can't fall
+    open_nodes = Written(vouched.join(of("parent"), "parent").join(of("voucher"), "voucher", "left").select("id", "parent_root", "voucher_root").distinct()).df
+    fallen = Written(nodes.where("failed").select("id"))
+    while True:
+        down = fallen.df.select(F.col("id").alias("root"))
+        standing = open_nodes.join(down.withColumnRenamed("root", "voucher_root"), "voucher_root", "left_anti").select("id")
+        ripe = open_nodes.join(down.withColumnRenamed("root", "parent_root"), "parent_root", "left_semi").select("id").distinct()
+        fresh = Written(ripe.join(standing, "id", "left_anti").join(fallen.df, "id", "left_anti"))
+        if fresh.df.isEmpty():
+            return tree.join(down, "root", "left_semi").select("id")
+        fallen = Written(fallen.df.unionByName(fresh.df))
+
+
 def spread_labels(keyed: DataFrame, ids: DataFrame) -> DataFrame:
     """keyed(id, key), ids(id) -> (id, group_id): the smallest id each record is connected to through keys.
 

@@ -289,6 +289,17 @@ def t5_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return falling.unionByName(waves.select("id"))
 
 
+@query("t5_vouched")
+def t5_vouched(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources that fall with a failed one above them in their run, but for those whose page a source that does not fall came up with."""
+    s = once(spark, sf, "sources", "run_id", "parent_source_id", "status", "url", "url_key")
+    s = s.select("id", "run_id", F.col("parent_source_id").alias("parent"), "status", url_key(F.coalesce(F.nullif(F.trim("url_key"), F.lit("")), F.col("url"))).alias("page"))
+    r = once(spark, sf, "results", "source_id").select(F.col("id").alias("discovered_by_result_id"), F.col("source_id").alias("voucher"))
+    u = once(spark, sf, "urls", "run_id", "norm_key", "discovered_by_result_id").where("norm_key is not null")
+    mentioned = u.join(r, "discovered_by_result_id").where("voucher is not null").select("run_id", url_key(F.col("norm_key")).alias("page"), "voucher").distinct()
+    return R.fall_unless_vouched(s.select("id", "run_id", "parent", "page", F.coalesce(F.col("status") == "ERROR", F.lit(False)).alias("failed")), mentioned)
+
+
 @query("t6_unmarked", f"select id from {SCENES} s where not exists (select 1 from result_images i where i.result_id = s.result_id)")
 def t6_unmarked(spark: SparkSession, sf: str) -> DataFrame:
     """Records that the ledger of what was processed does not have."""
