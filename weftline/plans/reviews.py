@@ -226,6 +226,15 @@ def k10_report(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.report_by(u, "host", F.concat(F.col("url"), F.lit(" -> "), F.col("norm_key")))
 
 
+@query("k10_changed", f"select host, id // 10000 as part, host || ' (' || count(*) || ')' || chr(10) || string_agg(line, chr(10) order by line) as report from (select id, host, url || ' -> ' || norm_key as line from {URLS} where host is not null and regexp_replace(lower(url), '^https?://(www\\.)?', '') <> norm_key) group by host, id // 10000")
+def k10_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """A text report of all addresses that are not in their normal form, by domain, in parts of at most 10,000 ids, so that no domain is one string."""
+    u = once(spark, sf, "urls", "host", "url", "norm_key").where("host is not null")
+    changed = u.where(F.regexp_replace(F.lower("url"), r"^https?://(www\.)?", "") != F.col("norm_key")).withColumn("part", F.expr("id div 10000"))
+    per = changed.groupBy("host", "part").agg(F.array_sort(F.collect_list(F.concat(F.col("url"), F.lit(" -> "), F.col("norm_key")))).alias("l"))
+    return per.select("host", "part", F.concat(F.col("host"), F.lit(" ("), F.size("l").cast("string"), F.lit(")\n"), F.array_join("l", "\n")).alias("report"))
+
+
 @query("k15_json_rows", f"select id, '{{\"id\":' || id || ',\"status\":\"' || status || '\"}}' as output from {RUNS} where status is not null")
 def k15_json_rows(spark: SparkSession, sf: str) -> DataFrame:
     return once(spark, sf, "runs", "status").where("status is not null").select("id", F.to_json(F.struct("id", "status")).alias("output"))
