@@ -12,3 +12,12 @@ def test_report_has_every_changed_address(spark, tmp_path):
     write(spark, tmp_path, "urls", rows, "id bigint, host string, url string, norm_key string")
     got = {(r.host, r.part): r.report for r in reviews.QUERIES["k10_changed"](spark, str(tmp_path)).collect()}
     assert got == {("a.example", 0): "a.example (2)\nhttp://a.example/y?ref=1 -> a.example/y\nhttps://www.a.example/x/ -> a.example/x", ("a.example", 2): "a.example (1)\nhttp://a.example:80/p#f -> a.example/p"}
+
+
+def test_strong_keys_group_and_names_only_without_them(spark, tmp_path):
+    sources = [(1, "https://box.example/graphql", None), (2, "box.example", None), (3, None, "https://www.site.example/p/1/"), (4, None, "site.example/p/1"), (5, None, None)]
+    write(spark, tmp_path, "sources", sources, "id bigint, endpoint string, url_key string")
+    rows = [(1, 5, "#17", None, "Ann Oak", None), (2, 5, "17", None, "Other Hill", None), (3, 1, None, "42", "Ann Oak", None), (4, 2, "17.0", "42", "X Y", None), (5, 3, None, None, "Ann Oak", None), (6, 4, None, None, "Eve Elm", None), (7, 5, None, "42", "Ann Oak", None), (8, 5, "n/a", None, "ann  OAK", None), (9, 5, None, None, "Ann Oak", "II"), (10, 5, None, None, None, None), (11, 5, None, None, None, None)]
+    write(spark, tmp_path, "performers", rows, "id bigint, source_id bigint, stored_id string, remote_site_id string, name string, disambiguation string")
+    got = {r.id: r.group_id for r in reviews.QUERIES["a10_strong_groups"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9, 10: 10, 11: 11}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
-from weftline.functions.clean import endpoint_id, uuid_id
+from weftline.functions.clean import endpoint_id, int_id, url_key, uuid_id
 from weftline.operators import relational as R
 from weftline.plans.store import ONE, PERFORMERS, RESULTS, RUNS, SCENES, SOURCES, TAGS, URLS, once
 from weftline.session import fixed_values, table
@@ -87,6 +87,21 @@ def a10_entity_groups(spark: SparkSession, sf: str) -> DataFrame:
     return R.spread_labels(keys, p.select("id"))
 
 
+@query("a10_strong_groups")
+def a10_strong_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Mentions grouped by stored id, remote id at one endpoint or page, directly or through others; those without such a key by name and disambiguation among themselves. Without any of these a mention is its own group."""
+    p = once(spark, sf, "performers", "source_id", "stored_id", "remote_site_id", "name", "disambiguation")
+    s = once(spark, sf, "sources", "endpoint", "url_key").select(F.col("id").alias("source_id"), endpoint_id(F.col("endpoint")).alias("endpoint"), url_key(F.col("url_key")).alias("page"))
+    strong = F.array_compact(F.array(
+        F.concat(F.lit("local:"), int_id(F.col("stored_id"))),
+        F.concat(F.lit("stash:"), F.col("endpoint"), F.lit("|"), uuid_id(F.col("remote_site_id"))),
+        F.concat(F.lit("url:"), F.col("page")),
+    ))
+    weak = F.array_compact(F.array(F.concat(F.lit("weak:"), text.canon_text(F.col("name")), F.lit("|"), F.coalesce(text.canon_text(F.col("disambiguation")), F.lit("")))))
+    keyed = p.join(s, "source_id", "left").withColumn("strong", strong)
+    return R.spread_labels(keyed.select("id", F.explode(F.when(F.size("strong") > 0, F.col("strong")).otherwise(weak)).alias("key")), p.select("id"))
+
+
 @query("a13_fold_by_name", f"select lower(name) as key, min(id) as id, array_to_string(list_sort(list(id)), ',') as merged from {TAGS} where name is not null group by 1")
 def a13_fold_by_name(spark: SparkSession, sf: str) -> DataFrame:
     """Records that resolve to one, with the ids they absorb."""
