@@ -21,3 +21,10 @@ def test_strong_keys_group_and_names_only_without_them(spark, tmp_path):
     write(spark, tmp_path, "performers", rows, "id bigint, source_id bigint, stored_id string, remote_site_id string, name string, disambiguation string")
     got = {r.id: r.group_id for r in reviews.QUERIES["a10_strong_groups"](spark, str(tmp_path)).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9, 10: 10, 11: 11}
+
+
+def test_parsed_ids_come_out_in_order(spark, tmp_path):
+    rows = [(7, "12; 007,3"), (3, "x,5;5"), (4, None), (5, "1234567890123456")]
+    write(spark, tmp_path, "performers", rows, "id bigint, stored_id string")
+    got = {r.id: r.ids for r in reviews.QUERIES["u8_ids"](spark, str(tmp_path)).collect()}
+    assert got == {7: "12,7,3", 3: "5,3", 4: "4", 5: "1234567890123456,5"}

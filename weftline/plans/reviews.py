@@ -145,6 +145,14 @@ def u8_id_list(spark: SparkSession, sf: str) -> DataFrame:
     return once(spark, sf, "performers", "stored_id").select("id", F.array_join(ids.cast("array<string>"), ",").isNotNull().alias("parsed"))
 
 
+@query("u8_ids", f"select id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') as ids from (select id, list_filter(list_transform(regexp_split_to_array(coalesce(stored_id, '') || ',' || id || ';' || coalesce(stored_id, ''), '[,;]'), lambda x: try_cast(regexp_extract(trim(x), '^[0-9]+$') as bigint)), lambda x: x is not null) as l from {PERFORMERS})")
+def u8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct ids of a list with mixed delimiters, in order of appearance."""
+    packed = F.concat(F.coalesce("stored_id", F.lit("")), F.lit(","), F.col("id").cast("string"), F.lit(";"), F.coalesce("stored_id", F.lit("")))
+    ids = F.array_distinct(F.filter(F.transform(F.split(packed, "[,;]"), lambda x: F.regexp_extract(F.trim(x), "^[0-9]+$", 0).try_cast("bigint")), lambda x: x.isNotNull()))
+    return once(spark, sf, "performers", "stored_id").select("id", F.array_join(ids.cast("array<string>"), ",").alias("ids"))
+
+
 @query("proj13_deny_list", f"select id, name from {SOURCES} where name is not null and replace(lower(trim(name)), ' ', '') not in ('boxone', 'numbox')")
 def proj13_deny_list(spark: SparkSession, sf: str) -> DataFrame:
     s = once(spark, sf, "sources", "name").where("name is not null")
