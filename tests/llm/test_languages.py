@@ -81,3 +81,29 @@ def test_frame(spark, field):
     assert got == {(2, 1, "de"), (3, 1, "fr"), (6, 1, "en"), (6, 2, "sv")}
     assert L.language_segments(df.limit(0), field).collect() == []
     assert L.fit_sample(df.limit(0)) == []
+
+
+def test_sentences_under_wrong_labels_are_left_out():
+    # in every label but its own, English is a fifth, so that more of it lies under wrong labels than under its own
+    words = {k: [f"{x}{i}" for i in range(40)] for k, x in enumerate(L.LANGS)}
+    rng = np.random.default_rng(3)
+    say = lambda k: [words[k][i] for i in rng.integers(0, 40, 9)]
+    en = L.LANGS.index("en")
+    held = [(k, say(k)) for k in range(len(L.LANGS)) for _ in range(80)] + [(k, say(en)) for k in range(len(L.LANGS)) if k != en for _ in range(20)]
+    kept = L.borne_out(held)
+    assert sorted(map(str, kept)) == sorted(map(str, held[: 80 * len(L.LANGS)]))
+    assert L.borne_out([]) == [] and L.borne_out([(en, ["a"])]) == [(en, ["a"])]
+
+
+def test_draws_of_the_sample_agree(spark, sf):
+    """Fields fitted on other documents label alike: what differs between any two is under two in a hundred stretches."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/documents.parquet").where("text is not null").select("doc_id", "lang", "text")
+    texts = [r.text for r in docs.where("doc_id % 10 = 3").orderBy("doc_id").collect()]
+    found = []
+    for seed in range(3):
+        drawn = L.fit_sample(docs.withColumn("doc_id", F.xxhash64("doc_id", F.lit(seed))))
+        doc, seg, lang, _ = L.label_texts(L.fit(drawn), texts)
+        found.append(set(zip(doc.tolist(), seg.tolist(), lang, strict=True)))
+    assert all(len(a ^ b) < 0.02 * len(a) for a, b in itertools.combinations(found, 2))

@@ -3,7 +3,8 @@
 Words are labelled with languages. A word's score comes from its affixes, its character n-grams and a lexicon of frequent
 words; two learned transition matrices, one within sentences and one between them, tie neighbours together.
 Forward-backward gives each word its marginals, which are summed over sentences. The field is fitted on the driver by
-gradient ascent over a bounded sample of labelled documents (FIT_DOCS a language); all documents are then labelled.
+gradient ascent over a bounded sample of labelled documents (FIT_DOCS a language), until its marginals stand, and learns
+from those sentences only that bear out their document's label; all documents are then labelled.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -65,21 +67,14 @@ def sentences(text: str) -> list[list[str]]:
     return [s for s in found if s]
 
 
-def _hash(s: str) -> int:
-    h = 2166136261
-    for ch in s:
-        h = ((h ^ ord(ch)) * 16777619) & 0xFFFFFFFF
-    return h % FEATURES
-
-
 def features(word: str) -> list[int]:
     """Hashed features of a word: itself, prefixes and suffixes, trigrams, and whether it is written like a name."""
     w = word.lower()
+    marked = "^" + w + "$"
     out = ["w" + w, "cap" if word[:1].isupper() else "low"]
     out += ["p" + w[:k] for k in (1, 2, 3) if len(w) > k] + ["s" + w[-k:] for k in (1, 2, 3, 4) if len(w) > k]
-    marked = "^" + w + "$"
     out += ["g" + marked[i : i + 3] for i in range(len(marked) - 2)]
-    return [_hash(f) for f in out]
+    return [crc32(f.encode("utf-8", "surrogatepass")) % FEATURES for f in out]
 
 
 class Field:
@@ -157,32 +152,53 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray
     return post, ci if pairs else None, cb if pairs else None
 
 
-def fit(samples: list[tuple[str, str]], steps: int = 40, rate: float = 0.5, seed: int = 7) -> Field:
+def fit(samples: list[tuple[str, str]], rate: float = 0.5, seed: int = 7) -> Field:
     """(language, text) of documents -> a field.
 
-    The labels are not trusted: each half of the sample is labelled by a field fitted on the other half, and only
-    sentences on which it agrees with the document's label are learned from. Code-switched sequences are made by joining
-    sentences of several languages.
+    The labels are not trusted: only sentences whose words bear out the label of their document are learned from (see
+    `borne_out`). Code-switched sequences are made by joining sentences of several languages.
     """
     rng = np.random.default_rng(seed)
     held = []
-    for k, (lang, text) in enumerate(samples):
+    for lang, text in samples:
         own = [s for s in sentences(text) if len(s) >= 3]
-        held += [(LANGS.index(lang), own[i], k % 2) for i in sorted(rng.permutation(len(own))[:FIT_SENTENCES])]
-    blank = Field(np.zeros((FEATURES, len(LANGS)), np.float32), np.eye(len(LANGS)) * 2.0, np.eye(len(LANGS)) * 1.0)
-    agreed = []
-    for half in (0, 1):
-        mine, other = [x for x in held if x[2] == half], [x for x in held if x[2] != half]
-        if not mine or not other:
-            agreed += mine
-            continue
-        field = _ascend(other, _switched(other, rng), steps // 2, rate)
-        sums = np.add.reduceat(field.scores([w for x in mine for w in x[1]]), np.cumsum([0, *[len(x[1]) for x in mine[:-1]]]), axis=0)
-        agreed += [x for x, best in zip(mine, sums.argmax(axis=1), strict=True) if x[0] == best]
-    return _ascend(agreed, _switched(agreed, rng), steps, rate) if agreed else blank
+        held += [(LANGS.index(lang), own[i]) for i in sorted(rng.permutation(len(own))[:FIT_SENTENCES])]
+    agreed = borne_out(held)
+    if not agreed:
+        return Field(np.zeros((FEATURES, len(LANGS)), np.float32), np.eye(len(LANGS)) * 2.0, np.eye(len(LANGS)) * 1.0)
+    return _ascend(agreed, _switched(agreed, rng), rate)
+
 
+def borne_out(held: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
+    """(label, words) of sentences -> those whose words fit their label best.
 
-def _switched(held: list[tuple[int, list[str], int]], rng: np.random.Generator) -> list[list[int]]:
+    Each label begins as a mixture of its own language and of what is wrongly labelled with it, whose shares differ from
+    label to label. Word frequencies of every class are taken from its sentences, each sentence goes to the class that
+    makes its words most likely, and so on until none moves: a language that is the lesser part of all labels but its own
+    ends up in its own class, since all of its words are more frequent there.
+    """
+    n = len(LANGS)
+    if not held:
+        return []
+    label = np.array([k for k, _ in held])
+    sizes = np.array([len(w) for _, w in held])
+    types, idx = np.unique(np.array([w.lower() for _, s in held for w in s], dtype=object), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    now, before = label, None
+    while before is None or (now != before).any():
+        counts = np.stack([np.bincount(idx, weights=np.repeat(now == k, sizes), minlength=len(types)) for k in range(n)], axis=1) + 0.1
+        odds = np.log(counts / counts.sum(axis=0))
+        # a label none of the sentences has can't win any
+        odds[:, np.bincount(now, minlength=n) == 0] = -1e9
+        total = np.add.reduceat(odds[idx], starts, axis=0)
+        # the likelihood never falls from round to round, so no state comes twice; what is as likely stays where it is
+        best = total.argmax(axis=1)
+        stays = total[np.arange(len(now)), now] >= total[np.arange(len(now)), best] - 1e-9
+        now, before = np.where(stays, now, best), now
+    return [x for x, k in zip(held, now, strict=True) if x[0] == k]
+
+
+def _switched(held: list[tuple[int, list[str]]], rng: np.random.Generator) -> list[list[int]]:
     """Sequences of two to six sentences, with a change of language at about every third."""
     queue: dict[int, list[int]] = {}
     for i in rng.permutation(len(held)):
@@ -202,7 +218,8 @@ def _switched(held: list[tuple[int, list[str], int]], rng: np.random.Generator)
     return sequences
 
 
-def _ascend(held: list[tuple[int, list[str], int]], sequences: list[list[int]], steps: int, rate: float) -> Field:
+def _ascend(held: list[tuple[int, list[str]]], sequences: list[list[int]], rate: float, enough: float = 1e-3) -> Field:
+    """Gradient ascent until the words' marginals stand: a step that changes none of the mean marginals of the right labels by `enough`."""
     n = len(LANGS)
     words = [w for seq in sequences for i in seq for w in held[i][1]]
     gold = np.array([held[i][0] for seq in sequences for i in seq for _ in held[i][1]])
@@ -234,9 +251,14 @@ def _ascend(held: list[tuple[int, list[str], int]], sequences: list[list[int]],
         by_type = np.stack([np.bincount(idx, weights=x[:, k], minlength=len(types)) for k in range(n)], axis=1) * scale[:, None]
         return np.stack([np.bincount(flat, weights=by_type[owner, k], minlength=len(used)) for k in range(n)], axis=1)
 
-    for _ in range(steps):
+    # the mean marginal of the right label, by label
+    right, labels = np.zeros(n), np.bincount(gold, minlength=n)
+    while True:
         emit = np.stack([np.bincount(owner, weights=w[flat, k], minlength=len(types)) for k in range(n)], axis=1) * scale[:, None]
         post, ci, cb = forward_backward(emit[idx], starts, lengths, opens, inside, between, pairs=True)
+        was, right = right, np.bincount(gold, weights=post[np.arange(len(gold)), gold], minlength=n) / np.maximum(labels, 1)
+        if np.abs(right - was).max() < enough:
+            break
         # Adagrad on the penalised likelihood
         for x, acc, g in ((w, gw, per_feature(hot - post) - 0.5 * w), (inside, gi, true_i - ci), (between, gb, true_b - cb)):
             acc += g * g
