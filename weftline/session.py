@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own_dir: str | None = None
 _written: list[Written] = []
@@ -36,11 +36,13 @@ def fixed_values(df: DataFrame, column: str, most: int = 1_000) -> list:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set and all run in one process, as in tests."""
     global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -48,12 +50,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Written:
-    """A table written to the shared folder: it cuts lineage, survives lost executors and can be dropped when used up."""
+    """A table written to the shared folder: it cuts lineage, survives lost executors and can be dropped when used up.
 
-    def __init__(self, df: DataFrame):
+    Aggregates given as `measures` are taken while it is written and are in `seen`, by name: no second pass over the table.
+    """
+
+    def __init__(self, df: DataFrame, **measures: Column):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        watch = Observation() if measures else None
+        (df.observe(watch, *[c.alias(n) for n, c in measures.items()]) if watch else df).write.parquet(self.path)
+        self.seen = watch.get if watch else {}
         self.df = spark.read.schema(df.schema).parquet(self.path)
         _written.append(self)
 
