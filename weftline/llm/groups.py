@@ -41,13 +41,12 @@ def hash_to_min(links: DataFrame) -> DataFrame:
     """
     links = links.where("a is not null and b is not null and a <> b")
     both = links.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")), F.struct(F.col("a").alias("v"), F.col("a").alias("u")), F.struct(F.col("b").alias("v"), F.col("b").alias("u")))).alias("x"))
-    held, before = Written(both.select("x.v", "x.u").distinct()), None
-    while True:
-        state = held.df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("v", "u")).alias("h")).first()
-        if before == (state.n, state.h):
-            break
-        before = (state.n, state.h)
-        step = Written(_round(held.df))
+    # the number and a digest of the rows are taken as they are written: equal ones mean that nothing changed
+    digest = {"n": F.count(F.lit(1)), "h": F.bit_xor(F.xxhash64("v", "u"))}
+    held, before = Written(both.select("x.v", "x.u").distinct(), **digest), None
+    while held.seen != before:
+        step = Written(_round(held.df), **digest)
+        before = held.seen
         held.drop()
         held = step
     # in the end the set of a group's minimum is the group, and every other set is that minimum

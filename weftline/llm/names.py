@@ -19,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.groups import hash_to_min
 from weftline.session import Written
 
 #: Grams kept in a broadcast at most: trigrams of folded letters, of which there are fewer than 30 ** 3 besides rare scripts.
 MAX_GRAMS = 200_000
-#: Grams of a name that are compared, far beyond the longest name (others are dropped from its vector on both sides).
-WIDTH = 64
 
 
 def _fold_pairs() -> tuple[str, str]:
@@ -83,7 +82,7 @@ class Vectors:
                 g = ids.get(p[i : i + 3])
                 if g is not None:
                     tf[g] = tf.get(g, 0) + 1
-        order = sorted(tf)[:WIDTH]
+        order = sorted(tf)
         w = [(1 + math.log(tf[g])) * self.idf[g] for g in order]
         norm = math.sqrt(sum(x * x for x in w)) or 1.0
         return order, [x / norm for x in w]
@@ -107,8 +106,9 @@ class Vectors:
         for i, (x, y) in enumerate(made):
             ids[i, : len(x)], w[i, : len(y)] = x, y
         out = np.empty(n, dtype=np.float32)
-        for lo in range(0, n, 1024):
-            a, b = codes[lo : min(n, lo + 1024)], codes[n + lo : n + min(n, lo + 1024)]
+        step = max(1, (1 << 22) // (width * width))
+        for lo in range(0, n, step):
+            a, b = codes[lo : min(n, lo + step)], codes[n + lo : n + min(n, lo + step)]
             same = ids[a][:, :, None] == ids[b][:, None, :]
             # padding meets padding with weight 0
             out[lo : lo + len(a)] = ((same * w[b][:, None, :]).sum(axis=2) * w[a]).sum(axis=1)
@@ -145,13 +145,59 @@ def with_bearers(profiles: DataFrame) -> DataFrame:
     return profiles.join(per, "name")
 
 
-def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by `key`, cut anew so that the rows of a key are in one batch."""
+    rest = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = b if rest is None else pa.concat_batches([rest, b])
+        keys = b.column(key).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        at = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
+        if at:
+            yield b.slice(0, at)
+        rest = b.slice(at)
+    if rest is not None:
+        yield rest
+
+
+def _day_links(v: Vectors, b: pa.RecordBatch) -> pa.RecordBatch:
+    """All pairs of units of one birthday, of similar name and without contradiction; b is in order of birthdays."""
+    days = b.column("born").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    units = b.column("unit").to_numpy(zero_copy_only=False)
+    marks = [np.asarray(b.column(x).dictionary_encode().indices.fill_null(-1)) for x in EVIDENCE if x != "born"]
+    made = [v.one(x) for x in b.column("name").to_pylist()]
+    ends = np.flatnonzero(np.append(np.diff(days) != 0, True)) + 1
+    a, o, s, lo = [], [], [], 0
+    for hi in ends.tolist():
+        n = hi - lo
+        if n > 1 and (units[lo:hi] != units[lo]).any():
+            size = [len(x) for x, _ in made[lo:hi]]
+            grams, col = np.unique(np.concatenate([np.array(x, np.int64) for x, _ in made[lo:hi]]), return_inverse=True)
+            dense = np.zeros((n, len(grams)), np.float32)
+            dense[np.repeat(np.arange(n), size), col] = np.concatenate([np.array(y, np.float32) for _, y in made[lo:hi]])
+            cos = dense @ dense.T
+            ok = (cos >= SAME_DAY - 1e-5) & (units[lo:hi][:, None] < units[lo:hi][None, :])
+            for m in marks:
+                x = m[lo:hi]
+                ok &= (x[:, None] == x[None, :]) | (x[:, None] < 0) | (x[None, :] < 0)
+            i, j = np.nonzero(ok)
+            a.append(units[lo + i])
+            o.append(units[lo + j])
+            s.append(0.5 + 0.5 * (cos[i, j].astype(np.float64) - SAME_DAY) / (1 - SAME_DAY))
+        lo = hi
+    whole = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
+    return pa.RecordBatch.from_arrays([whole(a, pa.int64()), whole(o, pa.int64()), whole(s, pa.float64())], names=["a", "b", "score"])
+
+
+def similar_pairs(profiles: DataFrame, idf: dict[str, float], together: int = TOGETHER) -> DataFrame:
     """profiles(unit, name, born date, gender, country, bearers) -> (a, b, score), a < b: units of similar name whose evidence agrees.
 
     Joined on a prefix gram and the birthday both have; or, where one has none, the country both have; or, where one has
     neither, the gender both have, at a higher threshold each time. Evidence that both have and that differs rules a pair
     out. A mark both have counts as a country both have. A name with several bearers is compared on a birthday or a mark
-    only. What the name alone links is in `only_bearers`, the name and the year in `year_bearers`.
+    only. What the name alone links is in `only_bearers`, the name and the year in `year_bearers`. A birthday of up to
+    `together` records is compared as one block, without grams; both ways find the same pairs.
     """
     profiles = with_marks(profiles)
     spark = profiles.sparkSession
@@ -177,20 +223,20 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
                         gram += g
                         weight += w
                         after += a
-                        # by the rest of the prefix a pair is met once; posting lists of a day are short, so there it isn't needed
-                        prefix += [list(g)] * len(g) if k != "day" else [None] * len(g)
+                        # by the rest of the prefix a pair is met once
+                        prefix += [list(g)] * len(g)
             taken = pa.RecordBatch.from_arrays(b.columns, schema=b.schema).take(pa.array(row, pa.int32()))
             more = [pa.array(kind, pa.string()), pa.array(gram, pa.int32()), pa.array(weight, pa.float32()), pa.array(after, pa.float32()), pa.array(prefix, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*taken.columns, *more], names=[*b.schema.names, "kind", "gram", "weight", "after", "prefix"])
 
-    # the few records of a birthday are compared without grams; a birthday that many share is no evidence by itself
+    # the few records of a birthday are compared as a block; a birthday that many share is no evidence by itself
     often = profiles.where("born is not null").groupBy("born").agg(F.count("*").alias("there"))
     counted = profiles.select("unit", "name", *EVIDENCE, "bearers").join(often, "born", "left")
-    own = counted.select("unit", "name", *EVIDENCE, (F.col("there") > TOGETHER).alias("crowded"), (F.col("bearers") < 2).alias("telling"))
-    held = Written(own)
+    held = Written(counted.select("unit", "name", *EVIDENCE, (F.col("there") > together).alias("crowded"), (F.col("bearers") < 2).alias("telling")))
     own = held.df
-    postings = own.mapInArrow(post, "unit bigint, name string, born date, gender string, country string, mark string, year int, kind string, gram int, weight float, after float, prefix array<int>")
-    posted = Written(postings)
+    # a posting is of use where one without birthday meets it, or on a crowded day
+    useful = own.where("crowded or mark is not null or (telling and (country is not null or gender is not null))")
+    posted = Written(useful.mapInArrow(post, "unit bigint, name string, born date, gender string, country string, mark string, year int, kind string, gram int, weight float, after float, prefix array<int>"))
     postings = posted.df
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     agree = lambda c: F.coalesce(l(c) == r(c), F.lit(True))
@@ -199,23 +245,17 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
     for x in EVIDENCE:
         fits = fits & agree(x)
     # without a common birthday one of both has none: that one is on the left, so those that have one never meet each other
-    ordered = {"day": l("unit") < r("unit"), "marked": r("born").isNotNull() | (l("unit") < r("unit")), "place": r("born").isNotNull() | (l("unit") < r("unit")), "sex": r("born").isNotNull() | (l("unit") < r("unit"))}
-    once = F.array_min(F.array_intersect(l("prefix"), r("prefix"))) == l("gram")
+    dateless = r("born").isNotNull() | (l("unit") < r("unit"))
     # all grams that both have lie behind their first one: it and Cauchy's bound on the rest say how similar they can be
     bound = lambda t: l("weight") * r("weight") + l("after") * r("after") >= F.lit(t - 1e-4)
-    weaker = {"day": F.lit(True), "marked": once, "place": once, "sex": ~both("country") & once}
+    once = F.array_min(F.array_intersect(l("prefix"), r("prefix"))) == l("gram")
+    weaker = {"day": l("unit") < r("unit"), "marked": dateless, "place": dateless, "sex": dateless & ~both("country")}
     shown = [F.least(l("unit"), r("unit")).alias("a"), F.greatest(l("unit"), r("unit")).alias("b"), l("name").alias("x"), r("name").alias("y"), both("born").alias("day"), both("mark").alias("marked"), both("country").alias("place"), both("gender").alias("sex")]
-    lonely = own.where("not crowded")
     out = None
     for kind, key, t in kinds:
         posts = postings.where(F.col("kind") == kind).drop("kind")
         left = posts if kind == "day" else posts.where("born is null")
-        pairs = left.alias("l").join(posts.alias("r"), (l("gram") == r("gram")) & (l(key) == r(key)) & ordered[kind] & fits & bound(t) & weaker[kind])
-        if kind == "day":
-            near = lonely.alias("l").join(lonely.alias("r"), (l("born") == r("born")) & ordered["day"] & fits)
-            pairs = pairs.select(*shown).unionByName(near.select(*shown))
-        else:
-            pairs = pairs.select(*shown)
+        pairs = left.alias("l").join(posts.alias("r"), (l("gram") == r("gram")) & (l(key) == r(key)) & weaker[kind] & fits & bound(t) & once).select(*shown)
         out = pairs if out is None else out.unionByName(pairs)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +269,14 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float]) -> DataFrame:
             s = 0.5 + 0.5 * (cos[ok] - least[ok]) / (1 - least[ok])
             yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(ok)), b.column("b").take(pa.array(ok)), pa.array(s.astype(np.float64))], names=["a", "b", "score"])
 
-    links = Written(out.mapInArrow(score, "a bigint, b bigint, score double").groupBy("a", "b").agg(F.max("score").alias("score")))
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vectors(shared.value)
+        for b in whole_groups(batches, "born"):
+            yield _day_links(v, b)
+
+    alone = own.where("not crowded").select("born", "unit", "name", "gender", "country", "mark", "year")
+    near = alone.repartition("born").sortWithinPartitions("born").mapInArrow(blocks, "a bigint, b bigint, score double")
+    links = Written(out.mapInArrow(score, "a bigint, b bigint, score double").unionByName(near).groupBy("a", "b").agg(F.max("score").alias("score")))
     for used in (held, posted):
         used.drop()
     return links.df
@@ -279,7 +326,11 @@ def _pair_scorer(idf: dict[str, float], spark):  # noqa: ANN001, ANN202
     return score
 
 
-def average_linkage(links: DataFrame, units: DataFrame, threshold: float = 0.5, profiles: DataFrame | None = None, idf: dict[str, float] | None = None) -> DataFrame:
+#: Units of a component up to which it is clustered within one task.
+WITHIN_TASK = 1_000
+
+
+def average_linkage(links: DataFrame, units: DataFrame, threshold: float = 0.5, profiles: DataFrame | None = None, idf: dict[str, float] | None = None, within: int = WITHIN_TASK) -> DataFrame:
     """links(a, b, score), units(unit, born, gender, country; mark and year where known) -> (unit, cluster) of all units that have a link.
 
     In each round every cluster picks the neighbour of the highest average score over all pairs of their units; mutual
@@ -287,7 +338,120 @@ def average_linkage(links: DataFrame, units: DataFrame, threshold: float = 0.5,
     its names, from profiles(unit, name) and idf, at most 0.5; without profiles it counts 0. Each such pair is scored once,
     when the clusters it lies in come to touch. Links between clusters whose evidence differs are dropped. Ties go to the
     smaller id. Ends when no choice is mutual.
+
+    Nothing merges across connected components of the links. Those of up to `within` units go through their rounds inside
+    one task each, larger ones as rounds over tables; the outcome is the same.
     """
+    links = links.select("a", "b", "score")
+    units = with_marks(units).select("unit", *EVIDENCE)
+    of = Written(hash_to_min(links).select(F.col("id").alias("unit"), F.col("group_id").alias("comp"))).df
+    sized = of.groupBy("comp").agg(F.count("*").alias("size"))
+    large = Written(of.join(sized.where(F.col("size") > within), "comp").select("unit")).df
+    out = None
+    if not large.isEmpty():
+        out = _linkage_rounds(links.join(large.select(F.col("unit").alias("a")), "a", "left_semi").select("a", "b", "score"), units, threshold, profiles, idf)
+    placed = of.join(large, "unit", "left_anti") if out is not None else of
+    named = placed.join(units, "unit")
+    if profiles is not None:
+        # names are of use only where there is a pair without link
+        named = named.join(profiles.join(placed.join(sized.where("size > 2"), "comp").select("unit"), "unit", "left_semi").groupBy("unit").agg(F.collect_set("name").alias("names")), "unit", "left")
+    else:
+        named = named.withColumn("names", F.lit(None).cast("array<string>"))
+    none = lambda t: F.lit(None).cast(t)
+    members = named.select("comp", F.col("unit").alias("a"), none("bigint").alias("b"), none("double").alias("score"), *EVIDENCE, "names")
+    edges = links.join(placed.withColumnRenamed("unit", "a"), "a").select("comp", "a", "b", "score", *[none(units.schema[x].dataType).alias(x) for x in EVIDENCE], none("array<string>").alias("names"))
+    shared = links.sparkSession.sparkContext.broadcast(idf)
+
+    def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vectors(shared.value) if shared.value is not None else None
+        for b in whole_groups(batches, "comp"):
+            comps, lefts, rights, scores = (b.column(c).to_pylist() for c in ("comp", "a", "b", "score"))
+            known = list(zip(*[b.column(x).to_pylist() for x in EVIDENCE], strict=True))
+            names = b.column("names").to_pylist()
+            unit, to, lo = [], [], 0
+            for hi in [*(k for k in range(1, len(comps)) if comps[k] != comps[k - 1]), len(comps)]:
+                k = lo
+                while k < hi and rights[k] is None:
+                    k += 1
+                unit += lefts[lo:k]
+                to += cluster_component(lefts[lo:k], known[lo:k], names[lo:k], list(zip(lefts[k:hi], rights[k:hi], scores[k:hi], strict=True)), threshold, v)
+                lo = hi
+            yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(to, pa.int64())], names=["unit", "cluster"])
+
+    small = members.unionByName(edges).repartition("comp").sortWithinPartitions("comp", F.col("b").asc_nulls_first(), "a").mapInArrow(cluster, "unit bigint, cluster bigint")
+    return small if out is None else small.unionByName(out)
+
+
+def cluster_component(units: list[int], known: list[tuple], names: list[list[str] | None], edges: list[tuple[int, int, float]], threshold: float, v: Vectors | None) -> list[int]:
+    """The cluster of each of `units` (in order of their ids), by the rounds of `average_linkage`."""
+    at = {u: i for i, u in enumerate(units)}
+    members = {i: [i] for i in range(len(units))}
+    evidence = dict(enumerate(known))
+    near: dict[int, dict[int, float]] = {i: {} for i in members}  # totals over all pairs of two clusters
+    for a, b, s in edges:
+        near[at[a]][at[b]] = near[at[b]][at[a]] = s
+    differ = lambda x, y: any(p is not None and q is not None and p != q for p, q in zip(x, y, strict=True))
+    vectors: dict[str, dict[int, float]] = {}
+
+    def vector(name: str) -> dict[int, float]:
+        if name not in vectors:
+            vectors[name] = dict(zip(*v.one(name), strict=True))
+        return vectors[name]
+
+    def unlinked(i: int, j: int) -> float:
+        """The score of a pair without link, on the scale of links; what is no link can't speak for a merge, so it has 0.5 at most."""
+        if v is None or not names[i] or not names[j]:
+            return 0.0
+        best = 0.0
+        for x in map(vector, names[i]):
+            for y in map(vector, names[j]):
+                s, t = (x, y) if len(x) <= len(y) else (y, x)
+                best = max(best, sum(w * t.get(g, 0.0) for g, w in s.items()))
+        both = [p is not None and q is not None for p, q in zip(known[i], known[j], strict=True)]
+        day, sex, place, mark = both[:4]
+        least = float(least_cosine(day, mark, place, sex))
+        return min(0.5, max(0.0, 0.5 + 0.5 * (best - least) / (1 - least)))
+
+    while True:
+        for c, own in near.items():
+            for d in [d for d in own if differ(evidence[c], evidence[d])]:
+                own.pop(d)
+                near[d].pop(c)
+        choice = {}
+        for c, own in near.items():
+            ways = [(round(x, 9), -d) for d, total in own.items() if (x := total / (len(members[c]) * len(members[d]))) >= threshold]
+            if ways:
+                choice[c] = -max(ways)[1]
+        merged = {d: c for c, d in choice.items() if c < d and choice.get(d) == c}
+        if not merged:
+            break
+        into = lambda c: merged.get(c, c)  # noqa: B023, E731
+        parts: dict[int, list[int]] = {}
+        for c in members:
+            parts.setdefault(into(c), []).append(c)
+        fused = {c: tuple(next((e for e in (evidence[p][k] for p in ps) if e is not None), None) for k in range(len(EVIDENCE))) for c, ps in parts.items()}
+        after: dict[int, dict[int, float]] = {c: {} for c in parts}
+        for c in near:
+            for d in near[c]:
+                x, y = into(c), into(d)
+                if x >= y or y in after[x] or differ(fused[x], fused[y]):
+                    continue
+                total = 0.0
+                for p in parts[x]:
+                    for q in parts[y]:
+                        total += near[p][q] if q in near[p] else sum(unlinked(i, j) for i in members[p] for j in members[q])
+                after[x][y] = after[y][x] = total
+        members = {c: [i for p in ps for i in members[p]] for c, ps in parts.items()}
+        evidence, near = fused, after
+    out = [0] * len(units)
+    for c, own in members.items():
+        for i in own:
+            out[i] = units[c]
+    return out
+
+
+def _linkage_rounds(links: DataFrame, units: DataFrame, threshold: float, profiles: DataFrame | None, idf: dict[str, float] | None) -> DataFrame:
+    """`average_linkage` as rounds over tables, for components of any size."""
     ends = links.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
     state = Written(with_marks(units).join(ends, "unit").select("unit", F.col("unit").alias("cluster"), *EVIDENCE))
     edges = Written(links.select("a", "b", F.col("score").alias("total"), F.lit(1).cast("bigint").alias("n")))
