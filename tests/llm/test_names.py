@@ -54,6 +54,8 @@ def test_joins_lose_no_pair(spark):
             if brute_cos(idf, a[1], b[1]) >= least:
                 want.add((a[0], b[0]))
     assert got == want and len(want) > 50
+    # birthdays of more than ten records by grams: the same pairs
+    assert {(r.a, r.b) for r in N.similar_pairs(N.with_bearers(df), idf, together=10).collect()} == want
 
 
 def test_average_linkage_keeps_contradictions_apart(spark):
@@ -117,3 +119,23 @@ def test_variant_pairs(spark):
     df = spark.createDataFrame([(1, "A", 1), (2, "A", 1), (3, "B", 1), (4, None, 1), (5, "C", 5)], "id bigint, name string, cluster bigint")
     assert sorted(tuple(r) for r in variant_pairs(df).collect()) == [(1, 3), (2, 3)]
     assert variant_pairs(df.limit(0)).collect() == []
+
+
+def test_components_within_tasks_and_as_rounds_over_tables_give_the_same(spark):
+    rng = random.Random(9)
+    first, last = ["anna", "bella", "clara", "annabel"], ["stone", "stonewall", "river", "hillman"]
+    rows = [(i, rng.choice(first) + " " + rng.choice(last), rng.choice([None, None, "1980-01-01", "1990-02-02"]), rng.choice([None, "F", "M"]), rng.choice([None, None, "SE"])) for i in range(60)]
+    units = spark.createDataFrame(rows, "unit bigint, name string, born string, gender string, country string").withColumn("born", F.to_date("born"))
+    profiles = units.select("unit", "name")
+    idf = N.gram_weights(profiles.select("name").distinct())
+    pairs = {(a, b): rng.choice([0.55, 0.7, 0.9]) for a, b in (sorted(rng.sample(range(60), 2)) for _ in range(90)) if not any(x and y and x != y for x, y in zip(rows[a][2:], rows[b][2:]))}
+    links = spark.createDataFrame([(*k, v) for k, v in pairs.items()], "a bigint, b bigint, score double")
+    within, rounds = ({r.unit: r.cluster for r in N.average_linkage(links, units.drop("name"), profiles=profiles, idf=idf, within=n).collect()} for n in (1_000, 0))
+    assert within == rounds and len(set(within.values())) < len(within)
+
+
+def test_long_names_have_all_their_grams(spark):
+    long = " ".join(f"{a}{b}{c}x" for a in "abcd" for b in "efgh" for c in "klmn")
+    v = N.Vectors(N.gram_weights(spark.createDataFrame([(long,), ("anna stone",)], "name string")))
+    size, ids, w = v.many([long, "zzz", "anna stone"])
+    assert size[0] == len(set(v.one(long)[0])) > 64 and size[1] == 0 and abs((w[: size[0]] ** 2).sum() - 1) < 1e-9

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from weftline.session import Written
 
 #: Grams kept in a broadcast at most: trigrams of folded letters, of which there are fewer than 30 ** 3 besides rare scripts.
 MAX_GRAMS = 200_000
+#: Vectors of names that a task keeps at hand at most; others are made anew.
+KEPT = 100_000
 
 
 def _fold_pairs() -> tuple[str, str]:
@@ -73,6 +76,8 @@ class Vectors:
     def __init__(self, idf: dict[str, float]):
         self.ids = {g: i for i, g in enumerate(sorted(idf, key=lambda g: (-idf[g], g)))}
         self.idf = [idf[g] for g in self.ids]
+        self.weight = np.array(self.idf, np.float64)
+        self.kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def one(self, name: str) -> tuple[list[int], list[float]]:
         ids, tf = self.ids, {}
@@ -87,34 +92,70 @@ class Vectors:
         norm = math.sqrt(sum(x * x for x in w)) or 1.0
         return order, [x / norm for x in w]
 
-    def postings(self, name: str, least: tuple[float | None, ...]) -> list[list[tuple[int, float, float]]]:
-        """For each threshold the prefix: grams with their weight and the norm of all grams behind them."""
-        ids, w = self.one(name)
-        rest = [0.0] * (len(w) + 1)
-        for i in range(len(w) - 1, -1, -1):
-            rest[i] = rest[i + 1] + w[i] * w[i]
-        return [[(ids[i], w[i], math.sqrt(rest[i + 1])) for i in range(len(ids)) if rest[i] >= t * t - 1e-6] if t is not None else [] for t in least]
+    def many(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`one` for each of `names`: the number of its grams, and all grams and weights one name after the other."""
+        n, wide, find, raw, counts = len(names), max(1, len(self.ids)), self.ids.get, [], []
+        for name in names:
+            before = len(raw)
+            for t in name.split(" "):
+                p = "^" + t + "$"
+                raw += [find(p[i : i + 3], -1) for i in range(len(t))]
+            counts.append(len(raw) - before)
+        cells = np.array(raw, np.int64)
+        cells = (np.repeat(np.arange(n), counts) * wide + cells)[cells >= 0]
+        cells, tf = np.unique(cells, return_counts=True)
+        owner, ids = cells // wide, cells % wide
+        w = (1 + np.log(tf)) * self.weight[ids]
+        return np.bincount(owner, minlength=n), ids, w / np.sqrt(np.bincount(owner, weights=w * w, minlength=n))[owner]
 
     def cosines(self, left: pa.Array, right: pa.Array) -> np.ndarray:
-        """The cosine of each pair of two columns of names; each name of a batch is made a vector once."""
+        """The cosine of each pair of two columns of names.
+
+        Vectors of the left names are laid out densely, a block of names at a time; those of the right names pick their
+        grams out of them. Vectors are kept between calls, at most KEPT of them.
+        """
         n = len(left)
+        if not n:
+            return np.zeros(0, np.float32)
         both = pa.chunked_array([left, right]).combine_chunks().dictionary_encode()
         codes = both.indices.to_numpy()
-        made = [self.one(x) for x in both.dictionary.to_pylist()]
-        width = max([len(x) for x, _ in made] + [1])
-        ids, w = np.full((len(made), width), -1, np.int32), np.zeros((len(made), width), np.float32)
-        for i, (x, y) in enumerate(made):
-            ids[i, : len(x)], w[i, : len(y)] = x, y
-        out = np.empty(n, dtype=np.float32)
-        step = max(1, (1 << 22) // (width * width))
-        for lo in range(0, n, step):
-            a, b = codes[lo : min(n, lo + step)], codes[n + lo : n + min(n, lo + step)]
-            same = ids[a][:, :, None] == ids[b][:, None, :]
-            # padding meets padding with weight 0
-            out[lo : lo + len(a)] = ((same * w[b][:, None, :]).sum(axis=2) * w[a]).sum(axis=1)
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        names = both.dictionary.to_pylist()
+        new = [x for x in names if x not in self.kept]
+        size, ids, w = self.many(new)
+        ends = np.cumsum(size)
+        self.kept |= zip(new, zip(np.split(ids.astype(np.int32), ends[:-1]), np.split(w.astype(np.float32), ends[:-1]), strict=True), strict=True) if new else ()
+        made = [self.kept[x] for x in names]
+        sizes = np.array([len(x) for x, _ in made], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        flat_ids, flat_w = np.concatenate([x for x, _ in made]), np.concatenate([y for _, y in made])
+        order = np.argsort(codes[:n], kind="stable")
+        l, r = codes[:n][order], codes[n:][order]
+        out = np.zeros(n, dtype=np.float32)
+        width = len(self.ids) or 1
+        names, first = np.unique(l, return_index=True)
+        ends = np.append(first, n)
+        block = max(1, (1 << 21) // width)
+        dense = np.zeros((min(block, len(names)), width), np.float32)
+        for lo in range(0, len(names), block):
+            own = names[lo : lo + block]
+            row, at = _spans(starts[own], sizes[own])
+            dense[row, flat_ids[at]] = flat_w[at]
+            a, b = ends[lo], ends[min(lo + block, len(names))]
+            pair, cell = _spans(starts[r[a:b]], sizes[r[a:b]])
+            line = np.repeat(np.arange(len(own)), np.diff(ends[lo : lo + len(own) + 1]))
+            out[order[a:b]] = np.bincount(pair, weights=dense[line[pair], flat_ids[cell]] * flat_w[cell], minlength=b - a)
+            dense[row, flat_ids[at]] = 0
         return out
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of spans of a flat array: the span each cell belongs to, and the cell's place in the array."""
+    span = np.repeat(np.arange(len(sizes)), sizes)
+    return span, np.arange(len(span)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+
+
 # Evidence two records share, from strong to weak, and the least cosine of their names that it takes.
 SAME_DAY, SAME_PLACE, SAME_SEX = 0.3, 0.75, 0.9
 #: Records of one birthday up to which all are compared with each other; beyond it only those that share a prefix gram.
@@ -140,11 +181,51 @@ def least_cosine(day: np.ndarray, mark: np.ndarray, place: np.ndarray, sex: np.n
 
 
 def with_bearers(profiles: DataFrame) -> DataFrame:
-    """profiles(name, born, ...) with `bearers`: how many birthdays the records of each name have. A name of several says nothing by itself."""
-    per = profiles.groupBy("name").agg(F.count_distinct("born").cast("int").alias("bearers"))
+    """profiles(name, born, ...) with `bearers`: how many birthdays the records of each name have, 2 for all that are more than one. A name of several says nothing by itself."""
+    per = profiles.groupBy("name").agg(F.when(F.count("born") == 0, 0).when(F.min("born") == F.max("born"), 1).otherwise(2).alias("bearers"))
     return profiles.join(per, "name")
 
 
+#: Columns of a posting: key of kind, evidence and gram; whether it asks or only answers; weight of the gram and norm of those
+#: behind it; the cosine it takes; evidence both must not have; evidence in bits (`_packed_evidence`); all grams (`_sketch`).
+POSTING = {"key": "bigint", "asks": "boolean", "weight": "float", "after": "float", "least": "float", "apart": "bigint", "said": "bigint", "mask": "bigint", "mark": "bigint", "marked": "bigint", "b0": "bigint", "b1": "bigint", "b2": "bigint", "b3": "bigint", "slack": "int", "most": "float"}
+#: Places of the evidence in its number.
+BORN_BITS, YEAR_BITS, GENDER_BITS, COUNTRY_BITS = 0xFFFFF, 0xFFF << 20, 0xFFFF << 32, -1 << 48
+
+
+def _packed_evidence(b: pa.RecordBatch) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Evidence as numbers in which equal values have equal bits, and masks with the bits of what is there; the mark has its own.
+
+    Values that differ may, very rarely, have equal bits; linkage compares the values themselves.
+    """
+    said, mask = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+    for column, place in (("born", BORN_BITS), ("year", YEAR_BITS), ("gender", GENDER_BITS), ("country", COUNTRY_BITS)):
+        values = b.column(column).dictionary_encode()
+        low = place & -place
+        codes = np.array([(crc32(str(x).encode()) * low) & (place & (1 << 64) - 1) for x in values.dictionary.to_pylist()] or [0], np.uint64).view(np.int64)
+        there = values.is_valid().to_numpy(zero_copy_only=False)
+        said |= np.where(there, codes[np.asarray(values.indices.fill_null(0))], 0)
+        mask |= np.where(there, np.int64(place), 0)
+    marks = b.column("mark").dictionary_encode()
+    codes = np.array([crc32(x.encode()) for x in marks.dictionary.to_pylist()] or [0], np.int64)
+    there = marks.is_valid().to_numpy(zero_copy_only=False)
+    return (said, np.where(there, codes[np.asarray(marks.indices.fill_null(0))], 0)), (mask, np.where(there, np.int64(-1), 0))
+
+
+def _sketch(line: np.ndarray, ids: np.ndarray, w: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of each name: its grams as 256 bits in four numbers, how many of them share a bit with another, and the largest weight."""
+    n = len(size)
+    cell = np.unique(line * 256 + ids % 256)
+    owner, bit = cell // 256, cell % 256
+    bits = [np.zeros(n, np.uint64) for _ in range(4)]
+    for k in range(4):
+        mine = bit // 64 == k
+        np.bitwise_or.at(bits[k], owner[mine], np.uint64(1) << (bit[mine] % 64).astype(np.uint64))
+    most = np.zeros(n)
+    np.maximum.at(most, line, w)
+    return [x.view(np.int64) for x in bits], (size - np.bincount(owner, minlength=n)).astype(np.int32), (most * (1 + 1e-6)).astype(np.float32)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     """Batches of rows sorted by `key`, cut anew so that the rows of a key are in one batch."""
     rest = None
@@ -166,16 +247,17 @@ def _day_links(v: Vectors, b: pa.RecordBatch) -> pa.RecordBatch:
     days = b.column("born").dictionary_encode().indices.to_numpy(zero_copy_only=False)
     units = b.column("unit").to_numpy(zero_copy_only=False)
     marks = [np.asarray(b.column(x).dictionary_encode().indices.fill_null(-1)) for x in EVIDENCE if x != "born"]
-    made = [v.one(x) for x in b.column("name").to_pylist()]
+    size, ids, w = v.many(b.column("name").to_pylist())
+    stop = np.append(0, np.cumsum(size))
+    w = w.astype(np.float32)
     ends = np.flatnonzero(np.append(np.diff(days) != 0, True)) + 1
     a, o, s, lo = [], [], [], 0
     for hi in ends.tolist():
         n = hi - lo
         if n > 1 and (units[lo:hi] != units[lo]).any():
-            size = [len(x) for x, _ in made[lo:hi]]
-            grams, col = np.unique(np.concatenate([np.array(x, np.int64) for x, _ in made[lo:hi]]), return_inverse=True)
+            grams, col = np.unique(ids[stop[lo] : stop[hi]], return_inverse=True)
             dense = np.zeros((n, len(grams)), np.float32)
-            dense[np.repeat(np.arange(n), size), col] = np.concatenate([np.array(y, np.float32) for _, y in made[lo:hi]])
+            dense[np.repeat(np.arange(n), size[lo:hi]), col] = w[stop[lo] : stop[hi]]
             cos = dense @ dense.T
             ok = (cos >= SAME_DAY - 1e-5) & (units[lo:hi][:, None] < units[lo:hi][None, :])
             for m in marks:
@@ -206,28 +288,36 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float], together: int = TO
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vectors(shared.value)
-        for b in (big.slice(lo, 1000) for big in batches for lo in range(0, big.num_rows, 1000)):
-            names = b.column("name").to_pylist()
-            there = [b.column(c).is_valid().to_pylist() for _, c, _ in kinds]
-            there[0] = [bool(x) for x in b.column("crowded").to_pylist()]
-            telling = b.column("telling").to_pylist()
-            there[2:] = [[x and y for x, y in zip(has, telling, strict=True)] for has in there[2:]]
-            b = b.select(["unit", "name", *EVIDENCE])
-            row, kind, gram, weight, after, prefix = [], [], [], [], [], []
-            for i, name in enumerate(names):
-                for (k, _, _), found in zip(kinds, v.postings(name, tuple(t if has[i] else None for (_, _, t), has in zip(kinds, there, strict=True))), strict=True):
-                    if found:
-                        g, w, a = zip(*found, strict=True)
-                        row += [i] * len(g)
-                        kind += [k] * len(g)
-                        gram += g
-                        weight += w
-                        after += a
-                        # by the rest of the prefix a pair is met once
-                        prefix += [list(g)] * len(g)
-            taken = pa.RecordBatch.from_arrays(b.columns, schema=b.schema).take(pa.array(row, pa.int32()))
-            more = [pa.array(kind, pa.string()), pa.array(gram, pa.int32()), pa.array(weight, pa.float32()), pa.array(after, pa.float32()), pa.array(prefix, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*taken.columns, *more], names=[*b.schema.names, "kind", "gram", "weight", "after", "prefix"])
+        for b in batches:
+            there = [b.column(c).is_valid().to_numpy(zero_copy_only=False) for _, c, _ in kinds]
+            dateless = ~there[0]
+            there[0] = b.column("crowded").fill_null(False).to_numpy(zero_copy_only=False)
+            telling = b.column("telling").to_numpy(zero_copy_only=False)
+            there[2:] = [x & telling for x in there[2:]]
+            size, ids, w = v.many(b.column("name").to_pylist())
+            line = np.repeat(np.arange(len(size)), size)
+            # the square of the norm of a gram and all behind it
+            upto = np.cumsum(w * w)
+            rest = np.append(upto, 0.0)[np.cumsum(size) - 1][line] - upto + w * w
+            after = np.sqrt(np.maximum(rest - w * w, 0))
+            bits, slack, most = _sketch(line, ids, w, size)
+            said, mask = _packed_evidence(b)
+            at, key, least, apart = [], [], [], []
+            for k, (found, (_, column, t)) in enumerate(zip(there, kinds, strict=True)):
+                i = np.flatnonzero(found[line] & (rest >= t * t - 1e-6))
+                values = b.column(column).dictionary_encode()
+                codes = np.array([crc32(str(x).encode()) for x in values.dictionary.to_pylist()] or [0], np.int64)
+                at.append(i)
+                # kind, value and gram in one number; a pair that meets by chance is judged like any other
+                key.append(((codes[np.asarray(values.indices.fill_null(0))][line[i]] << 2 | k) << 28) ^ ids[i])
+                least.append(np.full(len(i), t, np.float32))
+                apart.append(np.full(len(i), COUNTRY_BITS if column == "gender" else 0, np.int64))
+            at, key, least, apart = (np.concatenate(x) for x in (at, key, least, apart))
+            row = line[at]
+            own = b.select(["unit", "name"]).take(pa.array(row, pa.int32()))
+            asks = dateless[row] | (least == np.float32(SAME_DAY))
+            more = [key, asks, w[at].astype(np.float32), after[at].astype(np.float32), least, apart, said[0][row], mask[0][row], said[1][row], mask[1][row], *(x[row] for x in bits), slack[row], most[row]]
+            yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, more)], names=["unit", "name", *POSTING])
 
     # the few records of a birthday are compared as a block; a birthday that many share is no evidence by itself
     often = profiles.where("born is not null").groupBy("born").agg(F.count("*").alias("there"))
@@ -236,38 +326,35 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float], together: int = TO
     own = held.df
     # a posting is of use where one without birthday meets it, or on a crowded day
     useful = own.where("crowded or mark is not null or (telling and (country is not null or gender is not null))")
-    posted = Written(useful.mapInArrow(post, "unit bigint, name string, born date, gender string, country string, mark string, year int, kind string, gram int, weight float, after float, prefix array<int>"))
-    postings = posted.df
+    posted = Written(useful.mapInArrow(post, "unit bigint, name string, " + ", ".join(f"{k} {t}" for k, t in POSTING.items())))
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    agree = lambda c: F.coalesce(l(c) == r(c), F.lit(True))
-    both = lambda c: l(c).isNotNull() & r(c).isNotNull()
-    fits = F.lit(True)
-    for x in EVIDENCE:
-        fits = fits & agree(x)
-    # without a common birthday one of both has none: that one is on the left, so those that have one never meet each other
-    dateless = r("born").isNotNull() | (l("unit") < r("unit"))
+    both = l("mask").bitwiseAND(r("mask"))
+    fits = (l("said").bitwiseXOR(r("said")).bitwiseAND(both) == 0) & (l("mark").bitwiseXOR(r("mark")).bitwiseAND(l("marked")).bitwiseAND(r("marked")) == 0) & (both.bitwiseAND(l("apart")) == 0)
     # all grams that both have lie behind their first one: it and Cauchy's bound on the rest say how similar they can be
-    bound = lambda t: l("weight") * r("weight") + l("after") * r("after") >= F.lit(t - 1e-4)
-    once = F.array_min(F.array_intersect(l("prefix"), r("prefix"))) == l("gram")
-    weaker = {"day": l("unit") < r("unit"), "marked": dateless, "place": dateless, "sex": dateless & ~both("country")}
-    shown = [F.least(l("unit"), r("unit")).alias("a"), F.greatest(l("unit"), r("unit")).alias("b"), l("name").alias("x"), r("name").alias("y"), both("born").alias("day"), both("mark").alias("marked"), both("country").alias("place"), both("gender").alias("sex")]
-    out = None
-    for kind, key, t in kinds:
-        posts = postings.where(F.col("kind") == kind).drop("kind")
-        left = posts if kind == "day" else posts.where("born is null")
-        pairs = left.alias("l").join(posts.alias("r"), (l("gram") == r("gram")) & (l(key) == r(key)) & weaker[kind] & fits & bound(t) & once).select(*shown)
-        out = pairs if out is None else out.unionByName(pairs)
+    bound = l("weight") * r("weight") + l("after") * r("after") >= l("least") - F.lit(1e-4)
+    # grams that both have: at most the bits both have, and those that share a bit with another; each gives at most both largest weights
+    grams = F.least(l("slack"), r("slack"))
+    for x in ("b0", "b1", "b2", "b3"):
+        grams = grams + F.bit_count(l(x).bitwiseAND(r(x)))
+    enough = grams * l("most") * r("most") >= l("least") - F.lit(1e-4)
+    # without a common birthday one of both has none: that one asks, so those that have one never meet each other
+    dated = lambda side: side("mask").bitwiseAND(F.lit(BORN_BITS)) != 0
+    ordered = (l("unit") < r("unit")) | (~dated(l) & dated(r))
+    pairs = posted.df.where("asks").alias("l").join(posted.df.alias("r"), (l("key") == r("key")) & bound & enough & fits & ordered)
+    out = pairs.select(l("unit").alias("a"), r("unit").alias("b"), l("name").alias("x"), r("name").alias("y"), both.alias("both"), (l("marked").bitwiseAND(r("marked")) != 0).alias("marked"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vectors(shared.value)
-        for b in (big.slice(lo, 2048) for big in batches for lo in range(0, big.num_rows, 2048)):
+        for b in batches:
             cos = v.cosines(b.column("x"), b.column("y"))
-            day, marked, place, sex = (b.column(c).to_numpy(zero_copy_only=False) for c in ("day", "marked", "place", "sex"))
-            least = least_cosine(day, marked, place, sex)
+            both = b.column("both").to_numpy()
+            day, place, sex = ((both & x) != 0 for x in (BORN_BITS, COUNTRY_BITS, GENDER_BITS))
+            least = least_cosine(day, b.column("marked").to_numpy(zero_copy_only=False), place, sex)
             ok = np.flatnonzero(cos >= least - 1e-5)
             # scores of all kinds of evidence lie between 0.5 and 1
             s = 0.5 + 0.5 * (cos[ok] - least[ok]) / (1 - least[ok])
-            yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(ok)), b.column("b").take(pa.array(ok)), pa.array(s.astype(np.float64))], names=["a", "b", "score"])
+            a, o = b.column("a").to_numpy()[ok], b.column("b").to_numpy()[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, o)), pa.array(np.maximum(a, o)), pa.array(s.astype(np.float64))], names=["a", "b", "score"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vectors(shared.value)
@@ -289,8 +376,8 @@ def only_bearers(profiles: DataFrame) -> DataFrame:
     the name alone says nothing. A name of n units gives at most n links.
     """
     profiles = with_marks(profiles)
-    per = profiles.groupBy("name").agg(F.count(F.col("born")).alias("dated"), F.coalesce(F.min(F.when(F.col("born").isNotNull(), F.col("unit"))), F.min("unit")).alias("to"))
-    bearer = per.where("dated <= 1").join(profiles.select("name", F.col("unit").alias("to"), *[F.col(x).alias(f"to_{x}") for x in ("gender", "mark", "year")]), ["name", "to"])
+    to = F.min(F.struct(F.col("born").isNull().alias("undated"), "unit", "gender", "mark", "year")).alias("to")
+    bearer = profiles.groupBy("name").agg(F.count("born").alias("dated"), to).where("dated <= 1").select("name", F.col("to.unit").alias("to"), *[F.col(f"to.{x}").alias(f"to_{x}") for x in ("gender", "mark", "year")])
     open_units = profiles.where("born is null and country is null").select("unit", "name", "gender", "mark", "year")
     linked = open_units.join(bearer, "name").where((F.col("unit") != F.col("to")))
     for x in ("gender", "mark", "year"):
@@ -301,9 +388,9 @@ def only_bearers(profiles: DataFrame) -> DataFrame:
 def year_bearers(profiles: DataFrame) -> DataFrame:
     """profiles as above -> (a, b, score): units that have a year but no birthday, linked to the one unit of their name born in that year."""
     profiles = with_marks(profiles)
-    born = profiles.where("born is not null").groupBy("name", "year").agg(F.min("unit").alias("to"), F.max("unit").alias("last")).where("to = last").drop("last")
-    others = profiles.select("name", F.col("unit").alias("to"), *[F.col(x).alias(f"to_{x}") for x in ("gender", "country", "mark")])
-    linked = profiles.where("born is null and year is not null").join(born, ["name", "year"]).join(others, ["name", "to"])
+    to = F.min(F.struct("unit", "gender", "country", "mark")).alias("to")
+    born = profiles.where("born is not null").groupBy("name", "year").agg(to, F.max("unit").alias("last")).where("to.unit = last").select("name", "year", F.col("to.unit").alias("to"), *[F.col(f"to.{x}").alias(f"to_{x}") for x in ("gender", "country", "mark")])
+    linked = profiles.where("born is null and year is not null").join(born, ["name", "year"])
     for x in ("gender", "country", "mark"):
         linked = linked.where(F.coalesce(F.col(x) == F.col(f"to_{x}"), F.lit(True)))
     return linked.select(F.least("unit", "to").alias("a"), F.greatest("unit", "to").alias("b"), F.lit(SAME_NAME).alias("score")).distinct()
@@ -315,7 +402,7 @@ def _pair_scorer(idf: dict[str, float], spark):  # noqa: ANN001, ANN202
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vectors(shared.value)
-        for b in (big.slice(lo, 2048) for big in batches for lo in range(0, big.num_rows, 2048)):
+        for b in batches:
             cos = v.cosines(b.column("x"), b.column("y"))
             day, marked, place, sex = (b.column(c).to_numpy(zero_copy_only=False) for c in ("day", "marked", "place", "sex"))
             least = least_cosine(day, marked, place, sex)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.clean import int_id, nullish, uuid_id
+from weftline.functions.clean import int_id, let, nullish, uuid_id
 from weftline.llm.groups import hash_to_min, star_links
 from weftline.llm.matches import with_source
 from weftline.llm.names import average_linkage, fold_name, gram_weights, only_bearers, similar_pairs, with_bearers, year_bearers
@@ -24,7 +24,7 @@ def read_mark(c: Column) -> tuple[Column, Column, Column]:
 
 
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """Mentions: id, name, folded name, aliases, evidence (born, gender, country, mark, year) and strong keys.
+    """Mentions: id, name, folded name, aliases, evidence (born, gender, country, mark, the year it states) and strong keys.
 
     A mention or source that arrived again has equal rows; all that follows counts ids, not rows.
     """
@@ -34,7 +34,7 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
     # the day as it is written: a birthday has no time zone
     written_day = F.regexp_extract("birthdate", r"^\s*['\"]?(\d{4}-\d{2}-\d{2})[T ]\d", 1).try_cast("date")
     form = parse_moment(F.col("birthdate"), F.col("date_order"), F.lit("UTC"))
-    born = F.coalesce(written_day, F.when(F.length(form) >= 10, F.substring(form, 1, 10)).try_cast("date"))
+    born = F.coalesce(written_day, let(form, lambda x: F.when(F.length(x) >= 10, F.substring(x, 1, 10))).try_cast("date"))
     mark, year, land = read_mark(F.col("disambiguation"))
     sex = F.substring(F.upper(nullish(F.col("gender"))), 1, 1)
     # a page's last part names the performer with a number of their own, whichever site it is on; behind it a count of pages
@@ -45,7 +45,7 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("page "), F.col("page")),
         F.concat(F.lit("slug "), F.when(slug != "", slug)),
     ))
-    return known.select("id", "name", "aliases", fold_name(F.col("name")).alias("folded"), born.alias("born"), sex.alias("gender"), F.coalesce(F.upper(nullish(F.col("country"))), land).alias("country"), mark.alias("mark"), F.coalesce(F.year(born), year).alias("year"), keys.alias("keys"))
+    return known.select("id", "name", "aliases", fold_name(F.col("name")).alias("folded"), born.alias("born"), sex.alias("gender"), F.coalesce(F.upper(nullish(F.col("country"))), land).alias("country"), mark.alias("mark"), year.alias("year"), keys.alias("keys"))
 
 
 def same_performer(spark: SparkSession, sf: str) -> DataFrame:
