@@ -123,27 +123,36 @@ def body_sizes(raw: Column) -> Column:
     return let(let(_tidy(raw), split), parsed)
 
 
-def calibrate(sizes: DataFrame, conversions: dict[str, dict[str, str]], rounds: int = 4, tolerance: float = 0.06, support: float = 0.02) -> DataFrame:
+def _candidates(part: Column, conversions: dict[str, dict[str, str]]) -> Column:
+    """The conversions of a row's part as an array of (unit, factor): a constant, so rows are never multiplied by them."""
+    out = F.lit(None)
+    for name, units in conversions.items():
+        out = F.when(part == name, F.array(*[F.struct(F.lit(u).alias("unit"), F.lit(f).cast("decimal(18,8)").alias("factor")) for u, f in units.items()])).otherwise(out)
+    return out
+
+
+def calibrate(sizes: DataFrame, conversions: dict[str, dict[str, str]], tolerance: float = 0.06, support: float = 0.02) -> DataFrame:
     """Which conversions each source uses for its bare numbers.
 
     sizes(source, entity, part, fixed decimal, bare decimal): one of fixed and bare is set. conversions: part -> unit ->
     factor. -> (source, part, unit, votes). Links are made per entity and source, after pre-aggregation, so an entity or
     a source that holds a third of all rows is a few rows. A bare number votes for the conversion nearest to the ratio of
     the entity's known size (the median over calibrated sources) to it, if within `tolerance` in logarithms; units with
-    fewer than `support` of a source's votes are noise. Sources without links come in a later round or have no row.
+    fewer than `support` of a source's votes are noise. Rounds go on, outwards from the anchors, until one calibrates no
+    further source; sources without links have no row.
     """
     known_units = sizes.sparkSession.createDataFrame([(p, u, float(f)) for p, us in conversions.items() for u, f in us.items()], "part string, unit string, factor double")
     by_entity = sizes.where("entity is not null").groupBy("source", "entity", "part").agg(F.expr("percentile_approx(cast(fixed as double), 0.5)").alias("fixed"), F.expr("percentile_approx(cast(bare as double), 0.5)").alias("bare"))
     held = Written(by_entity)
     anchors = held.df.where("fixed > 0").select("entity", "part", F.col("fixed").alias("size"))
     done = None
-    for _ in range(rounds):
+    while True:
         truth = anchors.groupBy("entity", "part").agg(F.expr("percentile_approx(size, 0.5)").alias("size"))
         open_rows = held.df.where("bare > 0")
         if done is not None:
             open_rows = open_rows.join(done.df.select("source", "part").distinct(), ["source", "part"], "left_anti")
-        off = F.abs(F.ln(F.col("size") / F.col("bare") / F.col("factor")))
-        nearest = open_rows.join(truth, ["entity", "part"]).join(F.broadcast(known_units), "part").groupBy("source", "entity", "part").agg(F.min(F.struct(off.alias("off"), "unit")).alias("best"))
+        off = lambda c: F.abs(F.ln(F.col("size") / F.col("bare") / c["factor"].cast("double")))
+        nearest = open_rows.join(truth, ["entity", "part"]).select("source", "part", F.array_min(F.transform(_candidates(F.col("part"), conversions), lambda c: F.struct(off(c).alias("off"), c["unit"].alias("unit")))).alias("best"))
         votes = nearest.where(F.col("best.off") <= tolerance).groupBy("source", "part", F.col("best.unit").alias("unit")).agg(F.count("*").alias("votes"))
         total = votes.groupBy("source", "part").agg(F.sum("votes").alias("all"))
         fresh = Written(votes.join(total, ["source", "part"]).where(F.col("votes") >= support * F.col("all")).select("source", "part", "unit", "votes"))
@@ -166,13 +175,15 @@ def convert_sizes(sizes: DataFrame, conversions: dict[str, dict[str, str]], spre
     sizes of its part; if none puts it into their range (widened by `spread`), any known conversion that does; else it has
     no amount.
     """
-    units = sizes.sparkSession.createDataFrame([(p, u, f) for p, us in conversions.items() for u, f in us.items()], "part string, unit string, f string").select("part", "unit", F.col("f").cast("decimal(18,8)").alias("factor"))
-    used = calibrate(sizes, conversions).select("source", "part", "unit", F.lit(True).alias("used"))
+    used = calibrate(sizes, conversions).groupBy("source", "part").agg(F.collect_set("unit").alias("used"))
     span = sizes.where("fixed > 0").groupBy("part").agg(*[F.expr(f"percentile_approx(cast(fixed as double), {q}, 1000)").alias(n) for n, q in (("low", 0.001), ("mid", 0.5), ("high", 0.999))])
-    bare = sizes.where("bare > 0").join(F.broadcast(units), "part").join(used, ["source", "part", "unit"], "left")
-    amount = F.col("bare") * F.col("factor")
-    ranged = bare.join(F.broadcast(span), "part").where((amount >= F.col("low") * (1 - spread)) & (amount <= F.col("high") * (1 + spread)))
-    best = ranged.groupBy("part", "row_id").agg(F.min(F.struct(F.col("used").isNull().alias("foreign"), F.abs(F.ln(amount.cast("double") / F.col("mid"))).alias("off"), amount.alias("amount"))).alias("best"))
+    # one row a part
+    bare = sizes.where("bare > 0").join(F.broadcast(span), "part").join(used, ["source", "part"], "left")
+    amount = lambda c: F.col("bare") * c["factor"]
+    ranged = F.filter(_candidates(F.col("part"), conversions), lambda c: (amount(c) >= F.col("low") * (1 - spread)) & (amount(c) <= F.col("high") * (1 + spread)))
+    foreign = lambda c: ~F.coalesce(F.array_contains("used", c["unit"]), F.lit(False))
+    ways = F.transform(ranged, lambda c: F.struct(foreign(c).alias("foreign"), F.abs(F.ln(amount(c).cast("double") / F.col("mid"))).alias("off"), amount(c).alias("amount")))
+    best = bare.select("part", "row_id", F.array_min(ways).alias("best")).where("best is not null")
     fixed = sizes.where("fixed > 0").select("part", "row_id", F.col("fixed").cast("decimal(38,14)").alias("amount"))
     both = fixed.unionByName(best.select("part", "row_id", F.col("best.amount").cast("decimal(38,14)").alias("amount")))
     return both.select("part", "row_id", _half_up(F.col("amount")).alias("amount"))
