@@ -34,7 +34,7 @@ def int_id(c: Column) -> Column:
     def digits(s: Column) -> Column:
         return let(F.regexp_extract(s, r"^(?:[a-z]*[#:])?\s*0*([0-9]+)(?:\.0+)?$", 1), lambda d: F.when(d != "", F.when(d != "0", d)).otherwise(s))
 
-    return let(F.lower(nullish(c)), digits)
+    return F.when(c.rlike("^[1-9][0-9]*$"), c).otherwise(let(F.lower(nullish(c)), digits))
 
 
 def uuid_id(c: Column) -> Column:

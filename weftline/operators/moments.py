@@ -54,10 +54,6 @@ def _int(c: Column) -> Column:
     return F.when(c != "", c).try_cast("int")
 
 
-def _extract(s: Column, rx: Column, group: int) -> Column:
-    return F.call_function("regexp_extract", s, rx, F.lit(group))
-
-
 def _day(y: Column, m: Column, d: Column) -> Column:
     return F.try_make_timestamp_ntz(y, m, d, F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
@@ -102,14 +98,12 @@ def _date(shape: Column, g: list[Column], order: Column, month: Column) -> Colum
 
 def _moment(date: Column, rest: Column, text: Column, zone: Column) -> Column:
     """`date` with the time of day and zone in `rest`, in UTC."""
-    form = F.when(rest.rlike(_CLOCK), F.lit(_CLOCK)).when(rest.rlike(_BARE_CLOCK), F.lit(_BARE_CLOCK))
-
-    def timed(r: Column) -> Column:
-        hour, half = _int(_extract(rest, r, 1)), _extract(rest, r, 4)
+    def timed(r: str) -> Column:
+        hour, half = _int(F.regexp_extract(rest, r, 1)), F.regexp_extract(rest, r, 4)
         hour = F.when(half == "", hour).when((hour < 1) | (hour > 12), None).when(half == "p", hour % 12 + 12).otherwise(hour % 12)
-        minute, second = _int(_extract(rest, r, 2)), F.coalesce(_int(_extract(rest, r, 3)), F.lit(0))
+        minute, second = _int(F.regexp_extract(rest, r, 2)), F.coalesce(_int(F.regexp_extract(rest, r, 3)), F.lit(0))
         local = F.try_make_timestamp_ntz(F.year(date), F.month(date), F.dayofmonth(date), hour, minute, second)
-        return let(F.struct(local.alias("local"), F.btrim(F.regexp_replace(rest, r, ""), F.lit(" []()")).alias("zone")), zoned)
+        return F.struct(local.alias("local"), F.btrim(F.regexp_replace(rest, r, ""), F.lit(" []()")).alias("zone"))
 
     def zoned(t: Column) -> Column:
         offset = r"^(?:utc|gmt)?([+\-]\d{2}):?(\d{2})?$"
@@ -123,7 +117,8 @@ def _moment(date: Column, rest: Column, text: Column, zone: Column) -> Column:
         )
         return let(stated, lambda z: _iso(F.when(z.isNotNull(), F.convert_timezone(z, F.lit("UTC"), t["local"]))))
 
-    return F.when(form.isNotNull(), let(form, timed))
+    form = F.when(rest.rlike(_CLOCK), timed(_CLOCK)).when(rest.rlike(_BARE_CLOCK), timed(_BARE_CLOCK))
+    return let(form, lambda t: F.when(t.isNotNull(), zoned(t)))
 
 
 def _epoch(s: Column) -> Column:
@@ -158,18 +153,17 @@ def parse_moment(text: Column, date_order: Column, zone: Column) -> Column:
     order = F.coalesce(F.upper(date_order), F.lit("YMD"))
 
     def dated(s: Column) -> Column:
-        known = F.array(*[F.struct(F.lit(name).alias("shape"), F.lit(pattern).alias("rx")) for name, pattern in SHAPES])
-        at = F.lit(None).cast("int")
-        for i, (_, pattern) in reversed(list(enumerate(SHAPES))):
-            at = F.when(s.rlike(pattern), i).otherwise(at)
-        of_shape = let(F.get(known, at), lambda k: F.when(k.isNull(), _partial(s, month)).otherwise(shaped(s, k)))
+        # each shape has its pattern as a literal, which is compiled once, however the shapes change from row to row
+        found = F.lit(None)
+        for name, pattern in reversed(SHAPES):
+            rest = F.rtrim(F.ltrim(F.regexp_replace(s, pattern, ""), F.lit(" t,:")), F.lit(" ,"))
+            found = F.when(s.rlike(pattern), F.struct(F.lit(name).alias("shape"), *[F.regexp_extract(s, pattern, i + 1).alias(f"g{i}") for i in range(4)], rest.alias("rest"))).otherwise(found)
+        of_shape = let(found, lambda k: F.when(k.isNull(), _partial(s, month)).otherwise(shaped(s, k)))
         return F.when(s.rlike(r"^-?\d{9,19}(?:\.\d+)?$"), _epoch(s)).otherwise(of_shape)
 
     def shaped(s: Column, k: Column) -> Column:
-        groups = [_extract(s, k["rx"], i) for i in range(1, 5)]
-        date = let(F.struct(*[g.alias(f"g{i}") for i, g in enumerate(groups)]), lambda g: _date(k["shape"], [g[f"g{i}"] for i in range(4)], order, month))
-        rest = F.rtrim(F.ltrim(F.regexp_replace(s, k["rx"], F.lit("")), F.lit(" t,:")), F.lit(" ,"))
-        return let(F.struct(date.alias("date"), rest.alias("rest")), lambda p: F.when(p["date"].isNull(), _partial(s, month)).when(p["rest"].rlike(r"^\d"), _moment(p["date"], p["rest"], text, zone)).otherwise(p["date"].cast("string")))
+        date = _date(k["shape"], [k[f"g{i}"] for i in range(4)], order, month)
+        return let(F.struct(date.alias("date"), k["rest"].alias("rest")), lambda p: F.when(p["date"].isNull(), _partial(s, month)).when(p["rest"].rlike(r"^\d"), _moment(p["date"], p["rest"], text, zone)).otherwise(p["date"].cast("string")))
 
     # most texts are plain ISO dates
     plain = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date").cast("string"))
