@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from weftline.operators.hierarchy import descendants, resolve_tree
+from weftline.operators.hierarchy import descendants, marked_above, resolve_tree, subtree_figures
 
 
 def brute(parents):
@@ -48,3 +48,32 @@ def test_descendants_and_empty(spark):
     tree = resolve_tree(df)
     assert sorted(tuple(r) for r in descendants(tree).collect()) == [(1, 2, 1), (1, 3, 2), (2, 3, 1)]
     assert resolve_tree(df.limit(0)).collect() == []
+
+
+def test_subtree_figures_count_what_the_rows_below_would(spark):
+    rng = random.Random(2)
+    parents = {i: rng.choice([None, *range(max(0, i - 3), i)]) if i else None for i in range(250)} | {1000 + i: 1000 + i - 1 if i else 249 for i in range(80)} | {5000: 5001, 5001: 5000, 5002: 5001}
+    tree = resolve_tree(spark.createDataFrame(list(parents.items()), "id bigint, parent bigint"))
+    want = {}
+    for r in descendants(tree).collect():
+        n, h = want.get(r.id, (0, 0))
+        want[r.id] = (n + 1, max(h, r.steps))
+    assert {r.id: (r.descendants, r.height) for r in subtree_figures(tree).collect()} == want
+    assert subtree_figures(tree.limit(0)).collect() == []
+
+
+def test_marks_go_down_chains_and_round_circles(spark):
+    parents = {i: i - 1 if i else None for i in range(70)} | {100: 102, 101: 100, 102: 101, 103: 102, 200: 999, 300: 301, 301: 300} | {400 + i: 400 + (i + 1) % 37 for i in range(37)}
+    marked = {20, 101, 200, 405, None}
+    rows = [(i, p, True if i in marked else None if i % 2 else False) for i, p in parents.items()] + [(None, 1, True)]
+    want = set()
+    for v in parents:
+        x, seen = v, set()
+        while x in parents and x not in seen:
+            if x in marked:
+                want.add(v)
+            seen.add(x)
+            x = parents[x]
+    df = spark.createDataFrame(rows, "id bigint, parent bigint, marked boolean")
+    assert {r.id for r in marked_above(df).collect()} == want
+    assert marked_above(df.limit(0)).collect() == []

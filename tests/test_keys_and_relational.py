@@ -100,3 +100,30 @@ def test_fall_unless_vouched_against_brute_force(spark):
     assert seeds < fallen < everything
     n, m = spark.createDataFrame(nodes, "id bigint, run_id bigint, parent bigint, page string, failed boolean"), spark.createDataFrame(mentioned, "run_id bigint, page string, voucher bigint")
     assert sorted(r.id for r in R.fall_unless_vouched(n, m).collect()) == sorted(fallen)
+
+
+def test_ranks_in_slices_equal_a_window(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, rng.choice([None, *range(5)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k bigint, id bigint, v int")
+    w = Window.partitionBy("k").orderBy("id")
+    want = {(r.id, r.a, r.b) for r in df.withColumn("a", F.row_number().over(w)).withColumn("b", F.sum(F.coalesce("v", F.lit(0))).over(w)).collect()}
+    got = R.rank_in_slices(df, ["k"], [F.expr("id div 7")], [F.col("id")], total=F.coalesce("v", F.lit(0)))
+    assert {(r.id, r["rank"], r.running) for r in got.collect()} == want and got.columns == ["k", "id", "v", "rank", "running"]
+    assert sorted(r["rank"] for r in R.rank_in_slices(df, [], [F.expr("id div 50")], [F.col("id")]).collect()) == list(range(1, 301))
+    assert R.rank_in_slices(df.limit(0), ["k"], [F.expr("id div 7")], [F.col("id")]).collect() == []
+
+
+def test_long_chains_of_waves_are_whole(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 0)], "parent bigint, child bigint")
+    assert sorted((r.id, r.depth) for r in R.fold_chain(links, spark.createDataFrame([(0,)], "id bigint")).collect()) == [(i, i) for i in range(13)]
+
+
+def test_intervals(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double")
+    inside = lambda i: [r.x for r in df.select(body.within(F.col("v"), i).alias("x")).collect()]
+    assert inside("[1, 3)") == [True, True, False] and inside("(1, )") == [False, True, True] and inside("(, 2]") == [True, True, False]

@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 
 from weftline.functions.clean import let
 
-_N, _C, _S = r"(\d+(?:\.\d+)?)", r"\(?([A-Za-z]+)\)?", "[-/]"
-# The shapes of measurement strings. Name, pattern, and the groups of first number, cup, waist and hips (0: none); the first that fits counts.
-SHAPES = [
-    ("waist_hips", rf"(?i)^NoneNone{_S}{_N}{_S}{_N}$", (0, 0, 1, 2)),
-    ("first_cup_waist_hips", rf"^{_N}{_C}{_S}{_N}{_S}{_N}$", (1, 2, 3, 4)),
-    ("cup_first_waist_hips", rf"^{_C}{_N}{_S}{_N}{_S}{_N}$", (2, 1, 3, 4)),
-    ("bust_waist_hips", rf"^{_N}{_S}{_N}{_S}{_N}$", (1, 0, 2, 3)),
-    ("first_cup", rf"^{_N}{_C}", (1, 2, 0, 0)),
-    ("cup_first", rf"^{_C}{_N}", (2, 1, 0, 0)),
-]
+_NUMBER, _CUP, _BETWEEN = r"(\d+(?:\.\d+)?)", r"\(?([A-Za-z]+)\)?", "[-/]"
+# A set of sizes: a number with its cup on either side, and waist and hips behind it or not.
+_SET = rf"^(?:{_CUP})?{_NUMBER}(?:{_CUP})?(?:{_BETWEEN}{_NUMBER}{_BETWEEN}{_NUMBER}$)?"
+# What is left of a set whose first number and cup were missing when it was put together.
+_LOWER_HALF = rf"(?i)^NoneNone{_BETWEEN}{_NUMBER}{_BETWEEN}{_NUMBER}$"
 # Cups, and inches between bust and band.
 CUPS = {
     "AA": 0, "A": 1, "B": 2, "C": 3, "D": 4, "DD": 5, "E": 5, "DDD": 6, "EE": 6, "F": 6, "DDDD": 7, "G": 7, "FF": 8, "H": 8, "I": 9, "GG": 10, "J": 10, "K": 11, "HH": 12, "L": 12, "M": 13, "JJ": 14, "N": 14, "O": 15, "KK": 16,
@@ -34,12 +29,18 @@ def parse_measurements(raw: Column) -> Column:
     """
 
     def fields(s: Column) -> Column:
-        pick = lambda g, rx: F.regexp_extract(s, rx, g) if g else F.lit("")
-        out = None
-        for name, rx, groups in reversed(SHAPES):
-            one = F.struct(F.lit(name).alias("shape"), *[pick(g, rx).alias(n) for n, g in zip(("first", "cup", "waist", "hips"), groups, strict=True)])
-            out = F.when(s.rlike(rx), one) if out is None else F.when(s.rlike(rx), one).otherwise(out)
-        return let(out, typed)
+        part = lambda rx, *names: [F.regexp_extract(s, rx, i + 1).alias(n) for i, n in enumerate(names)]
+        found = F.when(s.rlike(_LOWER_HALF), F.struct(F.lit("").alias("before"), F.lit("").alias("first"), F.lit("").alias("behind"), *part(_LOWER_HALF, "waist", "hips"))).when(s.rlike(_SET), F.struct(*part(_SET, "before", "first", "behind", "waist", "hips")))
+        return let(found, shaped)
+
+    def shaped(p: Column) -> Column:
+        there = lambda n: p[n] != ""
+        # between two cups a number is no longer the first of a set
+        whole = there("waist") & ~(there("before") & there("behind"))
+        cup = F.when(there("before"), "cup before").when(there("behind"), "cup behind").when(there("first"), "no cup").otherwise("no bust")
+        shape = F.when(whole, F.concat(cup, F.lit(", waist and hips"))).when(there("before") | there("behind"), cup)
+        sizes = {"first": p["first"], "cup": F.when(there("before"), p["before"]).otherwise(p["behind"]), **{n: F.when(whole, p[n]) for n in ("waist", "hips")}}
+        return let(F.struct(shape.alias("shape"), *[F.when(shape.isNotNull(), c).alias(n) for n, c in sizes.items()]), typed)
 
     def typed(p: Column) -> Column:
         num = lambda n: F.nullif(F.nullif(p[n], F.lit("")).try_cast("double"), F.lit(0.0))
@@ -98,26 +99,50 @@ def breast_kilograms(difference: Column) -> Column:
     return F.when(F.coalesce(difference, F.lit(0)) == 0, F.lit(0.0)).otherwise(pounds * 0.453)
 
 
+# The figure types of apparel measurements (FFIT) in inches, each as alternatives of intervals. excess: bust over
+# hips; bust drop and hip drop: over the waist; ratio: hips to waist.
+FIGURES = {
+    "HOURGLASS": [{"excess": "(-3.6, 1]", "bust drop": "[9, )"}, {"excess": "(-3.6, 1]", "hip drop": "[10, )"}],
+    "BOTTOM_HOURGLASS": [{"excess": "(-10, -3.6]", "hip drop": "[9, )", "ratio": "(, 1.193)"}],
+    "TOP_HOURGLASS": [{"excess": "(1, 10)", "bust drop": "[9, )"}],
+    "SPOON": [{"excess": "(, -2)", "hip drop": "[7, )", "ratio": "[1.193, )"}],
+    "TRIANGLE": [{"excess": "(, -3.6]", "hip drop": "[0, 9)"}, {"bust drop": "(, 0)", "hip drop": "[0, )"}],
+    "INVERTED_TRIANGLE": [{"excess": "[3.6, )", "bust drop": "(, 9)"}],
+    "RECTANGLE": [{"excess": "(-3.6, 3.6)", "bust drop": "[0, 9)", "hip drop": "[0, 10)"}],
+    "DIAMOND": [{"bust drop": "(, 0)", "hip drop": "(, 0)"}],
+    "OVAL": [{"bust drop": "[0, )", "hip drop": "(, 0)"}],
+}
+#: Inches between bust and hips from which a body without a figure is called by what is over.
+FAR = 10
+
+
+def within(value: Column, interval: str) -> Column:
+    """Whether a value lies in an interval such as "[9, )": square brackets hold their bound, an empty bound is none."""
+    low, high = (x.strip() for x in interval[1:-1].split(","))
+    out = F.lit(True)
+    if low:
+        out = out & ((value >= float(low)) if interval[0] == "[" else (value > float(low)))
+    if high:
+        out = out & ((value <= float(high)) if interval[-1] == "]" else (value < float(high)))
+    return out
+
+
 def figure_rules(bust: Column, waist: Column, hips: Column) -> list[tuple[str, Column]]:
-    """The figure types of apparel measurements (FFIT) as rules over sizes in inches; a body may have several or none."""
-    over, bw, hw = bust - hips, bust - waist, hips - waist
-    under, ratio = -over, hips / waist
-    # The bounds
-    return [
-        ("HOURGLASS", (over <= 1) & (under < 3.6) & ((bw >= 9) | (hw >= 10))),
-        ("BOTTOM_HOURGLASS", (under >= 3.6) & (under < 10) & (hw >= 9) & (ratio < 1.193)),
-        ("TOP_HOURGLASS", (over > 1) & (over < 10) & (bw >= 9)),
-        ("SPOON", (under > 2) & (hw >= 7) & (ratio >= 1.193)),
-        ("TRIANGLE", ((under >= 3.6) & (hw >= 0) & (hw < 9)) | ((bw < 0) & (hw >= 0))),
-        ("INVERTED_TRIANGLE", (over >= 3.6) & (bw < 9)),
-        ("RECTANGLE", (under < 3.6) & (over < 3.6) & (bw >= 0) & (bw < 9) & (hw >= 0) & (hw < 10)),
-        ("DIAMOND", (hw < 0) & (bw < 0)),
-        ("OVAL", (hw < 0) & (bw >= 0)),
-    ]
+    """The figure types as rules over sizes in inches; a body may have several or none."""
+    measure = {"excess": bust - hips, "bust drop": bust - waist, "hip drop": hips - waist, "ratio": hips / waist}
+    rules = []
+    for name, ways in FIGURES.items():
+        holds = F.lit(False)
+        for way in ways:
+            one = F.lit(True)
+            for what, interval in way.items():
+                one = one & within(measure[what], interval)
+            holds = holds | one
+        rules.append((name, holds))
+    return rules
 
 
 def uncovered(bust: Column, waist: Column, hips: Column) -> Column:
-    """Which of the two gaps between the figure types a body falls into, else null."""
-    top = (bust - hips >= 10) & (bust - waist >= 9)
-    bottom = (hips - bust >= 10) & (hips - waist >= 9) & (hips / waist <= 1.193)
-    return F.when(top, "bust far over hips").when(bottom, "hips far over bust")
+    """What is over where a body has no figure and bust and hips are far apart, else null."""
+    none = F.size(labels(figure_rules(bust, waist, hips))) == 0
+    return F.when(none & (bust - hips >= FAR), "bust far over hips").when(none & (hips - bust >= FAR), "hips far over bust")

@@ -78,3 +78,44 @@ def descendants(tree: DataFrame) -> DataFrame:
     """
     up = tree.where("level > 0").select(F.col("id").alias("descendant"), "level", F.posexplode(F.slice("path", 1, F.col("level"))).alias("at", "id"))
     return up.select("id", "descendant", (F.col("level") - F.col("at")).alias("steps"))
+
+
+def subtree_figures(tree: DataFrame) -> DataFrame:
+    """tree of `resolve_tree` -> (id, descendants, height) of every node that has a node below it; cycles have none.
+
+    Counts double their reach each round: what lies less than twice as far below a node is what lies near it and what lies
+    near the nodes at exactly that distance. One row a node, however deep the tree; as many rounds as its depth has bits.
+    """
+    path, level = F.col("path"), F.col("level")
+    held = Written(tree.where("level >= 0").select("id", F.when(level > 0, F.get(path, level - 1)).alias("up"), F.lit(0).cast("bigint").alias("below"), F.lit(0).alias("height")))
+    reach = 1
+    while not held.df.where("up is not null").isEmpty():
+        own = held.df
+        added = own.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum(F.col("below") + 1).alias("more"), F.max(F.col("height") + reach).alias("far"))
+        jump = own.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        moved = own.join(jump, "up", "left").select("id", F.col("next").alias("up"), "below", "height")
+        step = Written(moved.join(added, "id", "left").select("id", "up", (F.col("below") + F.coalesce("more", F.lit(0))).alias("below"), F.greatest("height", F.coalesce("far", F.lit(0))).cast("int").alias("height")))
+        held.drop()
+        held, reach = step, reach * 2
+    return held.df.where("below > 0").select("id", F.col("below").alias("descendants"), "height")
+
+
+def marked_above(nodes: DataFrame) -> DataFrame:
+    """nodes(id, parent, marked boolean), one row an id -> (id) of those that are marked or have a marked node above them.
+
+    Marks are handed down twice as far each round. A round that marks no further node is the last: on the way to a mark
+    further up lies a node as far from it as that round reaches. So circles end it, too. Null marks are none; unknown
+    parents are no parents.
+    """
+    nodes = nodes.where("id is not null").select("id", "parent", F.coalesce("marked", F.lit(False)).alias("marked"))
+    known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("found"))
+    digest = {"marked": F.count_if("marked"), "open": F.count_if(F.col("up").isNotNull() & ~F.col("marked"))}
+    held = Written(nodes.join(known, "parent", "left").select("id", F.when(F.col("found"), F.col("parent")).alias("up"), "marked"), **digest)
+    last = None
+    while held.seen["open"] and held.seen["marked"] != last:
+        last = held.seen["marked"]
+        ahead = held.df.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("marked").alias("over"))
+        step = Written(held.df.join(ahead, "up", "left").select("id", F.col("next").alias("up"), (F.col("marked") | F.coalesce("over", F.lit(False))).alias("marked")), **digest)
+        held.drop()
+        held = step
+    return held.df.where("marked").select("id")

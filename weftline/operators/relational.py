@@ -35,6 +35,34 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int) -> Data
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def rank_in_slices(df: DataFrame, keys: list[str], slices: list[Column], order: list[Column], rank: str = "rank", total: Column | None = None, sum_as: str = "running") -> DataFrame:
+    """df with the place `rank` of each row within its key, from 1, though no key is gathered in one task.
+
+    `slices` are the leading parts of the order, coarse enough to be few and fine enough to be small (say, an id by the
+    hundred thousand): rows of an earlier slice come before those of a later one. Rows are ranked within (key, slice), and
+    the rows of earlier slices are added from one row a slice. With `total`, its running sum up to the row is `sum_as`.
+    Without keys the whole table is ranked. Nulls come first; the order must tell rows apart.
+    """
+    names = [f"_s{i}" for i in range(len(slices))]
+    cut = df.withColumns(dict(zip(names, slices, strict=True))).withColumn("_one", F.lit(1))
+    value = total if total is not None else F.lit(0)
+    per = cut.withColumn("_v", value).groupBy(*keys, *names).agg(F.count("*").alias("_n"), F.sum("_v").alias("_t"))
+    up_to = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select(*keys, *names, F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_before"), F.coalesce(F.sum("_t").over(up_to), F.lit(0)).alias("_sum"))
+    within = Window.partitionBy(*keys, *names).orderBy(*order)
+    own = cut.withColumn("_own", F.row_number().over(within))
+    if total is not None:
+        own = own.withColumn("_run", F.sum(total).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    l, r = own.alias("l"), before.alias("r")
+    same = F.lit(True)
+    for c in [*keys, *names]:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    out = [F.col(f"l.{c}") for c in df.columns] + [(F.col("_own") + F.col("_before")).cast("bigint").alias(rank)]
+    if total is not None:
+        out.append((F.col("_run") + F.col("_sum")).alias(sum_as))
+    return l.join(r, same).select(*out)
+
+
 def new_only(new: DataFrame, existing: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Insert-or-ignore: rows of `new` whose key is not in `existing`, the first by `order` of each key."""
     return first_per(new.join(existing.select(*keys).distinct(), keys, "left_anti"), keys, order)

@@ -95,8 +95,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
     """How many descendants each source has, and how deep they reach."""
-    below = hierarchy.descendants(hierarchy.resolve_tree(_links(spark, sf)))
-    return below.groupBy("id").agg(F.count("*").alias("descendants"), F.max("steps").cast("int").alias("height"))
+    return hierarchy.subtree_figures(hierarchy.resolve_tree(_links(spark, sf)))
 
 
 REFERENCES = [
@@ -125,3 +124,27 @@ def p7_by_period(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_descendants": p6_descendants, "p7_found": p7_found, "p7_by_period": p7_by_period}
+
+# The SQL of problems 6 and 7. Trees from their roots down; what is never reached is in or below a cycle, and the nodes of a
+# cycle are those that come upon themselves.
+_TREE = """recursive l as (select id, max(parent_source_id) as parent from sources where id is not null group by id), e as (select l.id, p.id as parent from l left join l p on p.id = l.parent),
+t(id, root, level, path) as (select id, id, 0, id::varchar from e where parent is null union all select e.id, t.root, t.level + 1, t.path || '/' || e.id from e join t on e.parent = t.id),
+r(id, up) as (select id, parent from e where id not in (select id from t) union select r.id, e.parent from r join e on e.id = r.up),
+c as (select id, min(up) filter (up in (select id from r where id = up)) as root from r group by id), a as (select id, root, level, path from t union all select id, root, -1, '' from c)"""
+ORACLES = {
+    "p6_found": f"""with {_TREE} select 'source' as node, a.id as node_id, a.root as root_id, a.level, a.path from a where a.id in (select id from sources where parent_source_id is not null)
+union all select 'url', u.id, a.root, case when a.level < 0 then -1 else a.level + 1 end, a.path from (select id, max(discovered_by_result_id) as result from urls where id is not null and discovered_by_result_id > 0 group by id) u join (select id, max(source_id) as source from results group by id) r on r.id = u.result join a on a.id = r.source""",
+    "p6_descendants": f"with {_TREE}, d as (select level, string_split(path, '/') as p from t), x as (select unnest(p)::bigint as id, unnest(range(len(p))) as k, level from d) select id, count(*) - 1 as descendants, max(level - k)::int as height from x group by id having count(*) > 1",
+}
+_DIGEST = "nullif(nullif(regexp_replace(regexp_replace(case when lower(trim({0}, ' ' || chr(9))) in ('', '-', '--', '?', '0', 'n/a', 'na', 'nil', 'nan', 'none', 'null', 'unknown', 'undefined', 'tba', 'tbd', 'n.a.', 'not listed') then '' else lower(trim({0}, ' ' || chr(9))) end, '^[a-z0-9_\\-]+[:=]', ''), '[\\s\\-:\"'']', '', 'g'), ''), 'none')"
+_ORPHANS = " union all ".join(
+    f"""select '{field}' as ref_field, f.id as row_id, strftime(f.seen, '%Y-%m') as period, case when t.seen is not null then 'late' when g.key is not null then 'deleted' else 'missing' end as kind
+from (select id, max({key}) as key, min(loaded_at) as seen from {referring} where id is not null group by id) f left join (select {own} as key, min(loaded_at) as seen from {target} group by 1) t on t.key = f.key left join (select distinct {purged} as key from purge_log where lower(trim(table_name)) = '{target}') g on g.key = f.key
+where f.key is not null and (t.seen is null or t.seen > f.seen)"""
+    for field, referring, key, target, own, purged in (
+        ("result_images.image_sha256", "result_images", _DIGEST.format("image_sha256"), "images", _DIGEST.format("sha256"), _DIGEST.format("row_key")),
+        ("urls.discovered_by_result_id", "urls", "case when discovered_by_result_id > 0 then discovered_by_result_id end", "results", "id", "try_cast(trim(row_key) as bigint)"),
+        ("sources.run_id", "sources", "case when run_id > 0 then run_id end", "runs", "id", "try_cast(trim(row_key) as bigint)"),
+    )
+)
+ORACLES |= {"p7_found": _ORPHANS, "p7_by_period": f"select ref_field, period, kind, count(*) as \"references\" from ({_ORPHANS}) group by 1, 2, 3"}

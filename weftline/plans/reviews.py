@@ -137,14 +137,6 @@ def u4_set_equality(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("run_id", (F.col("a") == F.col("b")).alias("same"), F.size(F.array_except("b", "a")).alias("added"))
 
 
-@query("u8_id_list", f"select id, array_to_string(list_distinct(list_filter(list_transform(regexp_split_to_array(coalesce(stored_id, '') || ',' || id || ';' || coalesce(stored_id, ''), '[,;]'), lambda x: try_cast(regexp_extract(trim(x), '^[0-9]{{1,15}}$') as bigint)), lambda x: x is not null)), ',') is not null as parsed from {PERFORMERS}")
-def u8_id_list(spark: SparkSession, sf: str) -> DataFrame:
-    """Ids out of a list with mixed delimiters."""
-    packed = F.concat(F.coalesce("stored_id", F.lit("")), F.lit(","), F.col("id").cast("string"), F.lit(";"), F.coalesce("stored_id", F.lit("")))
-    ids = F.array_distinct(F.filter(F.transform(F.split(packed, "[,;]"), lambda x: F.regexp_extract(F.trim(x), "^[0-9]{1,15}$", 0).try_cast("bigint")), lambda x: x.isNotNull()))
-    return once(spark, sf, "performers", "stored_id").select("id", F.array_join(ids.cast("array<string>"), ",").isNotNull().alias("parsed"))
-
-
 @query("u8_ids", f"select id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') as ids from (select id, list_filter(list_transform(regexp_split_to_array(coalesce(stored_id, '') || ',' || id || ';' || coalesce(stored_id, ''), '[,;]'), lambda x: try_cast(regexp_extract(trim(x), '^[0-9]+$') as bigint)), lambda x: x is not null) as l from {PERFORMERS})")
 def u8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The distinct ids of a list with mixed delimiters, in order of appearance."""
@@ -242,20 +234,12 @@ def k3_map_update(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", m.alias("m")).select("event_id", F.try_element_at("m", F.lit("k")).alias("k"), F.try_element_at("m", F.lit("seen")).alias("seen"))
 
 
-@query("k10_report", f"select host, host || ' (' || count(*) || ')' || chr(10) || string_agg(line, chr(10) order by line) as report from (select host, url || ' -> ' || norm_key as line from {URLS} where host is not null and norm_key is not null and url like '%?%') group by host")
-def k10_report(spark: SparkSession, sf: str) -> DataFrame:
-    """A text report of changed addresses by domain."""
-    u = once(spark, sf, "urls", "host", "url", "norm_key").where("host is not null and norm_key is not null and url like '%?%'")
-    return sinks.report_by(u, "host", F.concat(F.col("url"), F.lit(" -> "), F.col("norm_key")))
-
-
-@query("k10_changed", f"select host, id // 10000 as part, host || ' (' || count(*) || ')' || chr(10) || string_agg(line, chr(10) order by line) as report from (select id, host, url || ' -> ' || norm_key as line from {URLS} where host is not null and regexp_replace(lower(url), '^https?://(www\\.)?', '') <> norm_key) group by host, id // 10000")
+@query("k10_changed", f"select host, id, url || ' -> ' || norm_key as line, row_number() over (partition by host order by url || ' -> ' || norm_key, id) as place, count(*) over (partition by host) as lines from {URLS} where host is not null and regexp_replace(lower(url), '^https?://(www\\.)?', '') <> norm_key")
 def k10_changed(spark: SparkSession, sf: str) -> DataFrame:
-    """A text report of all addresses that are not in their normal form, by domain, in parts of at most 10,000 ids, so that no domain is one string."""
+    """A report of all addresses that are not in their normal form, by domain: one row a line, with its place and how many its domain has."""
     u = once(spark, sf, "urls", "host", "url", "norm_key").where("host is not null")
-    changed = u.where(F.regexp_replace(F.lower("url"), r"^https?://(www\.)?", "") != F.col("norm_key")).withColumn("part", F.expr("id div 10000"))
-    per = changed.groupBy("host", "part").agg(F.array_sort(F.collect_list(F.concat(F.col("url"), F.lit(" -> "), F.col("norm_key")))).alias("l"))
-    return per.select("host", "part", F.concat(F.col("host"), F.lit(" ("), F.size("l").cast("string"), F.lit(")\n"), F.array_join("l", "\n")).alias("report"))
+    changed = u.where(F.regexp_replace(F.lower("url"), r"^https?://(www\.)?", "") != F.col("norm_key"))
+    return sinks.report_lines(changed.select("host", "id", F.concat(F.col("url"), F.lit(" -> "), F.col("norm_key")).alias("line")), "host", "line", "id")
 
 
 @query("k15_json_rows", f"select id, '{{\"id\":' || id || ',\"status\":\"' || status || '\"}}' as output from {RUNS} where status is not null")
@@ -263,12 +247,16 @@ def k15_json_rows(spark: SparkSession, sf: str) -> DataFrame:
     return once(spark, sf, "runs", "status").where("status is not null").select("id", F.to_json(F.struct("id", "status")).alias("output"))
 
 
-@query("t15_drift", f"with a as (select title, min(id) as owner from {SCENES} where title is not null group by 1), b as (select title, max(id) as owner from {SCENES} where title is not null group by 1) select title, case when a.owner = b.owner then 'SAME' else 'STATE_CHANGED' end as state from a join b using (title)")
+@query("t15_drift", f"with a as (select lower(title) as target, min(id) as owner from {SCENES} where title is not null and loaded_at < (select make_timestamp((epoch_us(min(loaded_at)) + epoch_us(max(loaded_at))) // 2) from scraped_scenes) group by 1), b as (select lower(title) as target, min(id) as owner from {SCENES} where title is not null group by 1) select target, case when a.owner = b.owner then 'SAME' else 'STATE_CHANGED' end as state from a join b using (target)")
 def t15_drift(spark: SparkSession, sf: str) -> DataFrame:
-    """An old plan against a new one: claims whose owner changed."""
-    s = once(spark, sf, "scraped_scenes", "title").where("title is not null")
-    a, b = s.groupBy("title").agg(F.min("id").alias("a")), s.groupBy("title").agg(F.max("id").alias("b"))
-    return a.join(b, "title").select("title", F.when(F.col("a") == F.col("b"), "SAME").otherwise("STATE_CHANGED").alias("state"))
+    """A plan made in the middle of all arrivals, held against one made of all: claims whose owner changed."""
+    s = table(spark, sf, "scraped_scenes")
+    low, high = s.agg(F.min("loaded_at"), F.max("loaded_at")).first()
+    half = low + (high - low) / 2 if low else None
+    first = s.where("id is not null and title is not null").groupBy("id").agg(F.min("loaded_at").alias("seen"), F.min(F.lower("title")).alias("target"))
+    a = first.where(F.col("seen") < F.lit(half)).groupBy("target").agg(F.min("id").alias("a"))
+    b = first.groupBy("target").agg(F.min("id").alias("b"))
+    return a.join(b, "target").select("target", F.when(F.col("a") == F.col("b"), "SAME").otherwise("STATE_CHANGED").alias("state"))
 
 
 @query("w4_ordinals", f"select source_id, id, row_number() over (partition by source_id order by ordinal, id) - 1 as place from {RESULTS} where source_id is not null")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from weftline.functions import body, text, urls
 from weftline.functions.clean import int_id, url_key
 from weftline.operators import relational as R
-from weftline.operators.hierarchy import resolve_tree
+from weftline.operators.hierarchy import marked_above, resolve_tree
 from weftline.plans.store import ONE, PEOPLE, PERFORMERS, RESULTS, RUNS, SCENES, SOURCES, TAGS, URLS, once
-from weftline.session import Written, table
+from weftline.session import table
 from weftline.streaming import events as streams
 
 QUERIES, ORACLES = {}, {}
@@ -119,7 +119,7 @@ def f31_first_meaningful(spark: SparkSession, sf: str) -> DataFrame:
 
 _M = "regexp_replace(raw, '\\s+', '', 'g')"
 _N, _C = "(\\d+(?:\\.\\d+)?)", "\\(?([A-Za-z]+)\\)?"
-_SHAPES = [("waist_hips", f"^NoneNone[-/]{_N}[-/]{_N}$", "i", (0, 0, 1, 2)), ("first_cup_waist_hips", f"^{_N}{_C}[-/]{_N}[-/]{_N}$", "c", (1, 2, 3, 4)), ("cup_first_waist_hips", f"^{_C}{_N}[-/]{_N}[-/]{_N}$", "c", (2, 1, 3, 4)), ("bust_waist_hips", f"^{_N}[-/]{_N}[-/]{_N}$", "c", (1, 0, 2, 3)), ("first_cup", f"^{_N}{_C}", "c", (1, 2, 0, 0)), ("cup_first", f"^{_C}{_N}", "c", (2, 1, 0, 0))]
+_SHAPES = [("no bust, waist and hips", f"^NoneNone[-/]{_N}[-/]{_N}$", "i", (0, 0, 1, 2)), ("cup behind, waist and hips", f"^{_N}{_C}[-/]{_N}[-/]{_N}$", "c", (1, 2, 3, 4)), ("cup before, waist and hips", f"^{_C}{_N}[-/]{_N}[-/]{_N}$", "c", (2, 1, 3, 4)), ("no cup, waist and hips", f"^{_N}[-/]{_N}[-/]{_N}$", "c", (1, 0, 2, 3)), ("cup behind", f"^{_N}{_C}", "c", (1, 2, 0, 0)), ("cup before", f"^{_C}{_N}", "c", (2, 1, 0, 0))]
 
 
 def _pick(k: int, kind: str = "double") -> str:
@@ -174,7 +174,7 @@ _FIGURES = {
 _SIZED = f"(select id, first / per as b, waist / per as w, hips / per as h, {_CUP} as diff from (select *, case when {_UNITS} = 'metric' then 2.54 else 1 end as per from {_PARSED}) where first is not null and waist is not null and hips is not null)"
 
 
-@query("f36_figures", f"select id, array_to_string(list_filter([{', '.join(f'case when {rule} then {name!r} end' for name, rule in _FIGURES.items())}], lambda x: x is not null), ',') as labels, case when b - h >= 10 and b - w >= 9 then 'bust far over hips' when h - b >= 10 and h - w >= 9 and h / w <= 1.193 then 'hips far over bust' end as gap from {_SIZED}")
+@query("f36_figures", f"select id, labels, case when labels = '' and b - h >= 10 then 'bust far over hips' when labels = '' and h - b >= 10 then 'hips far over bust' end as gap from (select *, array_to_string(list_filter([{', '.join(f'case when {rule} then {name!r} end' for name, rule in _FIGURES.items())}], lambda x: x is not null), ',') as labels from {_SIZED})")
 def f36_figures(spark: SparkSession, sf: str) -> DataFrame:
     """All figure types whose rule holds, and the gap a body without any falls into."""
     m = once(spark, sf, "measurements", "raw").where("raw is not null").select("id", body.parse_measurements(F.col("raw")).alias("p")).where("p.first is not null and p.waist is not null and p.hips is not null")
@@ -241,12 +241,11 @@ def proj11_safe_urls(spark: SparkSession, sf: str) -> DataFrame:
     return once(spark, sf, "urls", "url").select("id", urls.is_safe(F.col("url")).alias("safe"))
 
 
-@query("o5_url_sort", f"select run_id, string_agg(norm_key, ' ' order by host, norm_key) as pages from {URLS} where run_id is not null and norm_key is not null and host is not null group by run_id")
+@query("o5_url_sort", f"select run_id, id, row_number() over (partition by run_id order by host, norm_key, id) as place from {URLS} where run_id is not null and norm_key is not null and host is not null")
 def o5_url_sort(spark: SparkSession, sf: str) -> DataFrame:
-    """The pages of a run sorted by domain, then address."""
+    """The place of each page of a run by domain, then address: one row a page, counted in slices of domains, so that no run is gathered."""
     u = once(spark, sf, "urls", "run_id", "norm_key", "host").where("run_id is not null and norm_key is not null and host is not null")
-    per = u.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("host", "norm_key"))).alias("l"))
-    return per.select("run_id", F.array_join(F.transform("l", lambda x: x["norm_key"]), " ").alias("pages"))
+    return R.rank_in_slices(u, ["run_id"], [F.col("host")], [F.col("norm_key"), F.col("id")], "place").select("run_id", "id", "place")
 
 
 @query("f12_answers_to", f"select p.id, count(*) as answers from {PERFORMERS} p join (select distinct id, lower(trim(unnest(string_split(aliases, ',')))) as a from performers where aliases is not null) x on x.a = lower(p.name) and x.id <> p.id group by p.id")
@@ -254,7 +253,11 @@ def f12_answers_to(spark: SparkSession, sf: str) -> DataFrame:
     """How many other records have a record's name among their aliases."""
     a = table(spark, sf, "performers").where("aliases is not null").select(F.col("id").alias("other"), F.explode(F.transform(F.split("aliases", ","), lambda x: F.lower(F.trim(x)))).alias("key")).distinct()
     p = once(spark, sf, "performers", "name").select("id", F.lower("name").alias("key"))
-    return p.join(a, "key").where("id <> other").groupBy("id").agg(F.count("*").alias("answers"))
+    # aliases are counted by name first, and a record's own taken off: no name meets all its aliases row by row
+    n = a.groupBy("key").agg(F.count("*").alias("n"))
+    own = a.select(F.col("other").alias("id"), "key", F.lit(1).alias("own"))
+    answers = F.col("n") - F.coalesce("own", F.lit(0))
+    return p.join(n, "key").join(own, ["id", "key"], "left").where(answers > 0).select("id", answers.alias("answers"))
 
 
 @query("f16_signature", f"select id, case when trim(coalesce(stored_id, '')) in ('', '0', '-', 'n/a', 'None', 'null', 'unknown') then 'name:' || lower(name) else 'id:' || regexp_replace(trim(lower(stored_id), ' ' || chr(9)), '^#?0*|\\.0+$', '', 'g') end as signature from {PERFORMERS} where name is not null")
@@ -280,13 +283,7 @@ def t1_waves(spark: SparkSession, sf: str) -> DataFrame:
 def t5_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """Sources that fall with a failed one above them."""
     s = once(spark, sf, "sources", "parent_source_id", "status")
-    failed = s.where("status = 'ERROR'").select(F.col("id").alias("above"))
-    tree = Written(resolve_tree(s.select("id", F.col("parent_source_id").alias("parent")))).df
-    falling = tree.where("level >= 0").select("id", F.explode("path").alias("above")).join(failed, "above", "left_semi").select("id").distinct()
-    # in and below cycles there are no paths: few nodes, walked in waves
-    looped = s.join(tree.where("level < 0").select("id"), "id", "left_semi")
-    waves = R.fold_chain(looped.select(F.col("parent_source_id").alias("parent"), F.col("id").alias("child")), looped.where("status = 'ERROR'").select("id"))
-    return falling.unionByName(waves.select("id"))
+    return marked_above(s.select("id", F.col("parent_source_id").alias("parent"), (F.col("status") == "ERROR").alias("marked")))
 
 
 @query("t5_vouched")

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):  # noqa: ANN201
 
 def once(spark: SparkSession, sf: str, name: str, *cols: str) -> DataFrame:
     """Records of a table, each id once: a record that arrives again has the same content but its arrival."""
-    return table(spark, sf, name).select("id", *cols).where("id is not null").dropDuplicates(["id"])
+    return table(spark, sf, name).select("id", *cols).where("id is not null").distinct()
 
 
 #: The SQL twin of `once`.
@@ -90,14 +90,6 @@ def proj1_unpivot(spark: SparkSession, sf: str) -> DataFrame:
     return s.unpivot("id", ["title", "code", "studio_name"], "field", "value").where("trim(value) <> ''")
 
 
-@query("proj7_empty_payloads", f"select id, source_id from {RESULTS} where raw_json is null or trim(raw_json) in ('', '{{}}') or not exists (select 1 from (select unnest(json_keys(raw_json)) as k) where coalesce(json_extract_string(raw_json, '$.' || k), '') <> '' and k <> '__typename')")
-def proj7_empty_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """Results whose payload has no value in any field."""
-    m = F.from_json("raw_json", "map<string,string>")
-    filled = F.exists(F.map_entries(m), lambda e: (F.coalesce(e["value"], F.lit("")) != "") & (e["key"] != "__typename"))
-    return once(spark, sf, "results", "source_id", "raw_json").where(F.col("raw_json").isNull() | ~F.coalesce(filled, F.lit(False))).select("id", "source_id")
-
-
 @query("proj9_derived_flags", f"select id, status in ('REVIEWABLE', 'PARTIAL') and purged = 0 as reviewable, purged = 0 and mode <> 'FULL' and status in ('REVIEWABLE', 'NO_RESULTS') as can_extend from {RUNS}")
 def proj9_derived_flags(spark: SparkSession, sf: str) -> DataFrame:
     r = once(spark, sf, "runs", "status", "purged", "mode")
@@ -217,12 +209,12 @@ def j15_not_attempted(spark: SparkSession, sf: str) -> DataFrame:
     return runs.join(asked, ["run_id", "host"], "left_anti").select("host", "run_id")
 
 
-@query("j17_code_siblings", f"select a.id, b.id as other from {SCENES} a join {SCENES} b on a.host = b.host and a.id < b.id and split_part(a.code, '-', 2) = split_part(b.code, '-', 2) and a.code like '%-%' and b.code like '%-%'")
+@query("j17_code_siblings", f"with f as (select id, host, split_part(code, '-', 2) as stem from {SCENES} where code like '%-%' and host is not null) select f.id, g.first_id, g.files from f join (select host, stem, min(id) as first_id, count(*) as files from f group by 1, 2) g on g.host = f.host and g.stem = f.stem where g.files > 1")
 def j17_code_siblings(spark: SparkSession, sf: str) -> DataFrame:
-    """Files of one place whose names have the same stem: equality on place and stem, a residual on the rest."""
-    s = once(spark, sf, "scraped_scenes", "host", "code").where(F.col("code").contains("-")).withColumn("stem", F.split("code", "-")[1])
-    a, b = s.select("host", "stem", "id"), s.select("host", "stem", F.col("id").alias("other"))
-    return a.join(b, ["host", "stem"]).where("id < other").select("id", "other")
+    """Files of one place whose names have the same stem: each with the first of them and their number; the pairs of a group are never made."""
+    s = once(spark, sf, "scraped_scenes", "host", "code").where(F.col("code").contains("-") & F.col("host").isNotNull()).select("id", "host", F.split("code", "-")[1].alias("stem"))
+    g = s.groupBy("host", "stem").agg(F.min("id").alias("first_id"), F.count("*").alias("files")).where("files > 1")
+    return s.join(g, ["host", "stem"]).select("id", "first_id", "files")
 
 
 @query("j19_band_join", f"select id, duration, case when duration < 600 then 'clip' when duration < 1800 then 'short' when duration < 3600 then 'feature' else 'long' end as band from {SCENES} where duration is not null")
@@ -441,7 +433,7 @@ def u1_union_refs(spark: SparkSession, sf: str) -> DataFrame:
 @query("u3_set_difference", "select name from (select lower(name) as name from tags where name is not null except select lower(title) from scraped_scenes where title is not null)")
 def u3_set_difference(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "tags").where("name is not null").select(F.lower("name").alias("name"))
-    return a.exceptAll(a.limit(0)).distinct().subtract(table(spark, sf, "scraped_scenes").where("title is not null").select(F.lower("title")))
+    return a.subtract(table(spark, sf, "scraped_scenes").where("title is not null").select(F.lower("title")))
 
 
 @query("u7_snapshot_diff", f"""with o as (select norm_key as key, max(state) as content from {URLS} where depth = 0 and norm_key is not null group by 1), n as (select norm_key as key, max(state) as content from {URLS} where depth > 0 and norm_key is not null group by 1)

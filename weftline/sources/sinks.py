@@ -39,7 +39,15 @@ def add_foreign_id(ids: Column, endpoint: str, new_id: Column) -> Column:
     return F.when(new_id.isNull() | F.coalesce(there, F.lit(False)), ids).otherwise(F.concat(F.coalesce(ids, F.array().cast("array<struct<endpoint:string,foreign_id:string>>")), F.array(one)))
 
 
-def report_by(changes: DataFrame, group: str, line: Column) -> DataFrame:
-    """A text report: one row a group, its lines in order under a heading with their number."""
-    per = changes.groupBy(group).agg(F.array_sort(F.collect_list(line)).alias("l"))
-    return per.select(group, F.concat(F.col(group), F.lit(" ("), F.size("l").cast("string"), F.lit(")\n"), F.array_join("l", "\n")).alias("report"))
+def report_lines(changes: DataFrame, group: str, line: str, row_id: str) -> DataFrame:
+    """A text report as rows: (group, row_id, line, place, lines), a group's lines in order, with their number on each.
+
+    A group of any size is ranked in slices by the start of its lines; no group is one text or one task. Null lines are left
+    out.
+    """
+    from weftline.operators.relational import rank_in_slices
+
+    own = changes.where(F.col(line).isNotNull())
+    ranked = rank_in_slices(own, [group], [F.substring(F.col(line), 1, 24)], [F.col(line), F.col(row_id)], "place")
+    total = own.groupBy(group).agg(F.count("*").alias("lines"))
+    return ranked.join(total, group).select(group, row_id, line, "place", "lines")
