@@ -82,3 +82,10 @@ def test_tokens(spark):
     enc = P.tokenizer(P.VOCABULARY)
     assert got == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
     assert enc.decode(enc.encode_ordinary(texts[3])) == texts[3]
+
+
+def test_limits_are_whole_or_refused(spark):
+    sizes = spark.createDataFrame([(1, 3)], "doc_id bigint, tokens bigint")
+    many = spark.range(P.MAX_LIMITS + 1).selectExpr("cast(id as int) pack_id", "cast(id + 3 as int) capacity_tokens")
+    with pytest.raises(ValueError):
+        P.pack(sizes, many)

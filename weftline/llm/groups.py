@@ -19,10 +19,12 @@ def star_links(keyed: DataFrame) -> DataFrame:
 
     A key of n records gives n - 1 links, not n * n. Null keys and ids link nothing; repeated rows count once.
     """
-    held = Written(keyed.where("id is not null and key is not null").select("id", "key"))
+    # keys of any length as 128 bits: narrow rows are shuffled and sorted
+    narrow = F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2")
+    held = Written(keyed.where("id is not null and key is not null").select("id", *narrow))
     keyed = held.df
-    least = keyed.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last")
-    links = Written(keyed.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    least = keyed.groupBy("k1", "k2").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last")
+    links = Written(keyed.join(least, ["k1", "k2"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct())
     held.drop()
     return links.df
 

@@ -26,6 +26,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Capacities beyond this need classes of more than one token.
 MAX_CAPACITY = 1 << 20
+#: Limits that are packed for at most: a fixed table; more are an error.
+MAX_LIMITS = 1_000
 #: Documents of one class that are ranked in one task.
 RANK_TOGETHER = 200_000
 
@@ -102,7 +104,10 @@ def pack(sizes: DataFrame, limits: DataFrame) -> DataFrame:
     and a rest; no other is cut. Documents without tokens, null ids and null or non-positive capacities have no row.
     """
     spark = sizes.sparkSession
-    caps = {r.pack_id: r.capacity_tokens for r in limits.where("pack_id is not null and capacity_tokens > 0").select("pack_id", "capacity_tokens").limit(1000).collect()}
+    stated = limits.where("pack_id is not null and capacity_tokens > 0").select("pack_id", "capacity_tokens").distinct().limit(MAX_LIMITS + 1).collect()
+    if len(stated) > MAX_LIMITS:
+        raise ValueError(f"more than {MAX_LIMITS} limits are no fixed table")
+    caps = {r.pack_id: r.capacity_tokens for r in stated}
     if not caps:
         return sizes.sparkSession.createDataFrame([], "pack_id int, bin_id bigint, doc_id bigint, piece int, first_token bigint, tokens bigint")
     if any(c > MAX_CAPACITY for c in caps.values()):
