@@ -77,6 +77,16 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(checked, ["part", "row_id"], "full_outer").select("part", "row_id", F.coalesce("exact", "amount").alias("amount"))
 
 
+def p4_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the source graph alone gives the amount that the stated bounds give, for each part with such bounds."""
+    sizes = Written(_stated_sizes(spark, sf)).df
+    bare, part = F.col("bare"), F.col("part")
+    exact = F.when(part.isin(*BODY), F.when(bare > quantities.OVER_CM, bare * 10).otherwise(bare * F.lit("25.4").cast("decimal(18,6)"))).when((part == "weight") & (bare <= quantities.UP_TO_KG), bare * 1000)
+    checked = sizes.where("bare is not null").select("part", "row_id", quantities._half_up(exact).alias("exact")).where("exact is not null")
+    both = checked.join(quantities.convert_sizes(sizes, CONVERSIONS), ["part", "row_id"], "left")
+    return both.groupBy("part").agg(F.count("*").alias("bare"), F.count_if(F.col("amount") == F.col("exact")).alias("agree"))
+
+
 def _links(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "sources").where("id is not null").groupBy("id").agg(F.max("parent_source_id").alias("parent"))
 
@@ -123,7 +133,7 @@ def p7_by_period(spark: SparkSession, sf: str) -> DataFrame:
     return p7_found(spark, sf).groupBy("ref_field", "period", "kind").agg(F.count("*").alias("references"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_descendants": p6_descendants, "p7_found": p7_found, "p7_by_period": p7_by_period}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_graph": p4_graph, "p6_found": p6_found, "p6_descendants": p6_descendants, "p7_found": p7_found, "p7_by_period": p7_by_period}
 
 # The SQL of problems 6 and 7. Trees from their roots down; what is never reached is in or below a cycle, and the nodes of a
 # cycle are those that come upon themselves.
