@@ -274,7 +274,8 @@ def _ascend(held: list[tuple[int, list[str]]], sequences: list[list[int]], rate:
 def label_texts(field: Field, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
     """Stretches of one language of each text: (number of the text, stretch from 1, language, confidence).
 
-    A sentence's language is the one with the largest sum of its words' marginals. Texts without words have no stretch.
+    A sentence's language is the one with the largest sum of its words' marginals; where that is under half of them, it is
+    that of the sentence before. Texts without words have no stretch.
     """
     words, opens, sent_len, sent_doc, lengths, docs = [], [], [], [], [], []
     for d, text in enumerate(texts):
@@ -297,6 +298,9 @@ def label_texts(field: Field, texts: list[str | None]) -> tuple[np.ndarray, np.n
     sl, sd = np.array(sent_len), np.array(sent_doc)
     sums = np.add.reduceat(post, np.cumsum(sl) - sl, axis=0)
     best = sums.argmax(axis=1)
+    # a sentence that is of no language by half, such as a bare name, goes with the one before it
+    sure = (sums.max(axis=1) >= 0.5 * sl) | np.append(True, np.diff(sd) != 0)
+    best = best[np.maximum.accumulate(np.where(sure, np.arange(len(best)), 0))]
     new = np.ones(len(sd), bool)
     new[1:] = (np.diff(sd) != 0) | (np.diff(best) != 0)
     at = np.flatnonzero(new)
