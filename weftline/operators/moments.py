@@ -93,7 +93,7 @@ def _date(shape: Column, g: list[Column], order: Column, month: Column) -> Colum
     found = F.lit(None).cast("date")
     for name, value in by_shape.items():
         found = F.when(shape == name, value).otherwise(found)
-    return F.when(F.year(found) > 0, found)
+    return let(found, lambda d: F.when(F.year(d) > 0, d))
 
 
 def _moment(date: Column, rest: Column, text: Column, zone: Column) -> Column:
@@ -166,7 +166,7 @@ def parse_moment(text: Column, date_order: Column, zone: Column) -> Column:
         return let(F.struct(date.alias("date"), k["rest"].alias("rest")), lambda p: F.when(p["date"].isNull(), _partial(s, month)).when(p["rest"].rlike(r"^\d"), _moment(p["date"], p["rest"], text, zone)).otherwise(p["date"].cast("string")))
 
     # most texts are plain ISO dates
-    plain = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date").cast("string"))
+    plain = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date").cast("string"))
     return F.when(plain.isNotNull() & (text > "0001"), plain).when(text.isNotNull(), let(_cleaned(text), dated))
 
 
