@@ -127,3 +127,8 @@ def test_intervals(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double")
     inside = lambda i: [r.x for r in df.select(body.within(F.col("v"), i).alias("x")).collect()]
     assert inside("[1, 3)") == [True, True, False] and inside("(1, )") == [False, True, True] and inside("(, 2]") == [True, True, False]
+
+
+def test_ids_with_a_line_break_behind_them(spark):
+    assert values(spark, int_id, ["17\n", "17", " 17\n", "x\n"]) == ["17", "17", "17", "x"]
+    assert values(spark, url_key, ["a.example/p/1\n", "a.example/p/1"]) == ["a.example/p/1", "a.example/p/1"]

@@ -34,7 +34,7 @@ def int_id(c: Column) -> Column:
     def digits(s: Column) -> Column:
         return let(F.regexp_extract(s, r"^(?:[a-z]*[#:])?\s*0*([0-9]+)(?:\.0+)?$", 1), lambda d: F.when(d != "", F.when(d != "0", d)).otherwise(s))
 
-    return F.when(c.rlike("^[1-9][0-9]*$"), c).otherwise(let(F.lower(nullish(c)), digits))
+    return F.when(c.rlike(r"^[1-9][0-9]*\z"), c).otherwise(let(F.lower(nullish(c)), digits))
 
 
 def uuid_id(c: Column) -> Column:
@@ -62,7 +62,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 _URL = r"(?i)^(?:([a-z][a-z0-9+.\-]*)://|//)?(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 # A key that is in its normal form already: nothing but a host in lower case and plain path segments.
-_PLAIN_KEY = r"^(?!www\.)[a-z0-9](?:[a-z0-9.\-]*[a-z0-9])?(?:/[A-Za-z0-9._~\-]+)+$"
+_PLAIN_KEY = r"^(?!www\.)[a-z0-9](?:[a-z0-9.\-]*[a-z0-9])?(?:/[A-Za-z0-9._~\-]+)+\z"
 
 
 def url_parts(c: Column) -> Column:
