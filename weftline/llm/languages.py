@@ -29,6 +29,8 @@ FIT_DOCS, FIT_CHARS, FIT_SENTENCES = 250, 20_000, 12
 FEATURES = 1 << 17
 #: Words of the sample that must have a feature for it to count.
 LEAST_COUNT = 5
+#: Steps of the ascent at most: on samples of very few words marginals may swing on.
+MOST_STEPS = 150
 
 # Notations of the languages' names, as they stand in front of any region.
 NAMES = {
@@ -253,7 +255,7 @@ def _ascend(held: list[tuple[int, list[str]]], sequences: list[list[int]], rate:
 
     # the mean marginal of the right label, by label
     right, labels = np.zeros(n), np.bincount(gold, minlength=n)
-    while True:
+    for _ in range(MOST_STEPS):
         emit = np.stack([np.bincount(owner, weights=w[flat, k], minlength=len(types)) for k in range(n)], axis=1) * scale[:, None]
         post, ci, cb = forward_backward(emit[idx], starts, lengths, opens, inside, between, pairs=True)
         was, right = right, np.bincount(gold, weights=post[np.arange(len(gold)), gold], minlength=n) / np.maximum(labels, 1)
