@@ -1,8 +1,10 @@
 import base64
 import json
+import random
 
 from pyspark.sql import functions as F
 
+from weftline import session
 from weftline.operators.relational import fold_chain, spread_labels
 from weftline.sources import captures, html, sinks
 
@@ -64,3 +66,17 @@ def test_labels_and_waves(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3), (9, 10), (None, 1)], "parent bigint, child bigint")
     seeds = spark.createDataFrame([(1,), (None,)], "id bigint")
     assert sorted(tuple(r) for r in fold_chain(links, seeds).collect()) == [(1, 0), (2, 1), (3, 1)]
+
+
+def test_labels_of_long_chains_take_few_rounds_and_leave_one_table(spark, monkeypatch):
+    rng = random.Random(4)
+    chain = rng.sample(range(2000), 400)
+    rows = [(v, f"k{i + j}") for i, v in enumerate(chain) for j in (0, 1)] + [(5000 + i, "hub") for i in range(50)] + [(5000, "x"), (6000, "x"), (9999, "x"), (9999, "hub")]
+    ids = spark.createDataFrame([(v,) for v in [*chain, *range(5000, 5050), 6000, 7000, 7000, None]], "id bigint")
+    made, plain = [], session.Written
+    monkeypatch.setattr(session, "Written", lambda *a, **kw: made.append(1) or plain(*a, **kw))
+    kept = len(session._written)
+    got = sorted(tuple(r) for r in spread_labels(spark.createDataFrame(rows, "id bigint, key string"), ids).collect())
+    assert got == sorted([(v, min(chain)) for v in chain] + [(v, 5000) for v in [*range(5000, 5050), 6000]] + [(7000, 7000)])
+    assert len(session._written) - kept == 1 and len(made) < 30
+    assert spread_labels(spark.createDataFrame(rows, "id bigint, key string").limit(0), ids.where("id > 6000")).collect() == [(7000, 7000)]

@@ -195,20 +195,29 @@ def fall_unless_vouched(nodes: DataFrame, mentioned: DataFrame) -> DataFrame:
 def spread_labels(keyed: DataFrame, ids: DataFrame) -> DataFrame:
     """keyed(id, key), ids(id) -> (id, group_id): the smallest id each record is connected to through keys.
 
-    Every round each key takes the least label of its records, each record the least of its keys, and labels jump to the
-    label of the record they name, so that long chains take few rounds. Records without keys are their own group.
+    A key of n records enters as n - 1 links to its least record. Every round moves a link (v, u) down to the least record
+    that u is linked to, then ties all that v is linked to to the least of them, until each record has one link, to the least
+    of its group. Rounds grow with the logarithm of the longest chain, links never become more, and no table outlives its
+    round. Records without keys are their own group; keys of records that are not in ids count for nothing.
     """
     from weftline.session import Written
 
-    links = Written(keyed.where("id is not null and key is not null").distinct()).df
-    held = Written(ids.where("id is not null").distinct().select("id", F.col("id").alias("label")))
-    while True:
-        by_key = links.join(held.df, "id").groupBy("key").agg(F.min("label").alias("low"))
-        low = links.join(by_key, "key").groupBy("id").agg(F.min("low").alias("low"))
-        near = held.df.join(low, "id", "left").select("id", "label", F.least("label", F.coalesce("low", "label")).alias("low"))
-        jump = held.df.select(F.col("id").alias("low"), F.col("label").alias("far"))
-        step = Written(near.join(jump, "low", "left").select("id", F.col("label").alias("was"), F.least("low", F.coalesce("far", "low")).alias("label")))
-        done = step.df.where("label < was").isEmpty()
-        held = Written(step.df.select("id", "label")) if not done else held
-        if done:
-            return held.df.select("id", F.col("label").alias("group_id"))
+    ids = ids.where("id is not null").distinct()
+    # keys of any length as 128 bits: narrow rows are shuffled and sorted
+    narrow = F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2")
+    links = Written(keyed.where("id is not null and key is not null").join(ids, "id", "left_semi").select("id", *narrow))
+    least = links.df.groupBy("k1", "k2").agg(F.min("id").alias("u"), F.max("id").alias("last")).where("u < last")
+    # the number and a digest of the links are taken as they are written: equal ones mean that nothing changed
+    digest = {"n": F.count(F.lit(1)), "h": F.bit_xor(F.xxhash64("v", "u"))}
+    held, before = Written(links.df.join(least, ["k1", "k2"]).where("id > u").select(F.col("id").alias("v"), "u").distinct(), **digest), None
+    links.drop()
+    while held.seen["n"] and held.seen != before:
+        before = held.seen
+        below = held.df.groupBy(F.col("v").alias("u")).agg(F.min("u").alias("low"))
+        down = Written(held.df.join(below, "u", "left").select("v", F.coalesce("low", "u").alias("u")))
+        held.drop()
+        low = down.df.groupBy("v").agg(F.min("u").alias("low"))
+        tied = down.df.join(low, "v").select("low", F.explode(F.array("v", "u")).alias("v")).where("v > low")
+        held = Written(tied.select("v", F.col("low").alias("u")).distinct(), **digest)
+        down.drop()
+    return ids.join(held.df.withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("u", "id").alias("group_id"))
