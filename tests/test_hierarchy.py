@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from weftline.operators.hierarchy import descendants, marked_above, resolve_tree, subtree_figures
+from weftline.operators.hierarchy import all_descendants, all_figures, descendants, marked_above, resolve_tree, subtree_figures
 
 
 def brute(parents):
@@ -62,6 +62,26 @@ def test_subtree_figures_count_what_the_rows_below_would(spark):
     assert subtree_figures(tree.limit(0)).collect() == []
 
 
+def test_descendants_of_cycles_and_of_all_else_are_whole(spark):
+    rng = random.Random(7)
+    graphs = [{i: rng.randrange(n) if i % 9 else rng.choice([None, 10_000 + i, i]) for i in range(n)} for n in (40, 90)]
+    graphs.append({9: 4, 4: 7, 7: 2, 2: 9, 20: 7, 21: 20, 22: 21, 23: 4, 30: 30, 31: 30, 40: None, 41: 40, 42: 41, 50: 51, 51: 50})
+    for parents in graphs:
+        df = spark.createDataFrame([*parents.items(), (None, 4)], "id bigint, parent bigint")
+        want, figures = set(), {v: (0, 0) for v in parents}
+        for v in parents:
+            x, held = v, [v]
+            while (x := parents[x]) in parents and x not in held:
+                want.add((x, v, len(held)))
+                figures[x] = (figures[x][0] + 1, max(figures[x][1], len(held)))
+                held.append(x)
+        assert len(want) > len(descendants(resolve_tree(df)).collect())
+        got = [tuple(r) for r in all_descendants(df).collect()]
+        assert set(got) == want and len(got) == len(want)
+        assert sorted((r.id, (r.descendants, r.height)) for r in all_figures(df).collect()) == sorted(figures.items())
+    assert all_descendants(df.limit(0)).collect() == all_figures(df.limit(0)).collect() == []
+
+
 def test_marks_go_down_chains_and_round_circles(spark):
     parents = {i: i - 1 if i else None for i in range(70)} | {100: 102, 101: 100, 102: 101, 103: 102, 200: 999, 300: 301, 301: 300} | {400 + i: 400 + (i + 1) % 37 for i in range(37)}
     marked = {20, 101, 200, 405, None}

@@ -8,7 +8,7 @@ the walk from that node on, so cycles without any splitter need no bound on thei
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.session import Written
@@ -100,6 +100,50 @@ def subtree_figures(tree: DataFrame) -> DataFrame:
     return held.df.where("below > 0").select("id", F.col("below").alias("descendants"), "height")
 
 
+def _opened(nodes: DataFrame, split: int) -> tuple[DataFrame, DataFrame]:
+    """nodes -> the trees of all nodes, each cycle cut above its smallest id, which becomes the root; and what hangs on cycles.
+
+    The second is (id, root, level, path, ring, entry): `ring` is the cycle from its smallest id down, `entry` how many nodes
+    of it the path holds. They are the first of the path, so the walk up from the root goes through the others, last to first.
+    """
+    tree = Written(resolve_tree(nodes, split)).df
+    loose = nodes.join(tree.where("level < 0").select("id", "root"), "id")
+    cut = Written(resolve_tree(loose.select("id", F.when(F.col("id") != F.col("root"), F.col("parent")).alias("parent")), split)).df
+    rings = cut.join(loose.where("id = root").select(F.col("parent").alias("id")), "id").select("root", F.col("path").alias("ring"))
+    hung = cut.join(rings, "root").withColumn("entry", F.size(F.array_intersect("ring", "path")))
+    return tree.where("level >= 0").unionByName(cut), hung
+
+
+def all_descendants(nodes: DataFrame, split: int = SPLIT) -> DataFrame:
+    """nodes of `resolve_tree` -> (id, descendant, steps): a row for each node whose walk up comes to another, cycles included.
+
+    Steps are those of the first time. Nodes of a cycle are below each other, never below themselves. As many rows as all
+    walks have steps together; they are never gathered.
+    """
+    whole, hung = _opened(nodes, split)
+    size, entry = F.size("ring"), F.col("entry")
+    round_ = hung.select(F.col("id").alias("descendant"), (F.col("level") + size - entry).alias("most"), F.posexplode(F.slice("ring", entry + 1, size - entry)).alias("at", "id"))
+    return descendants(whole).unionByName(round_.select("id", "descendant", (F.col("most") - F.col("at")).alias("steps")))
+
+
+def all_figures(nodes: DataFrame, split: int = SPLIT) -> DataFrame:
+    """nodes of `resolve_tree` -> (id, descendants, height) of every node, cycles included: how many rows `all_descendants` has for it, and the most steps of one.
+
+    Nodes with nothing below them have 0 and 0. All of a cycle and what hangs on it is below each node of the cycle; the
+    furthest is the furthest before the node on the way down the cycle, or from it on.
+    """
+    whole, hung = _opened(nodes, split)
+    # the deepest that comes upon the cycle at each of its nodes; place 1 is the smallest id
+    deepest = hung.groupBy("root", "entry").agg(F.max("level").alias("far"), F.max(F.size("ring")).alias("long"), F.max(F.when(F.size("path") == F.col("entry"), F.col("id"))).alias("id"), F.count("*").alias("n"))
+    down, place = Window.partitionBy("root").orderBy("entry"), F.col("entry") - 1
+    before = F.max("far").over(down.rowsBetween(Window.unboundedPreceding, -1)) + F.col("long") - place
+    onward = F.max("far").over(Window.partitionBy("root").orderBy(F.desc("entry")).rowsBetween(Window.unboundedPreceding, 0)) - place
+    members = deepest.groupBy("root").agg(F.sum("n").alias("all"))
+    circling = deepest.withColumn("reach", F.greatest(before, onward)).join(members, "root").select("id", (F.col("all") - 1).alias("others"), "reach")
+    known = whole.select("id").join(subtree_figures(whole), "id", "left").join(circling, "id", "left")
+    return known.select("id", F.coalesce("others", "descendants", F.lit(0)).cast("bigint").alias("descendants"), F.coalesce("reach", "height", F.lit(0)).cast("int").alias("height"))
+
+
 def marked_above(nodes: DataFrame) -> DataFrame:
     """nodes(id, parent, marked boolean), one row an id -> (id) of those that are marked or have a marked node above them.
 

@@ -108,6 +108,16 @@ def p6_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.subtree_figures(hierarchy.resolve_tree(_links(spark, sf)))
 
 
+def p6_below(spark: SparkSession, sf: str) -> DataFrame:
+    """The descendants of each source, one row each, those in and below cycles included."""
+    return hierarchy.all_descendants(_links(spark, sf))
+
+
+def p6_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """How many descendants each source has, and how deep they reach, cycles and sources without any included."""
+    return hierarchy.all_figures(_links(spark, sf))
+
+
 REFERENCES = [
     ("result_images.image_sha256", "result_images", lambda: hash_id(F.col("image_sha256")), "images", lambda: hash_id(F.col("sha256")), False),
     ("urls.discovered_by_result_id", "urls", lambda: F.when(F.col("discovered_by_result_id") > 0, F.col("discovered_by_result_id")), "results", lambda: F.col("id"), True),
@@ -133,7 +143,7 @@ def p7_by_period(spark: SparkSession, sf: str) -> DataFrame:
     return p7_found(spark, sf).groupBy("ref_field", "period", "kind").agg(F.count("*").alias("references"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_graph": p4_graph, "p6_found": p6_found, "p6_descendants": p6_descendants, "p7_found": p7_found, "p7_by_period": p7_by_period}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_graph": p4_graph, "p6_found": p6_found, "p6_descendants": p6_descendants, "p6_below": p6_below, "p6_figures": p6_figures, "p7_found": p7_found, "p7_by_period": p7_by_period}
 
 # The SQL of problems 6 and 7. Trees from their roots down; what is never reached is in or below a cycle, and the nodes of a
 # cycle are those that come upon themselves.
@@ -141,10 +151,16 @@ _TREE = """recursive l as (select id, max(parent_source_id) as parent from sourc
 t(id, root, level, path) as (select id, id, 0, id::varchar from e where parent is null union all select e.id, t.root, t.level + 1, t.path || '/' || e.id from e join t on e.parent = t.id),
 r(id, up) as (select id, parent from e where id not in (select id from t) union select r.id, e.parent from r join e on e.id = r.up),
 c as (select id, min(up) filter (up in (select id from r where id = up)) as root from r group by id), a as (select id, root, level, path from t union all select id, root, -1, '' from c)"""
+# Every walk up, until it comes to a node that it holds.
+_WALKS = """recursive l as (select id, max(parent_source_id) as parent from sources where id is not null group by id), e as (select l.id, p.id as parent from l join l p on p.id = l.parent),
+w(id, up, steps, held) as (select id, parent, 1, [id] from e union all select w.id, e.parent, w.steps + 1, list_append(w.held, w.up) from w join e on e.id = w.up where not list_contains(w.held, w.up)),
+b as (select up as id, id as descendant, steps from w where not list_contains(held, up))"""
 ORACLES = {
     "p6_found": f"""with {_TREE} select 'source' as node, a.id as node_id, a.root as root_id, a.level, a.path from a where a.id in (select id from sources where parent_source_id is not null)
 union all select 'url', u.id, a.root, case when a.level < 0 then -1 else a.level + 1 end, a.path from (select id, max(discovered_by_result_id) as result from urls where id is not null and discovered_by_result_id > 0 group by id) u join (select id, max(source_id) as source from results group by id) r on r.id = u.result join a on a.id = r.source""",
     "p6_descendants": f"with {_TREE}, d as (select level, string_split(path, '/') as p from t), x as (select unnest(p)::bigint as id, unnest(range(len(p))) as k, level from d) select id, count(*) - 1 as descendants, max(level - k)::int as height from x group by id having count(*) > 1",
+    "p6_below": f"with {_WALKS} select id, descendant, steps from b",
+    "p6_figures": f"with {_WALKS} select l.id, count(b.id) as descendants, coalesce(max(b.steps), 0)::int as height from l left join b on b.id = l.id group by l.id",
 }
 _DIGEST = "nullif(nullif(regexp_replace(regexp_replace(case when lower(trim({0}, ' ' || chr(9))) in ('', '-', '--', '?', '0', 'n/a', 'na', 'nil', 'nan', 'none', 'null', 'unknown', 'undefined', 'tba', 'tbd', 'n.a.', 'not listed') then '' else lower(trim({0}, ' ' || chr(9))) end, '^[a-z0-9_\\-]+[:=]', ''), '[\\s\\-:\"'']', '', 'g'), ''), 'none')"
 _ORPHANS = " union all ".join(
