@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from weftline.llm import groups
 from weftline.llm.groups import hash_to_min, star_links
 
 
@@ -46,3 +47,21 @@ def test_nulls_repeats_and_empty(spark):
     assert hash_to_min(df.limit(0)).collect() == []
     keyed = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (None, "x"), (3, "y")], "id bigint, key string")
     assert star_links(keyed).collect() == []
+
+
+def test_settled_groups_leave_the_rounds(spark, monkeypatch):
+    sizes = []
+    plain = groups._round
+
+    def counted(links):
+        sizes.append(links.count())
+        return plain(links)
+
+    monkeypatch.setattr(groups, "_round", counted, raising=True)
+    stars = [(10_000 + 10 * s, 10_000 + 10 * s + i) for s in range(200) for i in range(1, 6)]
+    chain = [(i, i + 1) for i in range(0, 60)]
+    rows = hash_to_min(spark.createDataFrame(stars + chain, "a bigint, b bigint")).collect()
+    got = {r.id: r.group_id for r in rows}
+    assert len(rows) == len(got) and got == union_find(stars + chain)
+    # of the 1000 links of stars nothing is left after two rounds, while the chain goes on
+    assert len(sizes) > 3 and sizes[2] < 300 and sizes[-1] < 100

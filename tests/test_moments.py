@@ -4,7 +4,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators.moments import estimate_zones, normalise_moments, parse_moment, zones_for
+from weftline.operators.moments import estimate_zones, normalise_moments, parse_moment, plain_date, zones_for
 
 CASES = [
     ("2024-02-29", "DMY", None, "2024-02-29"), ("2023-02-30", "DMY", None, None), ("0000-00-00", "DMY", None, None), ("1975-00-00", "DMY", None, "1975"), ("2017-05-??", "DMY", None, "2017-05"),
@@ -58,3 +58,13 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, "2020-01-02", "h", "clash"), (1, "2020-01-02", "h", "clash"), (2, "x", "h", ""), (3, "2020", None, ""), (None, "2020", "h", "")], "id bigint, date string, host string, zone string")
     assert sorted(tuple(r) for r in normalise_moments(df, "id", "date", "host", sites).collect()) == [(1, "2020-01-02"), (3, "2020")]
     assert normalise_moments(df.limit(0), "id", "date", "host", sites).collect() == []
+
+
+def test_plain_dates_are_read_as_by_the_whole_parser(spark):
+    sure = ["1955/01/02", "1955.01.02", "1955-01-02", "19550104", "01/02/1955", "13-01-1968", "01.13.1968", "29-02-2024", "10 Agosto 1976", "1 Agosto 1973", "01-Apr-1962", "Apr 01, 1961", "Apr 1 1961", "10 Apr, 1955", "5 MAI 1970"]
+    left = ["1955-02-30", "0000-05-05", "00000101", "31/04/2024", "1955-01/02", "1955-01-02 ", "19550104\n", "01/02/55", "10 foo 1976", "32 May 1970", "sat 12 1999", "on 1955-01-04", "1 of 1980", "Apr 1955", "TBA", "", "1955-009", "100137600000"]
+    rows = [(t, o) for t in [*sure, *left, None] for o in ("DMY", "MDY", "YMD", "dmy", None)]
+    df = spark.createDataFrame(rows, "t string, o string")
+    got = df.select("t", plain_date(F.col("t"), F.col("o")).cast("string").alias("plain"), parse_moment(F.col("t"), F.col("o"), F.lit("UTC")).alias("whole")).collect()
+    assert all(r.plain == r.whole for r in got if r.plain is not None)
+    assert {r.t for r in got if r.plain is not None} == set(sure)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -51,23 +52,31 @@ def fold_name(c: Column) -> Column:
     s = F.regexp_replace(s, r" [-–—] .*$", "")
     s = F.regexp_replace(s, r"^\s*([^,]+),\s*+(?!jr\b|sr\b)([^,]+)\s*$", "$2 $1")
     s = F.regexp_replace(F.btrim(F.regexp_replace(s, r"[^\p{L}]+", " ")), r"(?<=\S \S{2,40}) (?:jr|sr|ii|iii)$", "")
-    return F.when(plain, F.lower(c)).otherwise(F.nullif(s, F.lit("")))
+    # outside the branch: in it the whole chain would run once for the test and once for the value
+    return F.nullif(F.when(plain, F.lower(c)).otherwise(s), F.lit(""))
 
 
-def name_grams(folded: Column) -> Column:
-    """The trigrams of every token, with its ends marked."""
-    one = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(F.concat(F.lit("^"), t, F.lit("$")), i, F.lit(3)))
-    return F.flatten(F.transform(F.split(folded, " "), one))
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name) -> (gram, df): in how many names of a batch each trigram of a token, with its ends marked, is; null has the number of names."""
+    for b in batches:
+        counts: Counter[str] = Counter()
+        for name in b.column("name").to_pylist():
+            grams = set()
+            for t in (name or "").split(" "):
+                p = "^" + t + "$"
+                grams.update([p[i : i + 3] for i in range(len(t))])
+            counts.update(grams)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.string()), pa.array([b.num_rows, *counts.values()], pa.int64())], names=["gram", "df"])
 
 
 def gram_weights(names: DataFrame) -> dict[str, float]:
     """names(name): distinct -> inverse document frequency of each gram, over all names."""
-    n = names.count()
-    per = names.select(F.explode(F.array_distinct(name_grams(F.col("name")))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    rows = per.orderBy(F.desc("df"), "gram").limit(MAX_GRAMS + 1).collect()
-    if len(rows) > MAX_GRAMS:
+    per = names.select("name").mapInArrow(_gram_counts, "gram string, df bigint").groupBy("gram").agg(F.sum("df").alias("df"))
+    rows = per.orderBy(F.col("gram").isNotNull(), F.desc("df"), "gram").limit(MAX_GRAMS + 2).collect()
+    if len(rows) > MAX_GRAMS + 1:
         raise ValueError(f"more than {MAX_GRAMS} grams: names are not folded to letters")
-    return {r.gram: math.log((n + 1) / r.df) + 1e-9 for r in rows}
+    n = rows[0].df if rows else 0
+    return {r.gram: math.log((n + 1) / r.df) + 1e-9 for r in rows[1:]}
 
 
 class Vectors:

@@ -9,7 +9,7 @@ from weftline.functions.clean import int_id, let, nullish, uuid_id
 from weftline.llm.groups import hash_to_min, star_links
 from weftline.llm.matches import with_source
 from weftline.llm.names import average_linkage, fold_name, gram_weights, only_bearers, similar_pairs, with_bearers, year_bearers
-from weftline.operators.moments import parse_moment
+from weftline.operators.moments import parse_moment, plain_date
 from weftline.operators.multivalue import split_packed
 from weftline.session import Written, table
 
@@ -33,8 +33,9 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
     known = with_source(spark, sf, once).join(sites, "host", "left")
     # the day as it is written: a birthday has no time zone
     written_day = F.regexp_extract("birthdate", r"^\s*['\"]?(\d{4}-\d{2}-\d{2})[T ]\d", 1).try_cast("date")
-    form = parse_moment(F.col("birthdate"), F.col("date_order"), F.lit("UTC"))
-    born = F.coalesce(written_day, let(form, lambda x: F.when(F.length(x) >= 10, F.substring(x, 1, 10))).try_cast("date"))
+    # no date is without digits
+    form = F.when(F.col("birthdate").rlike("[0-9]"), parse_moment(F.col("birthdate"), F.col("date_order"), F.lit("UTC")))
+    born = F.coalesce(plain_date(F.col("birthdate"), F.col("date_order")), written_day, let(form, lambda x: F.when(F.length(x) >= 10, F.substring(x, 1, 10))).try_cast("date"))
     mark, year, land = read_mark(F.col("disambiguation"))
     sex = F.substring(F.upper(nullish(F.col("gender"))), 1, 1)
     # a page's last part names the performer with a number of their own, whichever site it is on; behind it a count of pages
