@@ -142,8 +142,15 @@ class Vectors:
         order = np.argsort(codes[:n], kind="stable")
         l, r = codes[:n][order], codes[n:][order]
         out = np.zeros(n, dtype=np.float32)
+        out[order] = self.dots(starts, sizes, flat_ids, flat_w, l, r)
+        return out
+
+    def dots(self, starts: np.ndarray, sizes: np.ndarray, flat_ids: np.ndarray, flat_w: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The cosine of each pair of vectors that lie at `starts` of two flat arrays; `left` is in order."""
+        n = len(left)
+        out = np.zeros(n, dtype=np.float32)
         width = len(self.ids) or 1
-        names, first = np.unique(l, return_index=True)
+        names, first = np.unique(left, return_index=True)
         ends = np.append(first, n)
         block = max(1, (1 << 21) // width)
         dense = np.zeros((min(block, len(names)), width), np.float32)
@@ -152,9 +159,9 @@ class Vectors:
             row, at = _spans(starts[own], sizes[own])
             dense[row, flat_ids[at]] = flat_w[at]
             a, b = ends[lo], ends[min(lo + block, len(names))]
-            pair, cell = _spans(starts[r[a:b]], sizes[r[a:b]])
+            pair, cell = _spans(starts[right[a:b]], sizes[right[a:b]])
             line = np.repeat(np.arange(len(own)), np.diff(ends[lo : lo + len(own) + 1]))
-            out[order[a:b]] = np.bincount(pair, weights=dense[line[pair], flat_ids[cell]] * flat_w[cell], minlength=b - a)
+            out[a:b] = np.bincount(pair, weights=dense[line[pair], flat_ids[cell]] * flat_w[cell], minlength=b - a)
             dense[row, flat_ids[at]] = 0
         return out
 
@@ -251,34 +258,42 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Rec
         yield rest
 
 
-def _day_links(v: Vectors, b: pa.RecordBatch) -> pa.RecordBatch:
-    """All pairs of units of one birthday, of similar name and without contradiction; b is in order of birthdays."""
+#: Pairs of one birthday that are looked at in one go, at most, but for what one record is compared with.
+PAIRS = 1 << 18
+
+
+def _day_links(v: Vectors, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """All pairs of units of one birthday, of similar name and without contradiction; b is in order of birthdays.
+
+    Pairs are laid out over many birthdays at a time, what contradicts falls out first, and only the rest is compared by name.
+    """
     days = b.column("born").dictionary_encode().indices.to_numpy(zero_copy_only=False)
     units = b.column("unit").to_numpy(zero_copy_only=False)
     marks = [np.asarray(b.column(x).dictionary_encode().indices.fill_null(-1)) for x in EVIDENCE if x != "born"]
     size, ids, w = v.many(b.column("name").to_pylist())
-    stop = np.append(0, np.cumsum(size))
+    starts = np.cumsum(size) - size
     w = w.astype(np.float32)
+    # each record is laid out against those behind it on its day
     ends = np.flatnonzero(np.append(np.diff(days) != 0, True)) + 1
-    a, o, s, lo = [], [], [], 0
-    for hi in ends.tolist():
-        n = hi - lo
-        if n > 1 and (units[lo:hi] != units[lo]).any():
-            grams, col = np.unique(ids[stop[lo] : stop[hi]], return_inverse=True)
-            dense = np.zeros((n, len(grams)), np.float32)
-            dense[np.repeat(np.arange(n), size[lo:hi]), col] = w[stop[lo] : stop[hi]]
-            cos = dense @ dense.T
-            ok = (cos >= SAME_DAY - 1e-5) & (units[lo:hi][:, None] < units[lo:hi][None, :])
-            for m in marks:
-                x = m[lo:hi]
-                ok &= (x[:, None] == x[None, :]) | (x[:, None] < 0) | (x[None, :] < 0)
-            i, j = np.nonzero(ok)
-            a.append(units[lo + i])
-            o.append(units[lo + j])
-            s.append(0.5 + 0.5 * (cos[i, j].astype(np.float64) - SAME_DAY) / (1 - SAME_DAY))
+    here = np.arange(b.num_rows)
+    behind = ends[np.searchsorted(ends, here, side="right")] - here - 1
+    upto = np.cumsum(behind)
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - behind[lo] + PAIRS, side="right")))
+        line, j = _spans(here[lo:hi] + 1, behind[lo:hi])
+        i = line + lo
+        ok = units[i] != units[j]
+        for m in marks:
+            x, y = m[i], m[j]
+            ok &= (x == y) | (x < 0) | (y < 0)
+        i, j = i[ok], j[ok]
+        cos = v.dots(starts, size, ids, w, i, j)
+        near = cos >= SAME_DAY - 1e-5
+        a, o = units[i[near]], units[j[near]]
+        s = 0.5 + 0.5 * (cos[near].astype(np.float64) - SAME_DAY) / (1 - SAME_DAY)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, o), pa.int64()), pa.array(np.maximum(a, o), pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "score"])
         lo = hi
-    whole = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
-    return pa.RecordBatch.from_arrays([whole(a, pa.int64()), whole(o, pa.int64()), whole(s, pa.float64())], names=["a", "b", "score"])
 
 
 def similar_pairs(profiles: DataFrame, idf: dict[str, float], together: int = TOGETHER) -> DataFrame:
@@ -368,7 +383,7 @@ def similar_pairs(profiles: DataFrame, idf: dict[str, float], together: int = TO
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vectors(shared.value)
         for b in whole_groups(batches, "born"):
-            yield _day_links(v, b)
+            yield from _day_links(v, b)
 
     alone = own.where("not crowded").select("born", "unit", "name", "gender", "country", "mark", "year")
     near = alone.repartition("born").sortWithinPartitions("born").mapInArrow(blocks, "a bigint, b bigint, score double")

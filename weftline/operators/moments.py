@@ -173,25 +173,24 @@ def parse_moment(text: Column, date_order: Column, zone: Column) -> Column:
 def plain_date(text: Column, date_order: Column) -> Column:
     """The date of a text that is nothing but one, in a frequent notation, as `parse_moment` reads it; null for all others, which are left to it."""
     at = lambda i, n: F.substring(text, i, n)
-    on = lambda y, m, d: F.concat_ws("-", y, m, d).try_cast("date")
+    on = lambda y, m, d: F.concat(y, F.lit("-"), m, F.lit("-"), d).try_cast("date")
     dm, md = on(at(7, 4), at(4, 2), at(1, 2)), on(at(7, 4), at(1, 2), at(4, 2))
     digits = F.when(F.upper(date_order) == "DMY", F.coalesce(dm, md)).otherwise(F.coalesce(md, dm))
     month = _map({name: f"{m:02}" for m, names in MONTHS.items() for name in names.split()})
 
     def named(pattern: str, day: int, word: int) -> Column:
         part = lambda i: F.regexp_extract(text, pattern, i)
-        m = F.try_element_at(month, F.lower(part(word)))
-        return F.when(m.isNotNull(), on(part(3), m, F.lpad(part(day), 2, "0")))
-
-    day_first, month_first = r"^(\d{1,2})[ -]([A-Za-z]+),?[ -](\d{4})\z", r"^([A-Za-z]+) (\d{1,2}),? (\d{4})\z"
-    found = (
-        F.when(text.rlike(r"^\d{4}([-/.])\d{2}\1\d{2}\z"), on(at(1, 4), at(6, 2), at(9, 2)))
-        .when(text.rlike(r"^\d{8}\z"), on(at(1, 4), at(5, 2), at(7, 2)))
-        .when(text.rlike(r"^\d{2}([-/.])\d{2}\1\d{4}\z"), digits)
+        return on(part(3), F.try_element_at(month, F.lower(part(word))), F.lpad(part(day), 2, "0"))
+
+    # no year 0; nothing here is needed twice, as it would run twice
+    day_first, month_first = r"^(\d{1,2})[ -]([A-Za-z]+),?[ -]((?!0000)\d{4})\z", r"^([A-Za-z]+) (\d{1,2}),? ((?!0000)\d{4})\z"
+    return (
+        F.when(text.rlike(r"^(?!0000)\d{4}([-/.])\d{2}\1\d{2}\z"), on(at(1, 4), at(6, 2), at(9, 2)))
+        .when(text.rlike(r"^(?!0000)\d{8}\z"), on(at(1, 4), at(5, 2), at(7, 2)))
+        .when(text.rlike(r"^\d{2}([-/.])\d{2}\1(?!0000)\d{4}\z"), digits)
         .when(text.rlike(day_first), named(day_first, 1, 2))
         .when(text.rlike(month_first), named(month_first, 2, 1))
     )
-    return F.when(found >= F.lit("0001-01-01").cast("date"), found)
 
 
 def estimate_zones(df: DataFrame, source: str, local: str, arrived: str, candidates: list[str]) -> DataFrame:
